@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootspan.llm import embedding_dedup, html_text, packing, secrets, simhash, token_counts, url_rules
+from rootspan.llm import embedding_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_rules
 from rootspan.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
