@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootspan.llm import embedding_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_rules
+from rootspan.llm import decontaminate, embedding_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_rules
 from rootspan.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
@@ -47,9 +51,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_url_rules": op8_url_rules,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op8_url_rules": url_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL}
