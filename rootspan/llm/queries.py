@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootspan.llm import decontaminate, embedding_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_rules
+from rootspan.llm import decontaminate, embedding_dedup, html_text, packing, quality, secrets, simhash, substring_dedup, token_counts, url_rules
 from rootspan.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_url_rules": op8_url_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL}
