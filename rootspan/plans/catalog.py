@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rootspan.plans import causes, functions, graphs, topology
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return causes.QUERIES | graphs.QUERIES | functions.QUERIES | topology.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return causes.ORACLES | graphs.ORACLES | functions.ORACLES | topology.ORACLES
