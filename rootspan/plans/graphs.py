@@ -1,3 +1,186 @@
-"""Queries."""
+"""Queries on graph operators (C16, D, H)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rootspan.operators import graph, paths
+from rootspan.operators.inference import active
+from rootspan.plans.fixtures import WEEK, as_of, ctes, inference_ctes, views
 
 QUERIES, ORACLES = {}, {}
+MAP = "map<string,string>"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+def orders(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet")
+
+
+def order_edges(spark, d):
+    """Edges between customers, several a pair, some to customers that don't exist."""
+    return orders(spark, d).selectExpr("concat('e', o_orderkey) as id", "concat('c', o_custkey) as source_id", "concat('c', (o_custkey * 7 + o_orderkey) % 2000) as target_id", "case when o_orderkey % 5 = 0 then 'odd' else 'connection' end as edge_type", "o_orderkey as pos")
+
+
+ORDER_EDGES = "oe AS (SELECT concat('e', o_orderkey) AS id, concat('c', o_custkey) AS source_id, concat('c', (o_custkey * 7 + o_orderkey) % 2000) AS target_id, CASE WHEN o_orderkey % 5 = 0 THEN 'odd' ELSE 'connection' END AS edge_type, o_orderkey AS pos FROM orders)"
+
+
+@query("c16_node_status", inference_ctes(WEEK) + """SELECT n.id, CASE WHEN s.node_id IS NOT NULL AND m.node_id IS NOT NULL THEN 'alert' WHEN s.node_id IS NOT NULL THEN 'signal' WHEN m.node_id IS NOT NULL THEN 'mutation' ELSE 'normal' END AS status
+FROM nodes n LEFT JOIN (SELECT DISTINCT node_id FROM sigs) s ON s.node_id = n.id LEFT JOIN (SELECT DISTINCT node_id FROM muts) m ON m.node_id = n.id""")
+def c16(spark, d):
+    v = views(spark, d)
+    return graph.node_status(v["nodes"], v["signals"], v["mutations"], as_of(v, spark, d), WEEK).select("id", "status")
+
+
+@query("d1_dedupe_nodes", "SELECT concat('c', o_custkey) AS id, arg_max(o_orderpriority, o_orderkey) AS label, arg_max(o_orderstatus, o_orderkey) AS class FROM orders GROUP BY o_custkey")
+def d1(spark, d):
+    rows = orders(spark, d).selectExpr("concat('c', o_custkey) as id", "o_orderpriority as label", "o_orderstatus as class", "o_orderkey as pos")
+    return graph.dedupe_nodes(rows, "pos").drop("pos")
+
+
+@query("d2_dedupe_edges", f"WITH {ORDER_EDGES} SELECT source_id, target_id, edge_type, arg_min(id, pos) AS id FROM oe GROUP BY ALL")
+def d2(spark, d):
+    return graph.dedupe_edges(order_edges(spark, d), "pos").select("source_id", "target_id", "edge_type", "id")
+
+
+@query("d3_drop_dangling", f"WITH {ORDER_EDGES} SELECT id, target_id IN (SELECT concat('c', c_custkey) FROM customer) AND source_id IN (SELECT concat('c', c_custkey) FROM customer) AS kept FROM oe")
+def d3(spark, d):
+    nodes = spark.read.parquet(f"{d}/customer.parquet").selectExpr("concat('c', c_custkey) as id")
+    kept, dropped = graph.drop_dangling(nodes, order_edges(spark, d))
+    return kept.select("id", F.lit(True).alias("kept")).unionByName(dropped.select("id", F.lit(False).alias("kept")))
+
+
+MERGE_PARTS = [
+    ("SELECT concat('n', n_nationkey) AS id, n_name AS label, 'A' AS class, 'first' AS p_source, concat('r', n_regionkey) AS p_region FROM nation"),
+    ("SELECT concat('n', n_nationkey + 5) AS id, CASE WHEN n_nationkey % 2 = 0 THEN concat('late ', n_name) END AS label, 'B' AS class, 'second' AS p_source, CAST(NULL AS STRING) AS p_region FROM nation"),
+]
+
+
+@query("d4_merge_graphs", f"""WITH a AS ({MERGE_PARTS[0]}), b AS ({MERGE_PARTS[1]}), e AS (SELECT DISTINCT concat('n', n_regionkey) AS s, concat('n', n_nationkey) AS t FROM nation UNION SELECT DISTINCT concat('n', n_nationkey), concat('n', n_nationkey + 20) FROM nation)
+SELECT coalesce(a.id, b.id) AS id, coalesce(b.label, a.label) AS label, coalesce(b.class, a.class) AS class, coalesce(b.p_source, a.p_source) AS source, a.p_region AS region,
+  (SELECT count(*) FROM e WHERE e.s = coalesce(a.id, b.id) AND e.t IN (SELECT id FROM a UNION SELECT id FROM b)) AS out_edges FROM a FULL JOIN b ON a.id = b.id""")
+def d4(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    parts = []
+    for i, part in enumerate(MERGE_PARTS):
+        rows = spark.sql(part.replace("FROM nation", "FROM {nation}"), nation=nation)
+        props = F.map_filter(F.create_map(F.lit("source"), "p_source", F.lit("region"), "p_region"), lambda k, v: v.isNotNull())
+        nodes = rows.select("id", "label", "class", F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("rack_id"), props.alias("properties"))
+        pair = ("concat('n', n_regionkey)", "concat('n', n_nationkey)") if i == 0 else ("concat('n', n_nationkey)", "concat('n', n_nationkey + 20)")
+        edges = nation.selectExpr(f"concat('e{i}', n_nationkey) as id", f"{pair[0]} as source_id", f"{pair[1]} as target_id", "'dependency' as edge_type", "cast(map() as map<string,string>) as properties")
+        parts.append((nodes, edges))
+    nodes, edges, _ = graph.merge_graphs(*parts)
+    out = edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("out_edges"))
+    return nodes.join(out, "id", "left").select("id", "label", "class", F.try_element_at("properties", F.lit("source")).alias("source"), F.try_element_at("properties", F.lit("region")).alias("region"), F.coalesce("out_edges", F.lit(0)).alias("out_edges"))
+
+
+@query("d5_merge_into", f"""WITH {ORDER_EDGES}, base AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 2 = 0), fresh AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 3 = 0),
+allids AS (SELECT id FROM base UNION SELECT id FROM fresh), known AS (SELECT DISTINCT source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type FROM oe WHERE pos % 4 = 0)
+SELECT (SELECT count(*) FROM fresh WHERE id NOT IN (SELECT id FROM base)) AS new_nodes, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type FROM oe
+  WHERE source_id IN (SELECT id FROM allids) AND target_id IN (SELECT id FROM allids) EXCEPT SELECT * FROM known)) AS new_edges""")
+def d5(spark, d):
+    ids = spark.read.parquet(f"{d}/customer.parquet")
+    node = lambda n: ids.where(f"c_custkey % {n} = 0").selectExpr("concat('c', c_custkey) as id", "c_name as label")
+    edges = order_edges(spark, d)
+    base = edges.where("pos % 4 = 0").withColumn("edge_type", graph.edge_type_of(F.col("edge_type")))
+    return graph.merge_into((node(2), base), (node(3), edges))[2]
+
+
+@query("d7_break_cycles", ctes() + """, g AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT concat('customer/', c_custkey), concat('supplier/', c_custkey % 5), 'dependency' FROM customer WHERE c_custkey % 50 = 7),
+loops AS (SELECT DISTINCT e.source_id AS start, e.target_id AS node FROM g e UNION SELECT w.start, e.target_id FROM loops w JOIN g e ON e.source_id = w.node),
+cyclic AS (SELECT DISTINCT start AS node FROM loops WHERE start = node), stuck AS (SELECT node FROM cyclic UNION SELECT l.node FROM loops l JOIN cyclic c ON c.node = l.start)
+SELECT source_id, target_id, source_id IN (SELECT node FROM stuck) AND target_id IN (SELECT node FROM stuck) AS dropped FROM g""")
+def d7(spark, d):
+    extra = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 50 = 7").selectExpr("concat('x', c_custkey) as id", "concat('customer/', c_custkey) as source_id", "concat('supplier/', c_custkey % 5) as target_id", "'dependency' as edge_type")
+    kept, dropped = graph.break_cycles(views(spark, d)["edges"].unionByName(extra))
+    return kept.select("source_id", "target_id", F.lit(False).alias("dropped")).unionByName(dropped.select("source_id", "target_id", F.lit(True).alias("dropped")))
+
+
+PAIRS = "pr AS (SELECT concat('c', o_custkey) AS a, concat('c', o_custkey // 10 * 10) AS b FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query("h1_islands", f"WITH {PAIRS}, linked AS (SELECT a, b FROM pr), n AS (SELECT concat('c', c_custkey) AS id, concat('c', c_custkey // 10 * 10) AS hub FROM customer), hubs AS (SELECT b AS hub, least(min(a), b) AS low FROM linked GROUP BY b) "
+       "SELECT n.id AS node, CASE WHEN n.id IN (SELECT a FROM linked) OR n.id IN (SELECT b FROM linked) THEN h.low ELSE n.id END AS island FROM n LEFT JOIN hubs h ON h.hub = n.hub")
+def h1(spark, d):
+    edges = orders(spark, d).where("o_orderkey % 3 = 0").selectExpr("concat('c', o_custkey) as source_id", "concat('c', o_custkey div 10 * 10) as target_id")
+    nodes = spark.read.parquet(f"{d}/customer.parquet").selectExpr("concat('c', c_custkey) as id")
+    return graph.islands(nodes, edges)
+
+
+@query("h2_island_summary", inference_ctes(WEEK) + """, parts AS (SELECT n.*, CASE n.class WHEN 'Gateway' THEN u.source_id WHEN 'KeyVault' THEN uu.source_id ELSE n.id END AS island, n.id IN (SELECT node_id FROM sigs) AS s, n.id IN (SELECT node_id FROM muts) AS m FROM nodes n
+  LEFT JOIN edges u ON u.target_id = n.id AND n.class IN ('Gateway', 'KeyVault') LEFT JOIN edges uu ON uu.target_id = u.source_id AND n.class = 'KeyVault')
+SELECT min(id) AS island, count(*) AS nodes, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes, count(*) FILTER (WHERE s AND m) AS alerts, count(*) FILTER (WHERE s AND NOT m) AS signals,
+  count(*) FILTER (WHERE m AND NOT s) AS mutations, min(id) AS representative FROM parts GROUP BY parts.island""")
+def h2(spark, d):
+    v = views(spark, d)
+    out = graph.island_summary(v["nodes"], v["edges"].where("target_id not like 'customer/%'"), v["signals"], v["mutations"], as_of(v, spark, d), WEEK)
+    return out.withColumn("classes", F.array_join("classes", ","))
+
+
+@query("h3_neighborhood")
+def h3(spark, d):
+    v = views(spark, d)
+    seeds = active(v["signals"], as_of(v, spark, d)).select(F.col("node_id").alias("node"))
+    return paths.neighborhood(v["edges"], seeds)
+
+
+@query("h4_alert_subgraph")
+def h4(spark, d):
+    v = views(spark, d)
+    members, inner = graph.alert_subgraph(v["nodes"], v["edges"], v["mutations"], v["signals"], as_of(v, spark, d))
+    return members.select("cluster", "node", F.lit("node").alias("kind")).unionByName(inner.select(F.col("source_id").alias("cluster"), F.col("target_id").alias("node"), F.lit("edge").alias("kind")))
+
+
+@query("h5_graph_elements", inference_ctes(WEEK) + """SELECT 'node' AS kind, n.id, count(*) OVER () AS elements FROM nodes n UNION ALL SELECT 'edge', e.id, (SELECT count(*) FROM edges) FROM edges e""")
+def h5(spark, d):
+    v = views(spark, d)
+    out = graph.graph_elements(v["nodes"], v["edges"], v["signals"], v["mutations"], as_of(v, spark, d), WEEK)
+    counts = out.groupBy("kind").agg(F.count("*").alias("elements"))
+    return out.join(counts, "kind").select("kind", "id", "elements")
+
+
+@query("h6_dot_lines", ctes() + """SELECT '  "' || id || '" [label="' || label || '" fillcolor=' || CASE class WHEN 'Container' THEN 'lightblue' WHEN 'KeyVault' THEN 'gold' WHEN 'Gateway' THEN 'violet' ELSE 'white' END || '];' AS line FROM nodes
+UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [style=' || CASE edge_type WHEN 'containment' THEN 'solid' WHEN 'connection' THEN 'dotted' ELSE 'dashed' END || '];' FROM edges""")
+def h6(spark, d):
+    v = views(spark, d)
+    return graph.dot_lines(v["nodes"], v["edges"])
+
+
+@query("h7_blast_radius", inference_ctes(WEEK) + """, below AS (SELECT DISTINCT node_id AS source, node_id AS node, 0 AS hops FROM muts UNION SELECT b.source, e.target_id, b.hops + 1 FROM below b JOIN edges e ON e.source_id = b.node),
+near AS (SELECT source, node, min(hops) AS hops FROM below WHERE node <> source GROUP BY ALL)
+SELECT m.node_id AS source, count(n.node) AS downstream, count(s.node_id) AS signaled, CAST(coalesce(max(n.hops), 0) AS INT) AS max_hops, round(CASE WHEN count(n.node) > 0 THEN count(s.node_id) / count(n.node) END, 6) AS share
+FROM (SELECT DISTINCT node_id FROM muts) m LEFT JOIN near n ON n.source = m.node_id LEFT JOIN (SELECT DISTINCT node_id FROM sigs) s ON s.node_id = n.node GROUP BY m.node_id""")
+def h7(spark, d):
+    v = views(spark, d)
+    now = as_of(v, spark, d)
+    sources = active(v["mutations"], now, WEEK).select(F.col("node_id").alias("source"))
+    signaled = active(v["signals"], now, WEEK).select(F.col("node_id").alias("node"))
+    return paths.blast_radius(v["edges"], sources, signaled).withColumn("share", F.round("share", 6))
+
+
+@query("h8_latent_parents", """WITH n AS (SELECT concat('s', s_suppkey) AS id, CASE WHEN s_suppkey % 3 > 0 THEN concat('rack', s_suppkey % 4) END AS rack, CASE WHEN s_suppkey % 2 = 0 THEN concat('z', s_nationkey) END AS zone FROM supplier)
+SELECT 'latent://tor/' || rack AS parent, id AS child, 'ToRSwitch' AS class FROM n WHERE rack IS NOT NULL UNION ALL SELECT 'latent://zone/' || zone, id, 'AvailabilityZone' FROM n WHERE zone IS NOT NULL""")
+def h8(spark, d):
+    zone = F.expr("case when s_suppkey % 2 = 0 then map('zone', concat('z', s_nationkey)) else cast(map() as map<string,string>) end")
+    nodes = spark.read.parquet(f"{d}/supplier.parquet").select(F.expr("concat('s', s_suppkey)").alias("id"), F.lit("x").alias("region"), F.expr("case when s_suppkey % 3 > 0 then concat('rack', s_suppkey % 4) end").alias("rack_id"), zone.alias("properties"))
+    new_nodes, new_edges = graph.latent_parents(nodes)
+    return new_edges.join(new_nodes.select(F.col("id").alias("source_id"), "class"), "source_id").select(F.col("source_id").alias("parent"), F.col("target_id").alias("child"), "class")
+
+
+@query("h9_template_graph", """WITH r AS (SELECT concat('p', p_partkey) AS id, concat('p', p_partkey * 2) AS dep, concat('a', p_size) AS app FROM part),
+e AS (SELECT dep AS source_id, id AS target_id, 'dependency' AS edge_type FROM r UNION ALL SELECT app, id, 'containment' FROM r)
+SELECT e.*, CASE WHEN source_id IN (SELECT id FROM r) THEN 'box' ELSE 'External' END AS source_class FROM e""")
+def h9(spark, d):
+    none = "cast(null as array<string>) as connections"
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("concat('p', p_partkey) as id", "p_name as name", "'app/box' as type", "'x' as location", "array(concat('p', p_partkey * 2)) as depends_on", none, "concat('a', p_size) as application", "cast(null as string) as environment")
+    nodes, edges = graph.template_graph(rows)
+    return edges.join(nodes.select(F.col("id").alias("source_id"), F.col("class").alias("source_class")), "source_id").select("source_id", "target_id", "edge_type", "source_class")
