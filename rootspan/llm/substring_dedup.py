@@ -38,7 +38,8 @@ from rootspan.llm.common import bounded, column, mapped
 from rootspan.scratch import materialize
 
 LENGTH, K = 50, 20
-BATCH, SEGMENT = 4 << 20, 4 << 20
+#: Bytes of text that are settled together, that are hashed together, and after which a long text is cut.
+BATCH, CHUNK, SEGMENT = 4 << 20, 1 << 20, 1 << 20
 #: Triggers a group of the first shuffle holds on average; phrases of a trigger above which they go by suffix.
 GROUP_TRIGGERS, GROUP_PHRASES = 1 << 18, 500
 NO_ID = (1 << 63) - 1
@@ -57,7 +58,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     out = []
     for factor in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(BATCH + SEGMENT + 4 * LENGTH, factor, dtype=np.uint64)
+        steps = np.full(CHUNK + SEGMENT + 4 * LENGTH, factor, dtype=np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps))
     return out[0], out[1]
@@ -136,7 +137,7 @@ def _parse(groups: int, segment: int):
                     piece = text[at : at + segment + LENGTH - 1]
                     if len(piece) < LENGTH:
                         continue
-                    if pieces and held + len(piece) > BATCH:
+                    if pieces and held + len(piece) > CHUNK:
                         found.append(_owned(triggers(pieces), owner, offset))
                         pieces, owner, offset, held = [], [], [], 0
                     pieces.append(piece)
