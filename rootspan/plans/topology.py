@@ -1,3 +1,258 @@
-"""Queries."""
+"""Queries on topology sources (A, B) and streams (I), over inputs made from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rootspan.operators.graph import edge_type_of
+from rootspan.operators.inference import closure_for
+from rootspan.plans.fixtures import WEEK, as_of, ctes, inference_ctes, views
+from rootspan.scratch import scratch_path
+from rootspan.sources import ci, inventory, io, kubernetes, terraform
+from rootspan.streaming import intake
 
 QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+KINDS = [
+    ("Microsoft.Compute/virtualMachines", '{"networkProfile":{"networkInterfaces":[{"id":"/Subs/$1/"}]},"storageProfile":{"osDisk":{"managedDisk":{"id":"/subs/9$0"}},"dataDisks":[{"managedDisk":{"id":"/subs/$2"}}]},"availabilitySet":{"id":"/subs/$3"}}'),
+    ("microsoft.network/networkInterfaces", '{"networkSecurityGroup":{"id":"/subs/$1"},"ipConfigurations":[{"properties":{"subnet":{"id":"/subs/$1/subnets/a"},"publicIPAddress":{"id":"/subs/$2"}}}]}'),
+    ("microsoft.network/virtualNetworks", '{"subnets":[{"id":"/subs/$0/subnets/A","name":"a","properties":{"networkSecurityGroup":{"id":"/subs/$1"},"natGateway":{"id":"/subs/$2"}}}]}'),
+    ("microsoft.containerservice/managedClusters", '{"agentPoolProfiles":[{"vnetSubnetID":"/subs/$8/subnets/a"}]}'),
+    ("microsoft.network/loadBalancers", '{"frontendIPConfigurations":[{"properties":{"subnet":{"id":"/subs/$7/subnets/a"},"publicIPAddress":{"id":"/subs/$1"}}}],"backendAddressPools":[{"properties":{"backendIPConfigurations":[{"id":"/subs/$6/ipConfigurations/x"}]}}]}'),
+    ("microsoft.network/applicationGateways", '{"gatewayIPConfigurations":[{"properties":{"subnet":{"id":"/subs/$6/subnets/a"}}}]}'),
+    ("microsoft.network/privateEndpoints", '{"subnet":{"id":"/subs/$5/subnets/a"},"manualPrivateLinkServiceConnections":[{"properties":{"privateLinkServiceId":"/subs/$1"}}]}'),
+    ("microsoft.sql/servers/databases", "{}"),
+    ("contoso.things/odd", "{}"),
+]
+
+
+def resources(spark, d):
+    """Customers as cloud resources of nine kinds; ``$k`` in a kind's properties is the customer number k further on."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as k", "c_name as name", "concat('n', c_nationkey) as n")
+    kind, props = (F.element_at(F.array(*[F.lit(x[i]) for x in KINDS]), (F.col("k") % 9 + 1).cast("int")) for i in (0, 1))
+    for step in range(9):
+        props = F.replace(props, F.lit(f"${step}"), (F.col("k") + step).cast("string"))
+    own = F.when(F.col("k") % 9 == 7, F.expr("concat('/Subs/', k + 1, '/databases/', k)")).otherwise(F.expr("concat('/Subs/', k, '/')"))
+    identity = F.when(F.col("k") % 9 == 3, F.expr("map(concat('/subs/', k + 1), named_struct('principalId', 'x'))"))
+    schema = inventory.PROPERTIES.replace(" struct", ":struct").replace(" array", ":array").replace(", ", ",")
+    return rows.select(
+        own.alias("id"), "name", kind.alias("type"), F.col("n").alias("location"), F.concat(F.lit("RG"), "n").alias("resourceGroup"), F.lit("sub").alias("subscriptionId"),
+        F.from_json(props, f"struct<{schema}>").alias("properties"), F.struct(identity.alias("userAssignedIdentities")).alias("identity"),
+    )
+
+
+def _sub(step: int, tail: str = "") -> str:
+    return f"concat('/subs/', k + {step}, '{tail}')"
+
+
+EXPECTED = [
+    (0, "own", _sub(1), "dependency"), (0, "own", "concat('/subs/9', k)", "dependency"), (0, "own", _sub(2), "dependency"), (0, _sub(3), "own", "containment"),
+    (1, _sub(1), "own", "dependency"), (1, _sub(1, "/subnets/a"), "own", "containment"), (1, "own", _sub(2), "dependency"),
+    (2, "own", "concat(own, '/subnets/a')", "containment"), (2, _sub(1), "concat(own, '/subnets/a')", "dependency"), (2, _sub(2), "concat(own, '/subnets/a')", "dependency"),
+    (3, _sub(8, "/subnets/a"), "own", "containment"), (3, _sub(1), "own", "dependency"),
+    (4, _sub(7, "/subnets/a"), "own", "containment"), (4, "own", _sub(1), "dependency"), (4, "own", _sub(6), "dependency"),
+    (5, _sub(6, "/subnets/a"), "own", "containment"), (6, _sub(5, "/subnets/a"), "own", "containment"), (6, "own", _sub(1), "dependency"), (7, _sub(1), "own", "containment"),
+]
+RESOURCE_SQL = (
+    "WITH r AS (SELECT c_custkey AS k, c_custkey % 9 AS kind, c_nationkey AS n, CASE WHEN c_custkey % 9 = 7 THEN concat('/subs/', c_custkey + 1, '/databases/', c_custkey) ELSE concat('/subs/', c_custkey) END AS own FROM customer),\n"
+    + "e AS (" + " UNION ALL ".join(f"SELECT {s} AS source_id, {t} AS target_id, '{kind}' AS edge_type FROM r WHERE kind = {k}" for k, s, t, kind in EXPECTED)
+    + " UNION ALL SELECT concat('/subscriptions/sub/resourcegroups/rgn', n), own, 'containment' FROM r),\n"
+    + "nodes AS (SELECT own AS id FROM r UNION SELECT concat(own, '/subnets/a') FROM r WHERE kind = 2 UNION SELECT concat('/subscriptions/sub/resourcegroups/rgn', n) FROM r)\n"
+)
+
+
+@query("b1_b13_edges", RESOURCE_SQL + "SELECT DISTINCT source_id, target_id, edge_type, source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) AS kept FROM e")
+def b13(spark, d):
+    _, kept, dropped = inventory.build_graph(resources(spark, d))
+    columns = ["source_id", "target_id", "edge_type"]
+    return kept.select(*columns, F.lit(True).alias("kept")).unionByName(dropped.select(*columns, F.lit(False).alias("kept")))
+
+
+@query("b3_resource_nodes", RESOURCE_SQL + "SELECT own AS id, ['VirtualMachine', 'NetworkInterface', 'VirtualNetwork', 'AKSCluster', 'LoadBalancer', 'Gateway', 'PrivateEndpoint', 'SqlDatabase', 'Odd'][kind + 1] AS class, concat('n', n) AS region FROM r WHERE n IN (1, 2)")
+def b3(spark, d):
+    rows = inventory.filter_resources(resources(spark, d), groups=["rgN1", "rgn2"])
+    return inventory.resource_nodes(rows).select("id", "class", "region")
+
+
+def state(spark, d):
+    """Suppliers as Terraform resources: subnets, network interfaces that point to them, associations, and dependencies by address."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as k", "s_nationkey as n")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("azurerm_subnet", "azurerm_network_interface", "azurerm_subnet_route_table_association", "custom_new_thing")]), (F.col("k") % 4 + 1).cast("int"))
+    attributes = F.expr("""map_filter(map('id', case when k % 4 = 0 then concat('/Net/', k) end, 'location', concat('n', n), 'subnet_id', case when k % 4 in (1, 2) then concat('/net/', k - k % 4) end,
+      'route_table_id', case when k % 4 = 2 then concat('/net/', k - 2 + 4) end), (a, b) -> b is not null)""")
+    instance = F.array(F.struct(F.when(F.col("k") % 4 == 3, "i").alias("index_key"), attributes.alias("attributes")))
+    depends = F.expr("case when k % 4 = 1 then array(concat('custom_new_thing.r', k + 2), concat('module.m.azurerm_subnet.r', k - 1)) else cast(null as array<string>) end")
+    module = F.expr("case when k % 8 = 0 then 'module.m' end")
+    one = F.struct(F.lit("managed").alias("mode"), kind.alias("type"), module.alias("module"), F.concat(F.lit("r"), "k").alias("name"), depends.alias("depends_on"), instance.alias("instances"))
+    return s.select(F.array(one).alias("resources"))
+
+
+@query("b14_b17_terraform", """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), node AS (SELECT k, CASE k % 4 WHEN 0 THEN concat('/net/', k) WHEN 1 THEN concat('tf://azurerm_network_interface.r', k) ELSE concat('tf://custom_new_thing.r', k, '[i]') END AS id FROM s WHERE k % 4 <> 2),
+e AS (SELECT concat('/net/', k - 1) AS source_id, concat('tf://azurerm_network_interface.r', k) AS target_id FROM s WHERE k % 4 = 1 UNION SELECT concat('/net/', k + 2), concat('/net/', k - 2) FROM s WHERE k % 4 = 2)
+SELECT 'node' AS kind, id AS a, CASE k % 4 WHEN 0 THEN 'Subnet' WHEN 1 THEN 'NetworkInterface' ELSE 'New_Thing' END AS b FROM node
+UNION ALL SELECT CASE WHEN source_id IN (SELECT id FROM node) AND target_id IN (SELECT id FROM node) THEN 'edge' ELSE 'dangling' END, source_id, target_id FROM e""")
+def b14(spark, d):
+    nodes, edges, dropped = terraform.tf_graph(state(spark, d))
+    pair = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("class").alias("b")).unionByName(pair(edges, "edge")).unionByName(pair(dropped, "dangling"))
+
+
+@query("b16_resolved_modules", """WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (SELECT max(k) AS m FROM s)
+SELECT concat('tf://custom_new_thing.r', k + 2, '[i]') AS source_id, concat('tf://azurerm_network_interface.r', k) AS target_id FROM s, m WHERE k % 4 = 1 AND k + 2 <= m
+UNION ALL SELECT concat('/net/', k - 1), concat('tf://azurerm_network_interface.r', k) FROM s WHERE k % 4 = 1 AND (k - 1) % 8 = 0""")
+def b16(spark, d):
+    return terraform.tf_depends_on_edges(terraform.tf_instances(state(spark, d)), resolve_modules=True).select("source_id", "target_id")
+
+
+def pods(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    reason = F.element_at(F.array(*[F.lit(x) for x in [*kubernetes.POD_SIGNALS, "Fine"]]), (F.col("c_custkey") % 9 + 1).cast("int"))
+    status = F.struct(
+        F.expr("case when c_custkey % 5 = 0 then 'Pending' else 'Running' end").alias("phase"), F.expr("case when c_custkey % 2 = 0 then array(named_struct('type', 'a', 'status', 'b')) end").alias("conditions"),
+        F.array(F.struct(F.struct(F.struct(reason.alias("reason")).alias("waiting"), F.struct(F.lit(None).cast("string").alias("reason")).alias("terminated")).alias("state"), F.col("c_custkey").alias("restartCount"))).alias("containerStatuses"),
+    )
+    return c.select(F.expr("concat('ns', c_nationkey)").alias("namespace"), F.struct(F.expr("concat('p', c_custkey)").alias("name"), F.expr("array(named_struct('name', 'rs'))").alias("ownerReferences")).alias("metadata"), status.alias("status"))
+
+
+POD_REASONS = "[" + ", ".join(f"'{v[0]}'" for v in kubernetes.POD_SIGNALS.values()) + ", NULL]"
+
+
+@query("b18_b19_kubernetes", f"""
+WITH c AS (SELECT c_custkey AS k, concat('k8s://box/ns', c_nationkey, '/pod/p', c_custkey) AS pod, concat('k8s://box/ns', c_nationkey, '/namespace/ns', c_nationkey) AS ns FROM customer), n AS (SELECT concat('k8s://box/ns', n_nationkey, '/namespace/ns', n_nationkey) AS ns FROM nation)
+SELECT 'edge' AS kind, '/cloud/box' AS a, ns AS b FROM n UNION ALL SELECT 'edge', ns, pod FROM c UNION ALL SELECT 'signal', pod, {POD_REASONS}[k % 9 + 1] FROM c WHERE {POD_REASONS}[k % 9 + 1] IS NOT NULL
+UNION ALL SELECT 'signal', pod, 'PodPending' FROM c WHERE k % 5 = 0 AND k % 2 = 1""")
+def b18(spark, d):
+    p = pods(spark, d)
+    spaces = spark.read.parquet(f"{d}/nation.parquet").selectExpr("concat('ns', n_nationkey) as name")
+    _, edges = kubernetes.k8s_topology(spaces, p, "box", "/Cloud/Box")
+    signals = kubernetes.k8s_pod_signals(p, "box", F.to_timestamp(F.lit("2024-01-01")))
+    return edges.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(signals.select(F.lit("signal").alias("kind"), F.col("node_id").alias("a"), F.col("signal_type").alias("b")))
+
+
+@query("c11_k8s_events", "WITH t AS (SELECT event_id, user_id, ['" + "', '".join([*kubernetes.EVENT_SIGNALS, *kubernetes.EVENT_MUTATIONS, "Other"]) + "'][event_id % 20 + 1] AS r FROM events) SELECT concat('k8s://box/default/pod/u', user_id) AS node_id, CASE r "
+       + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in kubernetes.EVENT_SIGNALS.items()) + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kubernetes.EVENT_MUTATIONS.items()) + " END AS event_type, count(*) AS n FROM t WHERE r <> 'Other' GROUP BY ALL")
+def c11(spark, d):
+    reason = F.element_at(F.array(*[F.lit(x) for x in [*kubernetes.EVENT_SIGNALS, *kubernetes.EVENT_MUTATIONS, "Other"]]), (F.col("event_id") % 20 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(reason.alias("reason"), F.lit("m").alias("message"), F.lit("").alias("lastTimestamp"), F.struct(F.lit(None).cast("string").alias("namespace"), F.lit("2024-01-01T00:00:00Z").alias("creationTimestamp")).alias("metadata"), F.struct(F.lit("Pod").alias("kind"), F.expr("concat('u', user_id)").alias("name")).alias("involvedObject"))
+    signals, changes, _ = kubernetes.k8s_events(rows, "box")
+    both = signals.select("node_id", F.col("signal_type").alias("event_type")).unionByName(changes.select("node_id", F.col("mutation_type").alias("event_type")))
+    return both.groupBy("node_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("b20_policy_graph", """WITH t AS (SELECT concat('Deny Thing ', o_custkey % 7) AS p, concat('/r/', o_custkey) AS r FROM orders WHERE o_orderstatus = 'F')
+SELECT concat('policy://deny-thing-', right(p, 1)) AS policy, r AS resource, (SELECT count(*) FROM t u WHERE u.p = t.p) AS violations FROM t GROUP BY p, r""")
+def b20(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("concat('/r/', o_custkey) as resourceId", "o_orderpriority as resourceType", "concat('Deny Thing ', o_custkey % 7) as policyAssignment", "date_format(o_orderdate, 'yyyy-MM-dd') as timestamp", "case when o_orderstatus = 'F' then 'deny' else 'audit' end as effect")
+    nodes, edges, _, _ = kubernetes.policy_graph(rows, F.to_timestamp(F.lit("2024-01-01")))
+    counts = nodes.select(F.col("id").alias("source_id"), F.col("properties")["violation_count"].cast("long").alias("violations"))
+    return edges.join(counts, "source_id").select(F.col("source_id").alias("policy"), F.col("target_id").alias("resource"), "violations")
+
+
+def ci_inputs(spark, d):
+    from rootspan.plans.functions import runs
+
+    o, j = runs(spark, d)
+    log = spark.createDataFrame([], "run_id long, line_no long, line string")
+    commits = o.select(F.col("headSha").alias("sha"), F.lit("Fix it").alias("message"), F.lit("someone").alias("author")).distinct()
+    return o, j, log, commits
+
+
+@query("b21_ci_graph", """
+WITH b AS (SELECT o_orderkey AS k, left(md5(CAST(o_custkey AS VARCHAR)), 8) AS sha, o_orderpriority AS wf, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01'),
+j AS (SELECT l_orderkey, concat('job ', l_linenumber) AS n, l_returnflag, CASE WHEN l_tax > 0.04 THEN 'Run lint' ELSE 'Run E2E' END AS s FROM lineitem WHERE l_orderkey % 3 > 0),
+f AS (SELECT k, sha, day, n, s FROM b JOIN j ON l_orderkey = k AND l_returnflag = 'R' UNION ALL SELECT k, sha, day, wf, '' FROM b WHERE k NOT IN (SELECT l_orderkey FROM j)),
+c AS (SELECT *, CASE WHEN s = 'Run lint' THEN 'LintFailure' ELSE 'TestFailure' END AS t, regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM f),
+u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY sha, slug, t ORDER BY day, k, n) = 1)
+SELECT concat('commit://org/repo/', sha) AS source_id, concat('job://org/repo/', k, '/', slug) AS target_id FROM u UNION ALL SELECT 'latent://flaky-tests', concat('job://org/repo/', k, '/', slug) FROM u WHERE t = 'TestFailure'""")
+def b21(spark, d):
+    o, j, log, commits = ci_inputs(spark, d)
+    return ci.ci_graph(o, j, log, commits, F.to_timestamp(F.lit("1996-01-01")))["edges"].select("source_id", "target_id")
+
+
+@query("b22_workflow_resources", """WITH w AS (SELECT o_orderkey, ['Release Radius', 'Purge Azure test resources', 'Other'][o_orderkey % 3 + 1] AS w FROM orders)
+SELECT concat('j', o_orderkey) AS source_id, CASE w WHEN 'Release Radius' THEN '/subscriptions/s1/providers/microsoft.keyvault/vaults/radius-accounts' ELSE '/subscriptions/s1/resourcegroups/radiusfunctionaltest' END AS target_id FROM w WHERE w <> 'Other'""")
+def b22(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("concat('j', o_orderkey) as job", "element_at(array('Release Radius', 'Purge Azure test resources', 'Other'), cast(o_orderkey % 3 + 1 as int)) as workflowName")
+    return ci.workflow_resource_edges(rows, spark.createDataFrame(ci.WORKFLOW_RESOURCES, "workflow string, resource string"), "S1").select("source_id", "target_id")
+
+
+@query("a1_a3_payload_round_trip", ctes() + "SELECT source_id, target_id, edge_type FROM edges")
+def a1(spark, d):
+    v = views(spark, d)
+    path = scratch_path(spark, "payload")
+    io.write_graph_payload(v["nodes"], v["edges"].withColumn("properties", F.create_map().cast("map<string,string>")), path)
+    return spark.read.schema("source_id string, target_id string, edge_type string").json(f"{path}/edges").withColumn("edge_type", edge_type_of(F.col("edge_type")))
+
+
+@query("a4_snapshot_round_trip", inference_ctes(WEEK) + "SELECT 'signal' AS kind, id, node_id, timestamp FROM sigs UNION ALL SELECT 'mutation', id, node_id, timestamp FROM muts")
+def a4(spark, d):
+    v = views(spark, d)
+    path = scratch_path(spark, "snapshot")
+    io.save_snapshot(v, path, as_of(v, spark, d), WEEK)
+    t = io.load_snapshot(spark, path)
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "node_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return row(t["signals"], "signal").unionByName(row(t["mutations"], "mutation"))
+
+
+@query("a5_normalize_events", "SELECT concat('s', event_id) AS id, concat('u', user_id) AS node_id, CASE WHEN event_id % 3 = 0 THEN 'api' ELSE event_type END AS source, CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-06-01' ELSE date_trunc('second', ts) END AS timestamp FROM events")
+def a5(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("concat('s', event_id) as id", "concat('u', user_id) as node_id", "'x' as mutation_type", "case when event_id % 3 > 0 then event_type end as source", "case when event_id % 10 = 0 then 'never' when event_id % 5 > 0 then date_format(ts, 'yyyy-MM-dd HH:mm:ss') end as timestamp")
+    return io.normalize_events(rows, "mutations", F.to_timestamp(F.lit("2024-06-01"))).select("id", "node_id", "source", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+def run_stream(spark, df, name: str):
+    """What a stream gives once it has read all there is, as a table in the shared folder."""
+    out = scratch_path(spark, name)
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", intake.checkpoint_path(spark, name)).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def landed(spark, df, name: str):
+    """A stream over a folder that ``df`` was written to."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("i3_stream_ci_jobs", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'golangci' ELSE 'make' END AS s FROM documents)
+SELECT concat('job://org/repo/', doc_id, '/build') AS node_id, CASE WHEN s = 'golangci' THEN 'LintFailure' ELSE 'TestFailure' END AS signal_type FROM t""")
+def i3(spark, d):
+    body = F.to_json(F.struct(F.lit("completed").alias("action"), F.struct(F.lit("org/repo").alias("full_name")).alias("repository"), F.struct(
+        F.col("doc_id").alias("run_id"), F.lit("build").alias("name"), F.lit("abc").alias("head_sha"), F.lit("2024-01-01T00:00:00Z").alias("completed_at"), F.lit("failure").alias("conclusion"),
+        F.array(F.struct(F.expr("case when doc_id % 2 = 0 then 'golangci' else 'make' end").alias("name"), F.lit("failure").alias("conclusion"))).alias("steps")).alias("workflow_job")))
+    payloads = spark.read.parquet(f"{d}/documents.parquet").select(body.alias("value"))
+    return run_stream(spark, intake.stream_ci_jobs(landed(spark, payloads, "payloads")), "jobs").select("node_id", "signal_type")
+
+
+@query("i4_stream_cloud_events", "SELECT concat('/r/', user_id) AS node_id, CASE WHEN event_type = 'error' THEN 'Degraded' ELSE 'ConfigChange' END AS event_type, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY ALL")
+def i4(spark, d):
+    value = F.expr("""to_json(array(named_struct('eventType', case when event_type in ('error', 'signup') then 'Microsoft.ResourceHealth.AvailabilityStatusChanged' else 'Microsoft.Resources.ResourceWriteSuccess' end, 'eventTime', '2024-01-01T00:00:00Z',
+      'data', named_struct('resourceUri', concat('/R/', user_id), 'operationName', 'X/write', 'resourceType', 'x', 'availabilityStatus', case when event_type = 'error' then 'Degraded' else 'Available' end))))""")
+    payloads = spark.read.parquet(f"{d}/events.parquet").select(value.alias("value"))
+    mutations, signals = intake.stream_cloud_events(landed(spark, payloads, "payloads"))
+    both = run_stream(spark, mutations, "m").select("node_id", F.col("mutation_type").alias("event_type")).unionByName(run_stream(spark, signals, "s").select("node_id", F.col("signal_type").alias("event_type")))
+    return both.groupBy("node_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("i8_stream_candidates", ctes() + """, walk AS (SELECT DISTINCT node_id AS target, node_id AS node, 0 AS hops FROM signals JOIN nodes ON nodes.id = node_id UNION SELECT w.target, e.source_id, w.hops + 1 FROM walk w JOIN edges e ON e.target_id = w.node),
+closure AS (SELECT target, node, min(hops) AS hops FROM walk GROUP BY ALL)
+SELECT s.id AS signal_id, m.id AS mutation_id, c.hops FROM signals s JOIN closure c ON c.target = s.node_id JOIN mutations m ON m.node_id = c.node AND m.timestamp <= s.timestamp AND m.timestamp >= s.timestamp - to_seconds(86400)""")
+def i8(spark, d):
+    v = views(spark, d)
+    targets = v["signals"].select(F.col("node_id").alias("target")).join(v["nodes"].select(F.col("id").alias("target")), "target").distinct()
+    closure = closure_for(v["edges"], targets, v["mutations"])
+    signals = landed(spark, v["signals"].select("id", "node_id", "signal_type", "timestamp"), "signals")
+    mutations = landed(spark, v["mutations"].select("id", "node_id", "mutation_type", "timestamp"), "mutations")
+    return run_stream(spark, intake.stream_candidates(signals, mutations, closure), "candidates").select("signal_id", "mutation_id", "hops")
