@@ -42,7 +42,13 @@ def longs(array: pa.Array, null: int = -1) -> np.ndarray:
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """``fn`` over the batches of each partition; a worker gives unused memory back when a partition ends, as it lives on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str) -> str:

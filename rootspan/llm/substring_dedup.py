@@ -39,7 +39,7 @@ from rootspan.scratch import materialize
 
 LENGTH, K = 50, 20
 #: Bytes of text that are settled together, that are hashed together, and after which a long text is cut.
-BATCH, CHUNK, SEGMENT = 4 << 20, 1 << 20, 1 << 20
+BATCH, CHUNK, SEGMENT = 4 << 20, 1 << 18, 1 << 18
 #: Triggers a group of the first shuffle holds on average; phrases of a trigger above which they go by suffix.
 GROUP_TRIGGERS, GROUP_PHRASES = 1 << 18, 500
 NO_ID = (1 << 63) - 1
