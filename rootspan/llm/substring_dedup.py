@@ -13,8 +13,9 @@ an earlier document has is removed whole. That settles all but the phrases of tr
 different ones, where strings repeat in part.
 
 *Suffixes.* Of those the bytes are fetched, and their suffixes of ``LENGTH`` bytes are looked up in
-document order inside each trigger's dictionary. A trigger with more than ``GROUP_PHRASES`` of them
-is dealt out by suffix instead, combined before the shuffle.
+document order inside each trigger's dictionary. A trigger with so many of them that they would
+outweigh a task's usual share (within ``GROUP_PHRASES``) is dealt out by suffix instead, combined
+before the shuffle; both ways give the same rows.
 
 Inside a batch of texts a phrase that an earlier document of the batch has is settled at once, so a
 passage that a third of all documents share leaves one entry a batch. A global suffix array is not
@@ -40,8 +41,9 @@ from rootspan.scratch import materialize
 LENGTH, K = 50, 20
 #: Bytes of text that are settled together, that are hashed together, and after which a long text is cut.
 BATCH, CHUNK, SEGMENT = 4 << 20, 1 << 18, 1 << 18
-#: Triggers a group of the first shuffle holds on average; phrases of a trigger above which they go by suffix.
-GROUP_TRIGGERS, GROUP_PHRASES = 1 << 18, 500
+#: Triggers a group of the first shuffle holds on average; least and most phrases of a trigger above which they
+#: go by suffix; share of phrases that are usually looked into.
+GROUP_TRIGGERS, GROUP_PHRASES, LOOKED_INTO = 1 << 18, (500, 20_000), 0.04
 NO_ID = (1 << 63) - 1
 PLACE = np.uint64((1 << 24) - 1)
 MARKS = "kind int, doc long, part int, h long, lo long, n long"
@@ -300,7 +302,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, group_triggers: int = GROUP_TRIGGERS, group_phrases: int = GROUP_PHRASES, segment: int = SEGMENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_triggers: int = GROUP_TRIGGERS, group_phrases: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
     Removed is each byte covered by a string of 50 bytes that also starts in a document with a smaller
@@ -320,10 +322,13 @@ def remove_repeats(docs: DataFrame, group_triggers: int = GROUP_TRIGGERS, group_
     else:
         given = given.withColumn("part", F.lit(0))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, int(total * 2 / (LENGTH - K + 2) / group_triggers))
+    triggers_in_all = total * 2 / (LENGTH - K + 2)
+    groups = max(1, int(triggers_in_all / group_triggers))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if group_phrases is None:
+        group_phrases = int(min(max(GROUP_PHRASES[0], triggers_in_all * LOOKED_INTO / partitions), GROUP_PHRASES[1]))
     entries = mapped(given.select("doc", "part", "text"), _parse(groups, segment), PARSE)
     settled = materialize(entries.groupBy("pid").applyInPandas(_settle(group_phrases), MARKS), "marks")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = mapped(given.select("doc_id", "doc", "part", "text"), _pack_texts, "doc_id long, doc long, part int, n_bytes long, sha256 string, packed binary").repartition(partitions, "doc", "part")
     asked = settled.where("kind > 0").groupBy("doc", "part").agg(F.collect_list(F.struct("kind", "h", "lo", "n")).alias("asked"))
     fetched = mapped(texts.join(asked, ["doc", "part"]).select("doc", "part", "packed", "asked"), _fetch, "kind int, h long, doc long, part int, lo long, bytes binary")
