@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step in a Python task holds at most, unless a single text is longer.
 BATCH_BYTES = 8 << 20
@@ -51,6 +52,16 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(df: DataFrame, key: str, limit: int, n: int) -> DataFrame:
+    """At most ``limit`` of the ``n`` rows of ``df``: those of the smallest ``key``, a column of uniform 64-bit hashes.
+
+    Rows that can hardly be among them go before any are gathered, so what is sorted doesn't grow with ``df``.
+    """
+    share = min(1.0, 2 * (limit + 100) / max(n, 1))
+    few = df if share == 1.0 else df.where(F.col(key) < int(share * (1 << 64)) - (1 << 63))
+    return few.orderBy(key).limit(limit)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file on this machine; every operator takes it as a parameter."""
     import public_tokenizers

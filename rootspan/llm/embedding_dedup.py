@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.llm.common import column, mapped
+from rootspan.llm.common import column, hash_sample, mapped
 from rootspan.operators.components import connected_components
 from rootspan.scratch import materialize
 
@@ -170,7 +170,7 @@ def embedding_groups(
     unique = rows.where("digest is not null").groupBy("label", "digest").agg(F.min("uid").alias("node"), F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("vec").alias("vec"))
     unique = materialize(unique, "unique")
     stats = unique.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    sample = unique.orderBy(F.xxhash64("digest"), "node").limit(sample_rows).select("vec").collect()
+    sample = hash_sample(unique.select(F.xxhash64("digest").alias("key"), "vec"), "key", sample_rows, stats["n"]).collect()
     by_size: dict[int, list[bytes]] = {}
     for r in sample:
         by_size.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
