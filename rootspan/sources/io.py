@@ -12,9 +12,6 @@ from rootspan.operators.graph import edge_type_of
 from rootspan.operators.inference import DAY, active
 from rootspan.schema import EDGES, LAYERS, MUTATIONS, NODES, PAYLOAD, RULES, SIGNALS
 
-#: Fixed values.
-DEFAULT_SOURCES = {"sql": "radius", "rest": "api", "cdc": "drasi"}
-
 
 def read_graph_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of JSON documents with two arrays, one document a file; absent fields are null."""
