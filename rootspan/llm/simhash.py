@@ -16,6 +16,9 @@ Work that grows: distinct fingerprints only (copies meet in one row), about 21 k
 shuffle by key. A bucket is compared inside its task and gives a spanning forest, never all pairs;
 a bucket above ``bucket_limit`` goes to a second shuffle in blocks, every pair of blocks in a task of
 its own.
+
+``near_dedup`` goes by another rule, a Jaccard similarity of 0.8 or more of 5-word shingles. Such pairs differ
+in about ten bits, beyond what these keys find, so it has keys of its own (``similar_groups``).
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from rootspan.scratch import materialize
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 SEGMENTS, WIDTH = 4, 16
+SET_WORDS, BANDS, BAND_ROWS = 5, 40, 5
 GOLAY_POLYNOMIAL = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -272,11 +276,116 @@ def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS, bucket_limit:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id is the smallest.
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Distinct hashes, in order, of a text's 5-word shingles; a shorter text is one shingle, a wordless one has none."""
+    words = (text or b"").lower().split()
+    size = min(SET_WORDS, len(words))
+    runs = zip(*(words[i:] for i in range(size)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in runs), dtype=np.uint64))
+
+
+@lru_cache(maxsize=1)
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS + BAND_ROWS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[: BANDS * BAND_ROWS], odd[BANDS * BAND_ROWS :]
+
+
+def band_keys(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
+    """One key for each band of ``BAND_ROWS`` minima of the set under multiplicative hashes; none for the empty set."""
+    if not len(shingles):
+        return shingles
+    by, mix = _multipliers()
+    least = np.full(len(by), ~np.uint64(0))
+    for i in range(0, len(shingles), block):
+        least = np.minimum(least, (shingles[i : i + block, None] * by).min(axis=0))
+    return (least.reshape(BANDS, BAND_ROWS) * mix[:-1]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * mix[-1]
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded(batches, "text"):
+        ids, sizes, keys = [], [], []
+        for text in column(batch, "text").to_pylist():
+            found = shingle_set(text)
+            ids.append(_set_id(found))
+            sizes.append(len(found))
+            keys.append(band_keys(found))
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), _signed(ids), pa.array(sizes, pa.int64()), _lists(keys)], ["doc_id", "key", "n", "bands"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents that share a doc_id, only those whose set is the one asked for."""
+    for batch in bounded(batches, "text", 1 << 20):
+        sets = [shingle_set(t) for t in column(batch, "text").to_pylist()]
+        keys = _signed([_set_id(x) for x in sets])
+        kept = [i for i, (k, want) in enumerate(zip(keys.to_pylist(), column(batch, "key").to_pylist())) if k == want]
+        if kept:
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept)), _lists([sets[i] for i in kept])], ["key", "shingles"])
+
+
+def _near_sizes(m: str, n: str) -> str:
+    """Sets whose sizes differ by more than a fifth can't be similar enough."""
+    return f"5 * least({m}, {n}) >= 4 * greatest({m}, {n})"
+
+
+def _similar(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: numbers of sets) whose sets have a Jaccard similarity of 0.8 or more, from the sets themselves."""
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets, "key"), "wanted")
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
+    found = materialize(mapped(found, _shingles, "key long, shingles array<long>"), "shingles")
+    left, right = (found.select(F.col("key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
+    both = pairs.join(right, "b").join(left, "a")
+    return materialize(both.where("9 * size(array_intersect(of_a, of_b)) >= 4 * (size(of_a) + size(of_b))").select("a", "b"), "links")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` for each row of ``docs``: components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates share a band of minima; a pair at 0.8 shares none of the 40 in 1 of 8 million cases, a
+    closer one less often. Every candidate is verified on the sets themselves. First the members of a band
+    meet the band's smallest set only; what that leaves in several components meets pair by pair.
+    Equal sets (equal 64-bit hashes of them) are one from the start, wordless texts among them.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    hashed = materialize(mapped(texts, _bands, "doc_id long, key long, n long, bands array<long>"), "bands")
+    sets = materialize(hashed.groupBy("key").agg(F.min("doc_id").alias("first")), "sets")
+    banded = materialize(hashed.select("key", "n", F.explode("bands").alias("band")).distinct(), "banded")
+    shared = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).where("lead.key < last")
+    members = materialize(banded.join(materialize(shared.select("band", "lead"), "shared"), "band"), "members")
+    stars = members.where(f"key <> lead.key and {_near_sizes('n', 'lead.n')}").select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
+    links = _similar(texts, sets, stars)
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    placed = members.join(groups, "key", "left").select("band", "key", "n", F.col("lead.key").alias("lead"), F.coalesce("component", "key").alias("root"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = materialize(placed.where("key <> lead").join(materialize(mixed, "mixed"), "band").select("band", "key", "n", "root"), "rest")
+    other = rest.select("band", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    pairs = rest.join(other, "band").where(f"root < root2 and {_near_sizes('n', 'n2')}").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    links = links.unionByName(_similar(texts, sets, pairs))
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    known = materialize(sets.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "sets")
+    least = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    named = materialize(known.join(least, "root").select("key", "component_id"), "sets")
+    return hashed.join(named, "key").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each of the ``similar_groups``: the one whose doc_id is the smallest.
 
     Rows with a null doc_id stay. Of rows that repeat the smallest doc_id all stay.
     """
-    groups = simhash_components(docs, max_bits)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    drop = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")

@@ -117,3 +117,36 @@ def test_nulls_repeats_and_empty(spark):
     assert kept.count() == 4 and kept.columns == df.columns
     more = df.unionByName(spark.createDataFrame([(9, "A b c d", 3)], schema))
     assert simhash.near_dedup(more).where("doc_id = 9").count() == 0
+
+
+def test_near_dedup_is_jaccard_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 300))))
+        texts.append(base)
+        for edits in (1, 2, 4, 8, 16):
+            copy = list(base)
+            for at in rng.integers(0, len(base), edits):
+                copy[at] = str(rng.choice(vocabulary))
+            texts.append(copy)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000, ""), (1001, None), (1002, "one two three"), (1003, "One two  three"), (1004, "one two four")]
+    sets = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))} for i, w in ((i, (t or "").lower().split()) for i, t in docs)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    differing = 0
+    for a, b in combinations(sets, 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            differing += sets[a] != sets[b]
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert differing > 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {i: find(i) for i in sets}
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == {i for i in sets if find(i) == i}
