@@ -4,8 +4,12 @@ Texts become templates: numbers, units after numbers and names (capitalised word
 are replaced by typed placeholders, the rest is lower-cased words. Windows of ``WINDOW`` template
 words are hashed and joined with those of the benchmark; matches of a document and an item that lie
 on one diagonal (document position less item position) are counted. Where enough match, the values
-behind the placeholders decide: a leak maps each of the item's values to one value throughout, be it
-the same or another.
+behind the placeholders of the matched windows decide: a leak maps each of the item's values to one value
+throughout, be it the same or another.
+
+Beside them go windows of the plain words, case folded: capitals decide what counts as a name, so a copy in
+another case has other templates. Enough plain windows on one diagonal are a leak as well, whatever the
+values say, unless these contradict each other and most of the matched template windows are not verbatim.
 
 The benchmark's windows go to every task by broadcast, in shards of at most ``SHARD_ROWS`` rows of
 three longs, one after the other if they are more; all rows of the corpus meet every shard.
@@ -43,9 +47,28 @@ def units_out(s: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The template words of a text: lower-cased words, ``#`` number, ``%`` unit, ``@`` name."""
-    s = F.regexp_replace(units_out(numbers_out(marked(text))), NAME, "$1 @")
-    s = F.regexp_replace(F.lower(s), r"(?: \.)+ ", " ")
-    return F.filter(F.split(s, " +"), lambda w: w != "")
+    return template_words(marked(text))
+
+
+def template_words(flat: Column) -> Column:
+    s = F.regexp_replace(units_out(numbers_out(flat)), NAME, "$1 @")
+    return _words(F.lower(s))
+
+
+def plain_words(flat: Column) -> Column:
+    """The words of a marked text, case folded (capitals first: they have no sharp s)."""
+    return _words(F.lower(F.upper(flat)))
+
+
+def _words(s: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(s, r"(?: \.)+ ", " "), " +"), lambda w: w != "")
+
+
+def both_words(df: DataFrame, *keep: str) -> DataFrame:
+    """Two rows for each: its template words, and (``verbatim``) its plain words."""
+    flat = evaluated(df, "flat", marked(F.col("text")), *keep)
+    kinds = [F.struct(F.lit(False).alias("verbatim"), template_words(F.col("flat")).alias("words")), F.struct(F.lit(True).alias("verbatim"), plain_words(F.col("flat")).alias("words"))]
+    return flat.select(*keep, F.explode(F.array(*kinds)).alias("k")).select(*keep, "k.*")
 
 
 def evaluated(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
@@ -53,11 +76,11 @@ def evaluated(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def windows(df: DataFrame, size: int, key: str, pos: str) -> DataFrame:
-    """``key, pos, hash``: a hash for each run of ``size`` of the ``words`` of ``df``, positions from 0."""
-    hashed = evaluated(df.where(F.size("words") >= size), "hashes", F.transform("words", lambda w: F.xxhash64(w)), key)
+def windows(df: DataFrame, size: int, keys: list[str], pos: str) -> DataFrame:
+    """``keys, pos, hash``: a hash for each run of ``size`` of the ``words`` of ``df``, positions from 0."""
+    hashed = evaluated(df.where(F.size("words") >= size), "hashes", F.transform("words", lambda w: F.xxhash64(w)), *keys)
     starts = F.sequence(F.lit(1), F.size("hashes") - (size - 1))
-    return hashed.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, size)))).alias(pos, "hash"))
+    return hashed.select(*keys, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, size)))).alias(pos, "hash"))
 
 
 def slots(text: Column, words: Column) -> Column:
@@ -81,48 +104,53 @@ def _placed(words: Column, kind: str, values: Column) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, n_slots, n_changed`` for each leak of an item into a document.
 
-    n_windows: windows of the item found on the best diagonal, at least ``min_windows`` or all that
-    the item has; ties go to the smaller diagonal. An item of fewer than ``window`` template words
+    n_windows: template windows of the item found on the best diagonal, at least ``min_windows`` or all that
+    the item has; ties go to the smaller diagonal. Where these don't make a leak but the verbatim ones
+    do, n_windows and item_windows count windows of plain words. An item of fewer than ``window`` words
     is one window of its own length, an item without words is never found. n_slots: placeholders
-    compared, n_changed: of them with another value. Rows that share a doc_id (or item_id) are
-    judged together, nulls as one more id. Null texts are empty. Other columns are not read. Empty
-    in, empty out.
+    compared in matched template windows, n_changed: of them with another value. Rows that share a doc_id
+    (or item_id) are judged together, nulls as one more id. Null texts are empty. Other columns are not
+    read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    items = evaluated(benchmark, "words", template(F.col("text")), "item_id", "text").where(F.size("words") > 0)
+    items = both_words(benchmark, "item_id", "text").where(F.size("words") > 0)
     items = materialize(items.withColumn("n_window", F.least(F.size("words"), F.lit(window))), "items")
     sizes = sorted(r["n_window"] for r in items.select("n_window").distinct().collect())  # window numbers at most
     doc_id, item_id = F.struct("doc_id").alias("doc"), F.struct("item_id").alias("item")
     texts = docs.select("doc_id", "text")
-    worded = evaluated(texts, "words", template(F.col("text")), "doc_id")
+    worded = both_words(texts, "doc_id")
     hits = []
     for size in sizes:
-        own = windows(items.where(F.col("n_window") == size), size, "item_id", "item_pos")
-        own = materialize(own.select(item_id, "item_pos", "hash").distinct(), "windows")
+        own = windows(items.where(F.col("n_window") == size), size, ["item_id", "verbatim"], "item_pos")
+        own = materialize(own.select(item_id, "verbatim", "item_pos", "hash").distinct(), "windows")
         shards = max(1, -(-own.count() // shard_rows))
-        here = windows(worded, size, "doc_id", "doc_pos")
+        here = windows(worded, size, ["doc_id", "verbatim"], "doc_pos")
         for shard in range(shards):
             part = own.where(F.pmod("hash", F.lit(shards)) == shard)
-            hits.append(here.join(F.broadcast(part), "hash").select(doc_id, "item", "doc_pos", "item_pos"))
+            hits.append(here.join(F.broadcast(part), ["hash", "verbatim"]).select(doc_id, "item", "verbatim", "doc_pos", "item_pos"))
     if not hits:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, item_windows long, n_slots long, n_changed long")
     found = reduce(DataFrame.unionByName, hits).withColumn("diagonal", (F.col("doc_pos") - F.col("item_pos")).cast("long"))
-    by = found.groupBy("doc", "item", "diagonal").agg(F.countDistinct("item_pos").alias("n_windows"), F.min("item_pos").alias("lo"), F.max("item_pos").alias("hi"))
-    best = by.groupBy("doc", "item").agg(F.min(F.struct((-F.col("n_windows")).alias("o"), "diagonal", "n_windows", "lo", "hi")).alias("b")).select("doc", "item", "b.diagonal", "b.n_windows", "b.lo", "b.hi")
-    wide = items.groupBy(item_id).agg(F.max(F.size("words") - F.col("n_window") + 1).cast("long").alias("item_windows"), F.max("n_window").alias("n_window"))
-    likely = materialize(best.join(wide, "item").where(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))), "likely")
+    by = found.groupBy("doc", "item", "verbatim", "diagonal").agg(F.collect_set("item_pos").alias("at")).withColumn("n_windows", F.size("at").cast("long"))
+    best = by.groupBy("doc", "item", "verbatim").agg(F.min(F.struct((-F.col("n_windows")).alias("o"), "diagonal", "n_windows", "at")).alias("b")).select("doc", "item", "verbatim", "b.diagonal", "b.n_windows", "b.at")
+    wide = items.groupBy(item_id, "verbatim").agg(F.max(F.size("words") - F.col("n_window") + 1).cast("long").alias("item_windows"), F.max("n_window").alias("n_window"))
+    enough = materialize(best.join(wide, ["item", "verbatim"]).where(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))), "likely")
+    likely, copies = enough.where("not verbatim").drop("verbatim"), enough.where("verbatim")
     some = materialize(likely.select(F.col("doc.doc_id").alias("key"), F.lit(True).alias("hit")).distinct(), "likely")
     again = texts.join(some, F.col("doc_id").eqNullSafe(F.col("key"))).select("doc_id", "text")
     again = evaluated(again, "words", template(F.col("text")), "doc_id", "text")
     doc_slots = again.select(doc_id, F.explode(slots(F.col("text"), F.col("words"))).alias("s")).select("doc", F.col("s.pos").alias("doc_pos"), F.col("s.kind").alias("doc_kind"), F.col("s.value").alias("doc_value"))
-    item_slots = items.select(item_id, F.explode(slots(F.col("text"), F.col("words"))).alias("s")).select("item", F.col("s.pos").alias("item_pos"), "s.kind", F.col("s.value").alias("item_value"))
-    compared = likely.join(item_slots.distinct(), "item").where("item_pos between lo and hi + n_window - 1").withColumn("doc_pos", F.col("item_pos") + F.col("diagonal"))
+    item_slots = items.where("not verbatim").select(item_id, F.explode(slots(F.col("text"), F.col("words"))).alias("s")).select("item", F.col("s.pos").alias("item_pos"), "s.kind", F.col("s.value").alias("item_value"))
+    compared = likely.join(item_slots.distinct(), "item").where("exists(at, p -> item_pos between p and p + n_window - 1)").withColumn("doc_pos", F.col("item_pos") + F.col("diagonal"))
     compared = compared.join(doc_slots.distinct(), ["doc", "doc_pos"]).where("kind = doc_kind")
     by_value = compared.groupBy("doc", "item", "kind", "item_value").agg(F.countDistinct("doc_value").alias("values"), F.count("*").alias("n"), F.sum(F.when(F.col("doc_value") != F.col("item_value"), 1).otherwise(0)).alias("changed"))
     verdict = by_value.groupBy("doc", "item").agg(F.max("values").alias("values"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"))
-    out = likely.join(verdict, ["doc", "item"], "left").where(F.coalesce("values", F.lit(1)) == 1)
-    zero = F.lit(0).cast("long")
-    return out.select("doc.doc_id", "item.item_id", "n_windows", "item_windows", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
+    judged = likely.join(verdict, ["doc", "item"], "left").select("doc", "item", "n_windows", "item_windows", "n_slots", "n_changed", (F.coalesce("values", F.lit(1)) == 1).alias("consistent"))
+    copied = copies.select("doc", "item", F.col("n_windows").alias("n_copied"), F.col("item_windows").alias("item_copied"))
+    out = judged.join(copied, ["doc", "item"], "full").where("consistent or n_copied is not null and (n_windows is null or 2 * n_copied >= n_windows)")
+    zero, consistent = F.lit(0).cast("long"), F.coalesce("consistent", F.lit(False))
+    counts = [F.when(consistent, F.col(own)).otherwise(F.col(copy)).alias(own) for own, copy in (("n_windows", "n_copied"), ("item_windows", "item_copied"))]
+    return out.select("doc.doc_id", "item.item_id", *counts, F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -46,3 +46,18 @@ def test_empty(spark):
     assert leaks(spark, [(1, "a")], [])[0] == []
     _, d, b = leaks(spark, [(1, "a")], [(1, None)])
     assert decontaminate.without_leaks(d, b).count() == 1
+
+
+def test_copies_in_another_case_and_with_one_value_broken(spark):
+    one = ITEM.replace("40 seats", "71 seats")
+    gap = ITEM.replace("leaves with 40 people", "leaves at 6 with 12 people")
+    copies = [ITEM.lower(), ITEM.upper(), ITEM.title(), one, ITEM.split(". ")[1].upper()]
+    others = [ITEM.replace("40 people", "70 people").replace("40 seats", "71 seats"), "It stops for 3 hours, then Anna left.", gap.split(". ")[0]]
+    got, d, b = leaks(spark, [(i, "Before it. " + t + " After it.") for i, t in enumerate(copies + others)], [(10, ITEM)])
+    assert {g[0] for g in got} == set(range(len(copies)))
+    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == set(range(len(copies), len(copies + others)))
+
+
+def test_document_in_another_case_is_found(spark):
+    padded = "Some words stand before it, and many at that. " + ITEM + " And some follow."
+    assert [g[:2] for g in leaks(spark, [(2, padded.upper().lower())], [(10, ITEM)])[0]] == [(2, 10)]
