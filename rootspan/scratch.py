@@ -6,26 +6,40 @@ the optimizer real sizes for what follows.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, else the one of ``sc.setCheckpointDir``; a temporary one only on a local master.
+
+    On a cluster without either this raises: what executors write to their own disks, nobody else reads.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="rootspan-"))
-    return _OWN[0]
+        _OWN.append(tempfile.mkdtemp(prefix="rootspan-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -34,3 +48,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables written inside are deleted at the end, but for those whose path is put into the list."""
+    begin, keep = len(_WRITTEN), []
+    yield keep
+    for path in set(_WRITTEN[begin:]) - set(keep):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[begin:] = keep
+
+
+def materialize_alone(spark: SparkSession, make, name: str = "table") -> DataFrame:
+    """The table that ``make()`` describes, written, and whatever scratch tables it took on the way deleted."""
+    with passing(spark) as keep:
+        df = make()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        keep.append(path)
+    return spark.read.schema(df.schema).parquet(path)
