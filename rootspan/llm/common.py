@@ -69,6 +69,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def decoded(texts: pa.Array) -> list[str]:
+    """Texts as Python strings: null is empty, and bytes that are no UTF-8 (Spark strings may hold them) become U+FFFD."""
+    return ["" if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+
+
 @lru_cache(maxsize=4)
 def byte_bpe(ranks_path: str, end_id: int | None = None):
     """A byte-level BPE encoder from a rank file; gives the ids of the library ``tokenizers`` on the same vocabulary, several times faster.
@@ -82,3 +87,25 @@ def byte_bpe(ranks_path: str, end_id: int | None = None):
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
     special = {} if end_id is None else {"<|endoftext|>": end_id}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@lru_cache(maxsize=4)
+def _vocabulary(path: str, special: bool):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not special
+    return whole
+
+
+def token_ids(text: str, ranks_path: str, end_id: int | None = None) -> list[int]:
+    """Ids of a text of any length and kind.
+
+    The fast encoder gives up on runs of about a million white-space characters; such a text goes to ``tokenizers`` with the
+    vocabulary file beside the rank file, whose ids are the same.
+    """
+    encoding = byte_bpe(ranks_path, end_id)
+    try:
+        return encoding.encode(text, allowed_special="all", disallowed_special=())  # encode_ordinary would end the process instead of raising
+    except ValueError:
+        return _vocabulary(ranks_path.removesuffix(".tiktoken") + ".json", end_id is not None).encode(text, add_special_tokens=False).ids

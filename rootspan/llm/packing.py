@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.llm.common import bounded, byte_bpe, column, mapped, tokenizer_path
+from rootspan.llm.common import bounded, column, decoded, mapped, token_ids, tokenizer_path
 from rootspan.scratch import materialize
 
 CAPACITY, DOCUMENT_END, SPECIAL_END = 2048, 0, 50256
@@ -39,12 +39,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(ranks_path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_bpe(ranks_path, SPECIAL_END)
         uid = TaskContext.get().partitionId() << 40
         for batch in bounded(batches, "text"):
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
-                ids = encoding.encode(text or "", allowed_special="all")
+            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), decoded(column(batch, "text"))):
+                ids = token_ids(text, ranks_path, SPECIAL_END)
                 ids.append(DOCUMENT_END)
                 ids = np.array(ids, dtype="<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
@@ -62,7 +61,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | No
     """A row for each piece of each document: ``uid`` (unique), doc_id, piece, start, length, ids_crc32.
 
     The encoder gives the ids of ``byte_bpe_50k.json`` with ``add_special_tokens=False``; a literal
-    ``<|endoftext|>`` in a text is that special token, as there.
+    ``<|endoftext|>`` in a text is that special token, as there. Malformed UTF-8 counts as U+FFFD.
     """
     ranks_path = ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pieces(ranks_path, capacity), PIECES)
@@ -177,7 +176,7 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Every document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the single end id. Null and repeated doc_ids keep their rows. Only texts of
+    A null or empty text is the single end id, malformed UTF-8 counts as U+FFFD. Null and repeated doc_ids keep their rows. Only texts of
     more than ``capacity`` tokens are cut, into full pieces after a first that may be shorter. Other
     columns of ``docs`` are not read. Empty in, empty out.
     """

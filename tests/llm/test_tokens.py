@@ -145,3 +145,39 @@ def test_counts_nulls_repeats_empty(spark):
     got = [(r.doc_id, r.n_tokens) for r in token_counts.document_token_counts(df).collect()]
     assert sorted(got, key=str) == sorted([(None, 2), (1, 0), (1, 1), (1, 1)], key=str)
     assert token_counts.document_token_counts(df.limit(0)).count() == 0
+
+
+LONG = ["a" + " " * 1_000_000 + "b", "\n" * 2_000_000, "x \t" + "\u00a0" * 1_500_000, " " * 5_000_000 + "z", "w" * 10_000_000, "a<|endoftext|>" + " " * 1_200_000]
+BROKEN = [b"ab\xff\xfe cd", b"\xe2\x82", b"\xc3(" * 5]
+
+
+def odd_table(spark):
+    rows = [(i, t.encode()) for i, t in enumerate(LONG)] + [(100 + i, b) for i, b in enumerate(BROKEN)]
+    return spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, text binary").repartition(3).selectExpr("doc_id", "cast(text as string) text"), rows
+
+
+def test_any_text_has_the_ids_of_tokenizers(spark, reference):
+    df, rows = odd_table(spark)
+    want = {i: np.array([*reference(b.decode("utf-8", "replace")), 0], dtype="<u4") for i, b in rows}
+    got = defaultdict(list)
+    for r in packing.token_pieces(df).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, ids in want.items():
+        assert sorted(got[i]) == [(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), packing.CAPACITY))]
+    counts = {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(df).collect()}
+    assert {i: n for i, n in counts.items() if i != 5} == {i: len(ids) - 1 for i, ids in want.items() if i != 5}
+    assert counts[5] > len(want[5])  # here the end id's name is ordinary text
+
+
+def test_ranges_and_whole_files_agree(spark, tmp_path):
+    rng = random.Random(6)
+    files = {f"f{i}": [rng.choice([1, 2, 9]) for _ in range(rng.randrange(0, 90))] for i in range(6)}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, dtype="<u2").tobytes())
+    for block in (1, 5, 64):
+        got = defaultdict(list)
+        for r in token_counts.count_file_tokens(spark, f"file://{tmp_path}", 9, 2, block).collect():
+            got[r.file.rsplit("/", 1)[1]].append((r.ordinal, r.n_tokens, r.ended))
+        for name, ids in files.items():
+            assert [x[1:] for x in sorted(got[name])] == slow_scan(ids, 9)
+    assert not token_counts.readable_by_range("viewfs://store/x")
