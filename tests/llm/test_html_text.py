@@ -1,4 +1,6 @@
 import re
+import time
+from collections import Counter
 from html import unescape
 
 import pytest
@@ -48,3 +50,62 @@ def test_rows_stay(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>Hello, you.</p>", "x"), (1, "u", "<p>Hello, you.</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in extract_pages(df).collect()) == [("1", "Hello, you.", 11)] * 2 + [("None", "", 0)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+FIRST = "The first paragraph of the story, which says a good deal about its subject, and more."
+SECOND = "A second one follows; it has more to say, and says it in several clauses, as it should."
+THIRD = "The third is here, too. It is not long, but it ends the story."
+ARTICLE = f"<h1>Big story</h1><p>{FIRST}</p><p>{SECOND}</p><p>Short.</p><p>{THIRD}</p>"
+WHOLE = f"Big story {FIRST} {SECOND} Short. {THIRD}"
+LINKS = "<a href=1>Home</a> <a href=2>World</a> <a href=3>Sport</a> <a href=4>Money</a>"
+LIST = "<ul><li><a href=1>One thing to read</a></li><li><a href=2>Another thing to read</a></li></ul>"
+PAGES = {
+    "divs": (f"<body><div>{LINKS}</div><div>{ARTICLE}</div><div>I think, sir, that this is wrong. Really, it is!</div><div>Copyright 2020 Someone.</div></body>", WHOLE),
+    "divs2": (f"<body><div><div>{LINKS}</div></div><div><div>{ARTICLE}</div></div><div><div><b>Bob</b> I think, sir, that this is wrong. Really, it is!</div><div><b>Al</b> No, it is not.</div></div><div>&copy; 2020 Someone.</div></body>", WHOLE),
+    "links in article": (f"<body><article><h1>Big story</h1><p>{FIRST}</p>{LIST}<p>{SECOND}</p><p>Short.</p><p>{THIRD}</p></article></body>", WHOLE),
+    "links at end": (f"<body><article>{ARTICLE}{LIST}</article></body>", WHOLE),
+    "discussion": (f"<body><div id=c>{ARTICLE}<div class=discussion><p>I think, sir, that this is wrong. Really, it is!</p></div></div></body>", WHOLE),
+    "table": (f"<body><table><tr><td>{LINKS}</td><td>{ARTICLE}</td><td>Buy now, cheap.</td></tr></table></body>", WHOLE),
+    "table2": (f"<body><table><tr><td colspan=3>My site, the best.</td></tr><tr><td>{LIST}</td><td>{ARTICLE}</td><td>Buy now, cheap.</td></tr><tr><td>&copy; me</td></tr></table></body>", WHOLE),
+    "widget": (f'<body><div class="widget">{ARTICLE}</div></body>', WHOLE),
+    "share": (f'<body><nav>{LIST}</nav><div class="share-price-story tags">{ARTICLE}</div><footer>All rights, reserved. No copying, please.</footer></body>', WHOLE),
+    "lead": (f"<body><div class=lead><p>{FIRST}</p></div><div class=story><p>{SECOND}</p><p>Short.</p><p>{THIRD}</p></div></body>", f"{FIRST} {SECOND} Short. {THIRD}"),
+    "content": (f"<body><div id=content><h1>Big story</h1><div class=body><p>{FIRST}</p><p>{SECOND}</p><p>Short.</p><p>{THIRD}</p></div></div></body>", WHOLE),
+    "two": (f"<body><article><h1>Big story</h1><p>{FIRST}</p><p>{SECOND}</p></article><article><p>Short.</p><p>{THIRD}</p></article></body>", WHOLE),
+    "list end": (f"<body><div class=x><h1>Big story</h1><p>{FIRST}</p><p>{SECOND}</p><ul><li>Short.</li></ul><p>{THIRD}</p><ul><li>One point</li><li>Two points</li></ul></div><div>Buy now!</div></body>", WHOLE + " One point Two points"),
+    "brs": (f"<body><div>{LINKS}</div><div><h1>Big story</h1>{FIRST}<br><br>{SECOND}<br>Short.<br>{THIRD}</div><div>Login | Register</div></body>", WHOLE),
+    "form": (f"<body><form action=x><div>{LINKS}</div><div>{ARTICLE}</div><input><div>Search: go</div></form></body>", WHOLE),
+    "secs": (f"<body><header><h2>Site</h2></header><section><h1>Big story</h1><p>{FIRST}</p></section><section><p>{SECOND}</p><p>Short.</p></section><section><p>{THIRD}</p></section><section class=comments><p>I think, sir, this is wrong. Really, it is, and so on!</p></section></body>", WHOLE),
+    "bq": (f"<body><main><h1>Big story</h1><p>{FIRST}</p><blockquote><p>{SECOND}</p></blockquote><p>Short.</p><p>{THIRD}</p></main></body>", WHOLE),
+    "tbl in": (f"<body><article><h1>Big story</h1><p>{FIRST}</p><table><tr><td>A</td><td>1</td></tr></table><p>{SECOND}</p><p>Short.</p><p>{THIRD}</p></article></body>", f"Big story {FIRST} A 1 {SECOND} Short. {THIRD}"),
+    "cookie": (f"<body><div class=cookie-bar><p>We use cookies, as all do. Agree? If not, leave, and never come back to here.</p></div><div class=wrap><div class=post>{ARTICLE}</div><div class=side><h3>More</h3><p>Some blurb, here.</p></div></div></body>", WHOLE),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_without_telling_tags(name):
+    html, want = PAGES[name]
+    assert main_text(html) == want
+
+
+def test_linear_time():
+    for html in ('<a b="' * 300_000, "<p>x<a b=\"y'>" * 60_000, "<script>" * 200_000, "<!--" * 300_000, "<textarea>x</p>" * 200_000, "<div>" * 200_000 + "x", "</p>" * 200_000):
+        began = time.time()
+        main_text(html)
+        assert time.time() - began < 8
+
+
+def test_given_pages_stripped_of_names(spark):
+    """Without ``article`` and class names only the paths' scores tell the article."""
+    recall = precision = n = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = Counter(unescape(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", r.html, re.S)[1])).split())
+        got = Counter(main_text(re.sub(r' class="[^"]*"', "", r.html).replace("article>", "div>")).split())
+        both, n = (want & got).total(), n + 1
+        recall, precision = recall + both / want.total(), precision + both / max(1, got.total())
+    assert recall / n >= 0.97 and precision / n >= 0.97  # two pages have an advert longer than their article of two words
+
+
+def test_malformed_utf8(spark):
+    df = spark.createDataFrame([(1, "u", bytearray(b"<p>Hello\xff, you.</p>"))], "page_id long, url string, html binary").selectExpr("page_id", "url", "cast(html as string) html")
+    assert [(r.text, r.n_chars) for r in extract_pages(df.repartition(2)).collect()] == [("Hello\ufffd, you.", 12)]
