@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rootspan.llm import substring_dedup
@@ -73,3 +74,35 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df) == slow(rows)
     assert got(df.limit(0)) == []
+
+
+def test_suffix_ranks_are_the_order_of_fifty_bytes():
+    rng = random.Random(3)
+    data = b"".join(rng.choice([b"ab", b"c", b"x" * 60, b"abab" * 20]) for _ in range(60))
+    rank = substring_dedup.suffix_ranks(np.frombuffer(data, dtype=np.uint8))
+    strings = [data[p : p + LENGTH] for p in range(len(data) - LENGTH + 1)]
+    order = {s: i for i, s in enumerate(sorted(set(strings)))}
+    assert rank.tolist() == [order[s] for s in strings]
+
+
+def test_constant_and_periodic_texts(spark):
+    noise = "".join(random.Random(5).choices("abcdefgh ", k=400))
+    line = "one line of a log, sixty bytes long, again and again, so so.\n"
+    rows = [(3, "a" * 3000), (1, "a" * 70 + noise), (2, "ab" * 900), (4, noise[:80] + "ba" * 300), (5, line * 40), (6, noise + line * 3), (7, line * 90 + "a" * 49), (8, "a" * 5000), (0, "xyz" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"segment": 500}, {"group_phrases": 1}):
+        assert got(df, **options) == slow(rows)
+
+
+def test_constant_text_leaves_few_entries(spark):
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "part": [0, 0], "text": [b"a" * 3_000_000, b"abc" * 1_000_000]})
+    rows = list(substring_dedup._parse(1, substring_dedup.SEGMENT)(iter([batch])))
+    assert sum(abs(n) for r in rows for n in r.column(1).to_pylist()) < 200
+
+
+def test_task_remembers_phrases(spark):
+    """A passage of many batches of one task is settled there: its later documents leave spans, not entries."""
+    passage = "".join(random.Random(9).choices("abcdefgh ", k=900)).encode()
+    batches = [pa.RecordBatch.from_pydict({"doc": [10 * i, 10 * i + 1], "part": [0, 0], "text": [passage] * 2}) for i in range(6)]
+    rows = [n for r in substring_dedup._parse(1, substring_dedup.SEGMENT)(iter(batches)) for n in r.column(1).to_pylist()]
+    assert sum(n for n in rows if n > 0) == rows[1] and rows[1] > 20
