@@ -42,6 +42,14 @@ def longs(array: pa.Array, null: int = -1) -> np.ndarray:
     return array.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over the batches of each partition; a worker gives unused memory back when a partition ends, as it lives on."""
 
