@@ -9,30 +9,34 @@ from rootspan.functions.classify import cause_label, cause_type, target_label
 
 
 def alerts(diagnoses: DataFrame, signals: DataFrame) -> DataFrame:
-    """Diagnoses (with no threshold) as alerts: also the sources that reported, most likely first."""
+    """Diagnoses (with no threshold) as alerts: also the sources that reported; in no order."""
     sources = signals.select("node_id", F.try_element_at("properties", F.lit("source")).alias("s")).groupBy(F.col("node_id").alias("target_node")).agg(F.sort_array(F.collect_set("s")).alias("sources"))
-    return diagnoses.join(sources, "target_node", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).orderBy(F.desc("confidence"), "target_node")
+    return diagnoses.join(sources, "target_node", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
 def match_rules(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """``alerts`` with ``rule_no``, ``action`` (normal where no rule fits) and ``reason`` of the first rule whose given fields all fit.
 
     signal_type: one of the alert's; class: the node's; source: one of the signals'; pattern: found
-    in the node id; confidence bounds inclusive. Rules are a small hand-written list: each alert
-    meets each rule.
+    in the node id; confidence bounds inclusive. Rules are a small hand-written list: it comes to each alert
+    as one array, in its order, so alerts are not shuffled.
     """
-    a, r = alerts.alias("a"), rules.alias("r")
-    fits = (
-        (F.col("r.signal_type").isNull() | F.array_contains("a.signal_types", F.col("r.signal_type")))
-        & (F.col("r.class").isNull() | (F.col("r.class") == F.col("a.class")))
-        & (F.col("r.source").isNull() | F.array_contains("a.sources", F.col("r.source")))
-        & (F.col("r.pattern").isNull() | F.expr("a.target_node rlike r.pattern"))
-        & (F.col("r.min_confidence").isNull() | (F.col("a.confidence") >= F.col("r.min_confidence")))
-        & (F.col("r.max_confidence").isNull() | (F.col("a.confidence") <= F.col("r.max_confidence")))
-    )
-    hits = a.join(r, fits).groupBy("a.target_node").agg(F.min(F.struct("r.rule_no", "r.action", "r.reason")).alias("m"))
-    out = alerts.join(hits, "target_node", "left")
-    return out.select(*alerts.columns, F.col("m.rule_no").alias("rule_no"), F.coalesce("m.action", F.lit("normal")).alias("action"), F.col("m.reason").alias("reason"))
+    fields = ["rule_no", "action", "reason", "signal_type", "class", "source", "pattern", "min_confidence", "max_confidence"]
+    listed = rules.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
+
+    def fits(r: Column) -> Column:
+        return (
+            (r["signal_type"].isNull() | F.array_contains(F.col("signal_types"), r["signal_type"]))
+            & (r["class"].isNull() | (r["class"] == F.col("class")))
+            & (r["source"].isNull() | F.array_contains(F.col("sources"), r["source"]))
+            & (r["pattern"].isNull() | F.rlike(F.col("target_node"), r["pattern"]))
+            & (r["min_confidence"].isNull() | (F.col("confidence") >= r["min_confidence"]))
+            & (r["max_confidence"].isNull() | (F.col("confidence") <= r["max_confidence"]))
+        )
+
+    first = F.try_element_at(F.filter("_rules", fits), F.lit(1))
+    out = alerts.join(F.broadcast(listed), how="cross").withColumn("_rule", first)  # one row
+    return out.select(*alerts.columns, F.col("_rule.rule_no").alias("rule_no"), F.coalesce("_rule.action", F.lit("normal")).alias("action"), F.col("_rule.reason").alias("reason"))
 
 
 def suppress(alerts: DataFrame, types: DataFrame) -> DataFrame:
@@ -51,10 +55,10 @@ def alert_members(alerts: DataFrame) -> DataFrame:
     return alerts.where("action <> 'suppress'").withColumn("group", F.coalesce("root_cause", F.lit("unknown")))
 
 
-def alert_groups(alerts: DataFrame, nested: bool = True) -> DataFrame:
+def alert_groups(alerts: DataFrame, nested: bool = False) -> DataFrame:
     """One row a root cause: ``root_cause, confidence, count, signal_types, causal_path, latest_signal`` and, nested, ``affected_nodes, members``.
 
-    count is the alerts. Without nesting a group is aggregates alone, whatever its size; the members are then ``alert_members``.
+    count is the alerts. Without nesting a group is aggregates alone, whatever its size; its members are those of ``alert_members``.
     """
     order = F.struct((-F.col("confidence")).alias("o"), F.col("target_node"))
     wide = [F.sort_array(F.collect_set("target_node")).alias("affected_nodes"), F.array_sort(F.collect_list(F.struct("target_node", "confidence", "signal_types"))).alias("members")]

@@ -12,13 +12,16 @@ from rootspan.operators.components import connected_components
 from rootspan.operators.inference import DAY, active
 from rootspan.operators.paths import ancestors, inner_edges
 from rootspan.schema import EDGE_TYPES
-from rootspan.scratch import materialize
+from rootspan.scratch import materialize, materialize_counted
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]
 #: Fixed values.
 REPRESENTATIVE_CLASSES = ["CIPipeline", "AKSCluster", "VirtualMachine", "ResourceGroup"]
 EDGE_STYLES = {"containment": "solid", "dependency": "dashed", "connection": "dotted"}
-CLASS_COLORS = {"Container": "lightblue", "VirtualMachine": "lightgreen", "KeyVault": "gold", "ManagedIdentity": "orange", "Gateway": "violet", "LoadBalancer": "violet"}
+CLASS_COLORS = {
+    "ToRSwitch": "lightcoral", "AvailabilityZone": "lightcoral", "PowerDomain": "lightcoral",
+    "Container": "lightblue", "VirtualMachine": "lightblue", "ManagedIdentity": "lightyellow", "KeyVault": "lightyellow",
+}
 
 
 def edge_type_of(c: Column) -> Column:
@@ -95,19 +98,21 @@ def load_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 def break_cycles(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """``(kept, dropped)``: nodes without incoming edges are peeled off until none is left; edges inside the rest go.
 
-    The rest are the cycles and what lies below them. A round per level of depth.
+    The rest are the cycles and what lies below them. A round per level of depth, and an error if ``max_rounds`` are not
+    enough. Every edge is in one of the two tables, those with null ends or type too; a null end is in no cycle.
     """
-    left = materialize(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct(), "peel")
+    left, n = materialize_counted(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct(), "peel")
     for _ in range(max_rounds):
         blocked = left.select(F.col("target_id").alias("source_id")).distinct()
-        rest = materialize(left.join(blocked, "source_id", "left_semi"), "peel")
-        if rest.count() == left.count():
+        before, (left, n) = n, materialize_counted(left.join(blocked, "source_id", "left_semi"), "peel")
+        if n == before:
             break
-        left = rest
-    stuck = materialize(left.select(F.col("target_id").alias("id")).distinct(), "stuck")
-    inside = edges.join(stuck.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(stuck.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    dropped = inside.select(*EDGE_KEY).distinct()
-    return edges.join(dropped, EDGE_KEY, "left_anti"), inside.select(*edges.columns)
+    else:
+        raise ValueError(f"the graph is deeper than {max_rounds} levels")
+    stuck = materialize(left.select(F.col("target_id").alias("_stuck")).distinct(), "stuck")
+    marked = edges.join(stuck.select(F.col("_stuck").alias("_s")), F.col("source_id") == F.col("_s"), "left").join(stuck.select(F.col("_stuck").alias("_t")), F.col("target_id") == F.col("_t"), "left")
+    inside = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    return marked.where(~inside).select(*edges.columns), marked.where(inside).select(*edges.columns)
 
 
 def node_status(nodes: DataFrame, signals: DataFrame, mutations: DataFrame, as_of: datetime | Column, window_s: float = DAY) -> DataFrame:
@@ -178,13 +183,13 @@ def graph_elements(nodes: DataFrame, edges: DataFrame, signals: DataFrame, mutat
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(line)``: node and edge statements of a drawing, color by class, style by edge type."""
+    """``(line)``: node and edge statements of a drawing: label and class, color by class, style and label by edge type."""
     def chosen(column: str, values: dict[str, str], other: str) -> Column:
         return reduce(lambda acc, kv: F.when(F.col(column) == kv[0], kv[1]).otherwise(acc), values.items(), F.lit(other))
 
     quoted = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r'(["\\])', r"\\$1")
-    first = nodes.select(F.format_string('  "%s" [label="%s" fillcolor=%s];', quoted("id"), quoted("label"), chosen("class", CLASS_COLORS, "white")).alias("line"))
-    second = edges.select(F.format_string('  "%s" -> "%s" [style=%s];', quoted("source_id"), quoted("target_id"), chosen("edge_type", EDGE_STYLES, "dashed")).alias("line"))
+    first = nodes.select(F.format_string('  "%s" [label="%s\\n[%s]" style=filled fillcolor="%s"];', quoted("id"), quoted("label"), quoted("class"), chosen("class", CLASS_COLORS, "white")).alias("line"))
+    second = edges.select(F.format_string('  "%s" -> "%s" [style=%s label="%s"];', quoted("source_id"), quoted("target_id"), chosen("edge_type", EDGE_STYLES, "dashed"), F.initcap(edge_type_of(F.col("edge_type")))).alias("line"))
     return first.unionByName(second)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rootspan.operators.paths import ancestors, reachable
 from rootspan.schema import DEFAULT_P_FAILURE
+from rootspan.scratch import materialize
 
 #: Share of the score a hop keeps, score of an ancestor without evidence, share of the prior without a match.
 HOP_FACTOR, ANCESTOR_FLOOR, NO_MATCH = 0.92, 0.01, 0.05 / 0.5
@@ -100,15 +101,17 @@ def latest_only(mutations: DataFrame) -> DataFrame:
     return picked.select("m.id", "node_id", "mutation_type", "m.source", "m.timestamp")
 
 
-def candidate_causes(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: DataFrame, cpts: DataFrame, priors: DataFrame, top_only: bool = False) -> DataFrame:
+def candidate_causes(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: DataFrame, cpts: DataFrame, priors: DataFrame, top_only: bool = False, only: DataFrame | None = None) -> DataFrame:
     """A row for each change on a signaled node or one of its ancestors, with its confidence.
 
     ``target, mutation_id, mutation_node, mutation_type, mutation_ts, cause, hops, path, confidence``.
-    Targets are the signaled nodes of the graph; a change off the graph is no candidate.
+    Targets are the signaled nodes of the graph, of these those of ``only`` (column target) if it is given, before any
+    walk; a change off the graph is no candidate.
     """
     evidence = signals_by_node(signals)
     classes = nodes.select(F.col("id").alias("node_id"), "class")
-    targets = evidence.join(classes, "node_id").select(F.col("node_id").alias("target"), F.col("class").alias("t_class"), F.col("types").alias("t_types"), F.col("latest").alias("t_latest"))
+    wanted = evidence if only is None else evidence.join(only.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi")
+    targets = wanted.join(classes, "node_id").select(F.col("node_id").alias("target"), F.col("class").alias("t_class"), F.col("types").alias("t_types"), F.col("latest").alias("t_latest"))
     changes = (latest_only(mutations) if top_only else mutations).select(F.col("id").alias("mutation_id"), F.col("node_id").alias("node"), "mutation_type", F.col("timestamp").alias("mutation_ts"))
     changes = changes.join(classes.select(F.col("node_id").alias("node"), F.col("class").alias("a_class")), "node")
     closure = closure_for(edges, targets, mutations)
@@ -126,7 +129,7 @@ def rank_order() -> Column:
 
 def diagnose_all(
     nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: DataFrame, cpts: DataFrame, priors: DataFrame, as_of: datetime | Column,
-    window_s: float = DAY, min_confidence: float | None = 0.3, competing: bool = True, top_only: bool = False,
+    window_s: float = DAY, min_confidence: float | None = 0.3, competing: bool = True, top_only: bool = False, only: DataFrame | None = None,
 ) -> DataFrame:
     """A diagnosis for every signaled node of the graph.
 
@@ -134,16 +137,19 @@ def diagnose_all(
     With no active change anywhere the confidence is the class's failure rate; with changes but none
     upstream it is 0; both have no cause. competing_causes lists all candidates, best first, the best
     included; ``competing=False`` leaves them out (null), ``top_only`` keeps of each node and type
-    only the latest change. min_confidence is inclusive, None keeps all.
+    only the latest change. min_confidence is inclusive, None keeps all. only: an optional table (column target) of the
+    nodes to diagnose; others are not even walked from.
     """
     mutations, signals = active(mutations, as_of, window_s), active(signals, as_of, window_s)
-    found = candidate_causes(nodes, edges, mutations, signals, cpts, priors, top_only)
+    found = candidate_causes(nodes, edges, mutations, signals, cpts, priors, top_only, only)
     best = F.min_by(F.struct("confidence", "cause", "path"), rank_order()).alias("best")
     lists = F.transform(F.array_sort(F.collect_list(F.struct(rank_order().alias("o"), "cause", "confidence"))), lambda x: F.struct(x["cause"].alias("cause"), x["confidence"].alias("confidence")))
     none = F.lit(None).cast("array<struct<cause:string,confidence:double>>")
     ranked = found.groupBy("target").agg(best, (lists if competing else F.max(none)).alias("competing_causes"))
     changed = mutations.select(F.lit(True).alias("any_change")).limit(1)
     heard = signals_by_node(signals).join(nodes.select(F.col("id").alias("node_id"), "class"), "node_id")
+    if only is not None:
+        heard = heard.join(only.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi")
     rows = heard.join(ranked.withColumnRenamed("target", "node_id"), "node_id", "left").join(priors.select("class", "p_failure"), "class", "left")
     rows = rows.join(changed, F.lit(True), "left")
     prior = F.when(F.col("any_change").isNull(), F.coalesce("p_failure", F.lit(DEFAULT_P_FAILURE))).otherwise(0.0)
@@ -170,13 +176,37 @@ def within_before(left: DataFrame, right: DataFrame, key: str, at: str, when: st
     return early.join(late, [key, "_b"]).where(exact).drop("_b")
 
 
+def last_before(points: DataFrame, events: DataFrame, window_s: int) -> DataFrame:
+    """``(node, at, kind, when, id)``: at each point (node, at) and for each kind the latest of ``events`` (node, kind, when, id) no later and at most a window before.
+
+    Of events at the same time the one with the smallest id. Time is cut into buckets of a window's length; an event counts in its own
+    bucket, where one pass in the order of time carries it forward, and in the next, where the bucket's last one does. So the
+    work is linear in points times kinds and in events, and a node that has very many of either is spread over its buckets.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(window_s * 1_000_000))
+    dated = events.where("when is not null").withColumn("b", bucket("when"))
+    same_time = dated.groupBy("node", "b", "kind", "when").agg(F.min("id").alias("id"))
+    ends = same_time.groupBy("node", "b", "kind").agg(F.max_by(F.struct("when", "id"), "when").alias("last"))
+    asked = points.select("node", "at").distinct().withColumn("b", bucket("at"))
+    inside = asked.join(ends.select("node", "b", "kind"), ["node", "b"])
+    none = F.lit(None).cast(dict(same_time.dtypes)["id"])
+    rows = same_time.select("node", "b", "kind", F.col("when").alias("at"), F.lit(0).alias("is_point"), F.struct("when", "id").alias("last"))
+    rows = rows.unionByName(inside.select("node", "b", "kind", "at", F.lit(1).alias("is_point"), F.when(F.lit(False), F.struct(F.col("at").alias("when"), none.alias("id"))).alias("last")))
+    order = Window.partitionBy("node", "b", "kind").orderBy("at", "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("last", F.last("last", ignorenulls=True).over(order)).where("is_point = 1 and last is not null").select("node", "at", "kind", "last", F.lit(1).alias("near"))
+    before = asked.select("node", "at", (F.col("b") - 1).alias("b")).join(ends, ["node", "b"]).select("node", "at", "kind", "last", F.lit(0).alias("near"))
+    before = before.where(F.unix_micros("at") - F.unix_micros("last.when") <= window_s * 1_000_000)
+    both = here.unionByName(before).groupBy("node", "at", "kind").agg(F.max_by("last", "near").alias("last"))
+    return both.select("node", "at", "kind", "last.when", "last.id")
+
+
 def replay(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: DataFrame, cpts: DataFrame, priors: DataFrame, window_s: int = DAY, top_only: bool = True) -> DataFrame:
     """The diagnosis at each signal's arrival, from the events of the window up to then.
 
     ``signal_id, target_node, timestamp, confidence, root_cause, causal_path``, a row for each signal
-    on a node of the graph (rows with one id, node and time are one). Candidates are joined per
-    signal; with ``top_only`` only the latest change up to then of each node and type is scored, which
-    leaves the best cause as it is. Whether any change was active anywhere is looked up by time
+    on a node of the graph (rows with one id, node and time are one). With ``top_only`` only the latest change
+    up to then of each node and type is looked up and scored, which leaves the best cause as it is; without it every change of
+    the window is joined. Signals are looked up in the same way, the latest of each type. Whether any change was active anywhere is looked up by time
     bucket in the sorted list of gaps between changes.
     """
     classes = nodes.select(F.col("id").alias("node_id"), "class")
@@ -187,16 +217,19 @@ def replay(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: Da
     heard = signals.select(F.col("node_id").alias("node"), "signal_type", F.col("timestamp").alias("signal_ts"))
     case = ["signal_id", "target", "at"]
     places = cases.join(closure, "target")
-    pairs = within_before(places, changes, "node", "at", "mutation_ts", window_s)
     if top_only:
-        key = [*case, "t_class", "node", "hops", "a_class", "mutation_type"]
-        newest = F.min_by(F.struct("mutation_id", "mutation_ts", "path"), F.struct((-F.unix_micros("mutation_ts")).alias("a"), F.col("mutation_id").alias("b")))
-        pairs = pairs.groupBy(*key).agg(newest.alias("m")).select(*key, "m.mutation_id", "m.mutation_ts", "m.path")
-    spots = pairs.select(*case, "node").unionByName(pairs.select(*case, F.col("target").alias("node"))).distinct()
-    seen = within_before(spots, heard, "node", "at", "signal_ts", window_s).groupBy(*case, "node").agg(F.max("signal_ts").alias("latest"), F.collect_set("signal_type").alias("types"))
-    at_target = seen.select(*case, F.col("node").alias("_n"), F.col("latest").alias("t_latest"), F.col("types").alias("t_types")).where("_n = target").drop("_n")
-    at_change = seen.select(*case, "node", F.col("latest").alias("a_latest"), F.col("types").alias("a_types"))
-    found = scored(pairs.join(at_target, case).join(at_change, [*case, "node"], "left"), cpts, priors)
+        asked = changes.select("node", F.col("mutation_type").alias("kind"), F.col("mutation_ts").alias("when"), F.col("mutation_id").alias("id"))
+        newest = last_before(places, asked, window_s).select("node", "at", F.col("kind").alias("mutation_type"), F.col("when").alias("mutation_ts"), F.col("id").alias("mutation_id"))
+        pairs = places.join(newest, ["node", "at"]).join(changes.select("node", "a_class").distinct(), "node")
+        pairs = materialize(pairs, "pairs")
+    else:
+        pairs = within_before(places, changes, "node", "at", "mutation_ts", window_s)
+    spots = pairs.select("node", "at").unionByName(pairs.select(F.col("target").alias("node"), "at"))
+    told = last_before(spots, heard.select("node", F.col("signal_type").alias("kind"), F.col("signal_ts").alias("when"), F.lit(0).alias("id")), window_s)
+    seen = told.groupBy("node", "at").agg(F.max("when").alias("latest"), F.collect_set("kind").alias("types"))
+    at_target = seen.select(F.col("node").alias("target"), "at", F.col("latest").alias("t_latest"), F.col("types").alias("t_types"))
+    at_change = seen.select("node", "at", F.col("latest").alias("a_latest"), F.col("types").alias("a_types"))
+    found = scored(pairs.join(at_target, ["target", "at"]).join(at_change, ["node", "at"], "left"), cpts, priors)
     found = found.withColumn("cause", F.concat("node", F.lit(" ("), "mutation_type", F.lit(")")))
     best = found.groupBy(*case).agg(F.min_by(F.struct("confidence", "cause", "path"), rank_order()).alias("best"))
     bucket = F.floor(F.unix_micros("at") / F.lit(window_s * 1_000_000))

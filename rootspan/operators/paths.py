@@ -7,18 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.scratch import materialize
+from rootspan.scratch import materialize, materialize_counted
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``(node, hops)``: everything downstream of ``seeds`` (column ``node``), the seeds included at 0."""
     step = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).where("next is not null")
-    front = materialize(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)), "front")
+    front, n = materialize_counted(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)), "front")
     seen, hops = front, 0
-    while front.take(1) and (max_hops is None or hops < max_hops):
+    while n and (max_hops is None or hops < max_hops):
         hops += 1
         new = front.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = materialize(new.withColumn("hops", F.lit(hops)), "front")
+        front, n = materialize_counted(new.withColumn("hops", F.lit(hops)), "front")
         seen = seen.unionByName(front)
     return seen
 
@@ -35,15 +35,15 @@ def ancestors(edges: DataFrame, targets: DataFrame, within: DataFrame | None = N
         step = step.join(within.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi")
     step = materialize(step, "steps")
     start = targets.select("target").where("target is not null").distinct()
-    front = materialize(start.select("target", F.col("target").alias("node"), F.array("target").alias("path")), "front")
+    front, n = materialize_counted(start.select("target", F.col("target").alias("node"), F.array("target").alias("path")), "front")
     levels, hops = [], 0
-    while front.take(1) and (max_hops is None or hops < max_hops):
+    while n and (max_hops is None or hops < max_hops):
         hops += 1
         new = front.join(step, "node").where("parent <> target").select("target", F.col("parent").alias("node"), F.concat(F.array("parent"), "path").alias("path"))
         new = new.groupBy("target", "node").agg(F.min("path").alias("path"))
-        for level in levels:
-            new = new.join(level.select("target", "node"), ["target", "node"], "left_anti")
-        front = materialize(new, "front")
+        if levels:  # all earlier levels in one join
+            new = new.join(reduce(DataFrame.unionByName, [x.select("target", "node") for x in levels]), ["target", "node"], "left_anti")
+        front, n = materialize_counted(new, "front")
         levels.append(front)
     spark = edges.sparkSession
     empty = spark.createDataFrame([], "target string, ancestor string, hops int, path array<string>")

@@ -202,7 +202,7 @@ shown AS (SELECT *, coalesce(root_cause, 'unknown') AS grp FROM alerts WHERE act
 def ruled(spark, d):
     v = views(spark, d)
     rules = spark.sql(RULES)
-    return al.match_rules(al.alerts(diagnosed(spark, d, competing=False), v["signals"]), rules)
+    return al.match_rules(al.alerts(diagnosed(spark, d, competing=False, top_only=True), v["signals"]), rules)
 
 
 @query("g2_match_rules", ALERTS + "SELECT target_node, rule_no, action, reason, CASE WHEN action = 'low' THEN 'low' ELSE 'normal' END AS priority FROM alerts")
@@ -217,10 +217,21 @@ def g3(spark, d):
 
 
 @query("g4_alert_groups", ALERTS + """SELECT grp AS root_cause, round(max(confidence), 6) AS confidence, count(*) AS count, CAST(sum(n_signals) AS BIGINT) AS n_signals, array_to_string(list_sort(list_distinct(flatten(list(signal_types)))), ',') AS signal_types,
-  arg_min(causal_path, {'o': -confidence, 'n': target_node}) AS causal_path, max(timestamp) AS latest_signal, array_to_string(list_sort(list(target_node)), ',') AS affected_nodes FROM shown GROUP BY grp""")
+  arg_min(causal_path, {'o': -confidence, 'n': target_node}) AS causal_path, max(timestamp) AS latest_signal FROM shown GROUP BY grp""")
 def g4(spark, d):
     g = al.alert_groups(ruled(spark, d))
-    return g.select("root_cause", r6("confidence"), "count", "n_signals", text("signal_types", ","), text("causal_path"), plain_time("latest_signal"), text("affected_nodes", ","))
+    return g.select("root_cause", r6("confidence"), "count", "n_signals", text("signal_types", ","), text("causal_path"), plain_time("latest_signal"))
+
+
+@query("g4_group_members", ALERTS + "SELECT grp AS root_cause, target_node, round(confidence, 6) AS confidence, array_to_string(list_sort(signal_types), ',') AS signal_types FROM shown")
+def g4_members(spark, d):
+    return al.alert_members(ruled(spark, d)).select(F.col("group").alias("root_cause"), "target_node", r6("confidence"), text("signal_types", ","))
+
+
+@query("g4_nested_groups", ALERTS + "SELECT grp AS root_cause, array_to_string(list_sort(list(target_node)), ',') AS affected_nodes, count(*) AS members FROM shown WHERE root_cause IS NOT NULL GROUP BY grp")
+def g4_nested(spark, d):
+    g = al.alert_groups(ruled(spark, d).where("root_cause is not null"), nested=True)
+    return g.select("root_cause", text("affected_nodes", ","), F.size("members").cast("long").alias("members"))
 
 
 @query("g6_filter_alerts", ALERTS + "SELECT target_node, round(confidence, 6) AS confidence, timestamp FROM alerts WHERE class = 'Container' AND list_contains(signal_types, 'TLSError')")
@@ -236,10 +247,12 @@ def g7(spark, d):
 @query("g8_group_report", ALERTS + """SELECT grp AS root_cause, grp AS cause, 'unknown' AS cause_type, round(max(confidence), 4) AS confidence, count(*) AS count, array_to_string(list_sort(list_distinct(flatten(list(signal_types)))), ', ') AS signals,
   replace(arg_min(causal_path, {'o': -confidence, 'n': target_node}), '>', ' -> ') AS path, max(timestamp) AS latest_signal FROM shown GROUP BY grp HAVING max(confidence) >= 0.5""")
 def g8(spark, d):
-    return al.group_report(al.alert_groups(ruled(spark, d), nested=False)).withColumn("latest_signal", plain_time("latest_signal"))
+    return al.group_report(al.alert_groups(ruled(spark, d))).withColumn("latest_signal", plain_time("latest_signal"))
 
 
-@query("g9_diagnosis_report")
+@query("g9_diagnosis_report", inference_ctes(WEEK) + """, shown AS (SELECT * FROM diagnoses WHERE confidence >= 0.1 ORDER BY confidence DESC, target_node LIMIT 20),
+rivals AS (SELECT target, list(cause || ' ' || printf('%.2f', confidence) ORDER BY rank) AS r FROM ranked WHERE rank IN (2, 3) GROUP BY target)
+SELECT target_node AS target, root_cause AS cause, round(confidence, 4) AS confidence, coalesce(array_to_string(r, '; '), '') AS competing, target_node FROM shown LEFT JOIN rivals ON target = target_node""")
 def g9(spark, d):
     return al.diagnosis_report(diagnosed(spark, d), 0.1, 20, 2)
 

@@ -103,3 +103,12 @@ diagnoses AS (
   SELECT t.node_id AS target_node, coalesce(r.confidence, CASE WHEN (SELECT count(*) FROM muts) = 0 THEN coalesce(p.p_failure, 0.005) ELSE 0.0 END) AS confidence, r.cause AS root_cause,
     coalesce(array_to_string(r.path, '>'), '') AS causal_path, t.latest AS timestamp, t.n_signals, t.types AS signal_types, t.class
   FROM targets t LEFT JOIN ranked r ON r.target = t.node_id AND r.rank = 1 LEFT JOIN priors p ON p.class = t.class)"""
+
+
+#: Islands of the whole graph as plain SQL: every node hangs on one region by containment, so regions that other edges link decide.
+ISLANDS = """,
+tree AS (SELECT id AS node, id AS root FROM nodes WHERE class = 'IdentityProvider' UNION ALL SELECT e.target_id, t.root FROM tree t JOIN edges e ON e.source_id = t.node AND e.edge_type = 'containment'),
+meets AS (SELECT DISTINCT a.root AS x, b.root AS y FROM edges e JOIN tree a ON a.node = e.source_id JOIN tree b ON b.node = e.target_id),
+linked AS (SELECT x, y FROM meets UNION SELECT y, x FROM meets),
+reach AS (SELECT root AS x, root AS y FROM (SELECT DISTINCT root FROM tree) UNION SELECT r.x, l.y FROM reach r JOIN linked l ON l.x = r.y),
+island AS (SELECT t.node, (SELECT min(u.node) FROM tree u JOIN reach r ON r.y = u.root WHERE r.x = t.root) AS island FROM tree t)"""

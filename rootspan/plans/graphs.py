@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rootspan.operators import graph, paths
-from rootspan.operators.inference import active
-from rootspan.plans.fixtures import WEEK, as_of, ctes, inference_ctes, views
+from rootspan.operators.inference import DAY, active
+from rootspan.plans.fixtures import ISLANDS, WEEK, as_of, ctes, inference_ctes, views
+from rootspan.sources import io
 
 QUERIES, ORACLES = {}, {}
 MAP = "map<string,string>"
@@ -83,73 +84,122 @@ def d4(spark, d):
     return nodes.join(out, "id", "left").select("id", "label", "class", F.try_element_at("properties", F.lit("source")).alias("source"), F.try_element_at("properties", F.lit("region")).alias("region"), F.coalesce("out_edges", F.lit(0)).alias("out_edges"))
 
 
-@query("d5_merge_into", f"""WITH {ORDER_EDGES}, base AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 2 = 0), fresh AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 3 = 0),
-allids AS (SELECT id FROM base UNION SELECT id FROM fresh), known AS (SELECT DISTINCT source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type FROM oe WHERE pos % 4 = 0)
-SELECT (SELECT count(*) FROM fresh WHERE id NOT IN (SELECT id FROM base)) AS new_nodes, (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type FROM oe
-  WHERE source_id IN (SELECT id FROM allids) AND target_id IN (SELECT id FROM allids) EXCEPT SELECT * FROM known)) AS new_edges""")
+@query("d5_merge_into", f"""WITH {ORDER_EDGES}, base AS (SELECT concat('c', c_custkey) AS id, c_name AS label FROM customer WHERE c_custkey % 2 = 0), fresh AS (SELECT concat('c', c_custkey) AS id, concat('new ', c_name) AS label FROM customer WHERE c_custkey % 3 = 0),
+alln AS (SELECT * FROM base UNION ALL SELECT * FROM fresh WHERE id NOT IN (SELECT id FROM base)), typed AS (SELECT source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type, pos FROM oe),
+known AS (SELECT source_id, target_id, edge_type FROM typed WHERE pos % 4 = 0),
+added AS (SELECT DISTINCT source_id, target_id, edge_type FROM typed WHERE source_id IN (SELECT id FROM alln) AND target_id IN (SELECT id FROM alln) AND (source_id, target_id, edge_type) NOT IN (SELECT (source_id, target_id, edge_type) FROM known))
+SELECT 'node' AS kind, id AS a, label AS b, NULL AS c FROM alln UNION ALL SELECT 'edge', source_id, target_id, edge_type FROM (SELECT * FROM known UNION ALL SELECT * FROM added)
+UNION ALL SELECT 'new', CAST((SELECT count(*) FROM fresh WHERE id NOT IN (SELECT id FROM base)) AS VARCHAR), CAST((SELECT count(*) FROM added) AS VARCHAR), NULL""")
 def d5(spark, d):
     ids = spark.read.parquet(f"{d}/customer.parquet")
-    node = lambda n: ids.where(f"c_custkey % {n} = 0").selectExpr("concat('c', c_custkey) as id", "c_name as label")
+    node = lambda n, label: ids.where(f"c_custkey % {n} = 0").selectExpr("concat('c', c_custkey) as id", f"{label} as label")
     edges = order_edges(spark, d)
     base = edges.where("pos % 4 = 0").withColumn("edge_type", graph.edge_type_of(F.col("edge_type")))
-    return graph.merge_into((node(2), base), (node(3), edges))[2]
+    nodes, links, counts = graph.merge_into((node(2, "c_name"), base), (node(3, "concat('new ', c_name)"), edges))
+    none = F.lit(None).cast("string")
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), none.alias("c"))
+    rows = rows.unionByName(links.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_type").alias("c")))
+    return rows.unionByName(counts.select(F.lit("new").alias("kind"), F.col("new_nodes").cast("string").alias("a"), F.col("new_edges").cast("string").alias("b"), none.alias("c")))
 
 
-@query("d7_break_cycles", ctes() + """, g AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT concat('customer/', c_custkey), concat('supplier/', c_custkey % 5), 'dependency' FROM customer WHERE c_custkey % 50 = 7),
+@query("d6_load_graph", f"""WITH {ORDER_EDGES}, n AS (SELECT concat('c', c_custkey) AS id FROM customer)
+SELECT id, source_id, target_id, CASE WHEN edge_type = 'connection' THEN edge_type ELSE 'dependency' END AS edge_type FROM oe WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)""")
+def d6(spark, d):
+    nodes = spark.read.parquet(f"{d}/customer.parquet").selectExpr("concat('c', c_custkey) as id")
+    known, _ = graph.drop_dangling(nodes, order_edges(spark, d))
+    return graph.load_graph(nodes, known)[1].select("id", "source_id", "target_id", "edge_type")
+
+
+@query("d8_evict_expired", ctes() + "SELECT 'signal' AS kind, id FROM signals, as_of WHERE timestamp >= t - to_seconds(172800) UNION ALL SELECT 'mutation', id FROM mutations, as_of WHERE timestamp >= t - to_seconds(172800)")
+def d8(spark, d):
+    v = views(spark, d)
+    tables = io.evict_expired(v, as_of(v, spark, d), 172_800)
+    row = lambda name: tables[f"{name}s"].select(F.lit(name).alias("kind"), "id")
+    return row("signal").unionByName(row("mutation"))
+
+
+@query("d7_break_cycles", ctes() + """, g AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT concat('customer/', c_custkey), concat('supplier/', c_custkey % 5), CASE WHEN c_custkey % 100 = 7 THEN 'dependency' END FROM customer WHERE c_custkey % 50 = 7
+  UNION ALL SELECT concat('customer/', c_custkey), NULL, 'dependency' FROM customer WHERE c_custkey % 50 = 8),
 loops AS (SELECT DISTINCT e.source_id AS start, e.target_id AS node FROM g e UNION SELECT w.start, e.target_id FROM loops w JOIN g e ON e.source_id = w.node),
 cyclic AS (SELECT DISTINCT start AS node FROM loops WHERE start = node), stuck AS (SELECT node FROM cyclic UNION SELECT l.node FROM loops l JOIN cyclic c ON c.node = l.start)
-SELECT source_id, target_id, source_id IN (SELECT node FROM stuck) AND target_id IN (SELECT node FROM stuck) AS dropped FROM g""")
+SELECT source_id, target_id, edge_type, coalesce(source_id IN (SELECT node FROM stuck WHERE node IS NOT NULL) AND target_id IN (SELECT node FROM stuck WHERE node IS NOT NULL), false) AS dropped FROM g""")
 def d7(spark, d):
-    extra = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 50 = 7").selectExpr("concat('x', c_custkey) as id", "concat('customer/', c_custkey) as source_id", "concat('supplier/', c_custkey % 5) as target_id", "'dependency' as edge_type")
-    kept, dropped = graph.break_cycles(views(spark, d)["edges"].unionByName(extra))
-    return kept.select("source_id", "target_id", F.lit(False).alias("dropped")).unionByName(dropped.select("source_id", "target_id", F.lit(True).alias("dropped")))
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    back = c.where("c_custkey % 50 = 7").selectExpr("concat('x', c_custkey) as id", "concat('customer/', c_custkey) as source_id", "concat('supplier/', c_custkey % 5) as target_id", "case when c_custkey % 100 = 7 then 'dependency' end as edge_type")
+    loose = c.where("c_custkey % 50 = 8").selectExpr("concat('y', c_custkey) as id", "concat('customer/', c_custkey) as source_id", "cast(null as string) as target_id", "'dependency' as edge_type")
+    kept, dropped = graph.break_cycles(views(spark, d)["edges"].unionByName(back).unionByName(loose))
+    row = lambda df, gone: df.select("source_id", "target_id", "edge_type", F.lit(gone).alias("dropped"))
+    return row(kept, False).unionByName(row(dropped, True))
 
 
-PAIRS = "pr AS (SELECT concat('c', o_custkey) AS a, concat('c', o_custkey // 10 * 10) AS b FROM orders WHERE o_orderkey % 3 = 0)"
+@query("h1_islands", ctes() + ISLANDS + " SELECT node, island FROM island")
+def h1(spark, d):
+    v = views(spark, d)
+    return graph.islands(v["nodes"], v["edges"])
 
 
-@query("h1_islands", f"WITH {PAIRS}, linked AS (SELECT a, b FROM pr), n AS (SELECT concat('c', c_custkey) AS id, concat('c', c_custkey // 10 * 10) AS hub FROM customer), hubs AS (SELECT b AS hub, least(min(a), b) AS low FROM linked GROUP BY b) "
-       "SELECT n.id AS node, CASE WHEN n.id IN (SELECT a FROM linked) OR n.id IN (SELECT b FROM linked) THEN h.low ELSE n.id END AS island FROM n LEFT JOIN hubs h ON h.hub = n.hub")
-def h1(spark, d):
-    edges = orders(spark, d).where("o_orderkey % 3 = 0").selectExpr("concat('c', o_custkey) as source_id", "concat('c', o_custkey div 10 * 10) as target_id")
+STARS = "WITH linked AS (SELECT concat('c', o_custkey) AS a, concat('c', o_custkey // 10 * 10) AS b FROM orders), n AS (SELECT concat('c', c_custkey) AS id, concat('c', c_custkey // 10 * 10) AS hub FROM customer), hubs AS (SELECT b AS hub, least(min(a), b) AS low FROM linked GROUP BY b)\n"
+
+
+@query("h1_islands_of_orders", STARS + "SELECT n.id AS node, CASE WHEN n.id IN (SELECT a FROM linked) OR n.id IN (SELECT b FROM linked) THEN h.low ELSE n.id END AS island FROM n LEFT JOIN hubs h ON h.hub = n.hub")
+def h1_orders(spark, d):
+    edges = orders(spark, d).selectExpr("concat('c', o_custkey) as source_id", "concat('c', o_custkey div 10 * 10) as target_id")
     nodes = spark.read.parquet(f"{d}/customer.parquet").selectExpr("concat('c', c_custkey) as id")
     return graph.islands(nodes, edges)
 
 
-@query("h2_island_summary", inference_ctes(WEEK) + """, parts AS (SELECT n.*, CASE n.class WHEN 'Gateway' THEN u.source_id WHEN 'KeyVault' THEN uu.source_id ELSE n.id END AS island, n.id IN (SELECT node_id FROM sigs) AS s, n.id IN (SELECT node_id FROM muts) AS m FROM nodes n
-  LEFT JOIN edges u ON u.target_id = n.id AND n.class IN ('Gateway', 'KeyVault') LEFT JOIN edges uu ON uu.target_id = u.source_id AND n.class = 'KeyVault')
-SELECT min(id) AS island, count(*) AS nodes, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes, count(*) FILTER (WHERE s AND m) AS alerts, count(*) FILTER (WHERE s AND NOT m) AS signals,
-  count(*) FILTER (WHERE m AND NOT s) AS mutations, min(id) AS representative FROM parts GROUP BY parts.island""")
+@query("h2_island_summary", inference_ctes(WEEK) + ISLANDS + """, parts AS (SELECT n.*, i.island, n.id IN (SELECT node_id FROM sigs) AS s, n.id IN (SELECT node_id FROM muts) AS m FROM nodes n JOIN island i ON i.node = n.id)
+SELECT island, count(*) AS nodes, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes, count(*) FILTER (WHERE s AND m) AS alerts, count(*) FILTER (WHERE s AND NOT m) AS signals,
+  count(*) FILTER (WHERE m AND NOT s) AS mutations, min(id) AS representative FROM parts GROUP BY island""")
 def h2(spark, d):
     v = views(spark, d)
-    out = graph.island_summary(v["nodes"], v["edges"].where("target_id not like 'customer/%'"), v["signals"], v["mutations"], as_of(v, spark, d), WEEK)
+    out = graph.island_summary(v["nodes"], v["edges"], v["signals"], v["mutations"], as_of(v, spark, d), WEEK)
     return out.withColumn("classes", F.array_join("classes", ","))
 
 
-@query("h3_neighborhood")
+def near_level(level: int) -> str:
+    """SQL of one level around the seeds: parents, and the first eight new children of each node."""
+    seen, front = f"seen{level - 1}", f"front{level - 1}"
+    return f"""
+down{level} AS (SELECT f.seed, l.target_id AS node FROM {front} f JOIN links l ON l.source_id = f.node WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.seed = f.seed AND s.node = l.target_id) QUALIFY row_number() OVER (PARTITION BY f.seed, f.node ORDER BY l.target_id) <= 8),
+front{level} AS (SELECT DISTINCT seed, node FROM (SELECT f.seed, l.source_id AS node FROM {front} f JOIN links l ON l.target_id = f.node UNION ALL SELECT * FROM down{level}) u WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.seed = u.seed AND s.node = u.node)),
+seen{level} AS (SELECT * FROM {seen} UNION ALL SELECT seed, node, {level} FROM front{level})"""
+
+
+@query("h3_neighborhood", inference_ctes(DAY) + f""", links AS (SELECT DISTINCT source_id, target_id FROM edges), front0 AS (SELECT DISTINCT node_id AS seed, node_id AS node FROM sigs), seen0 AS (SELECT seed, node, 0 AS depth FROM front0),{near_level(1)},{near_level(2)}
+SELECT seed, node, depth FROM seen2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, node) <= 40""")
 def h3(spark, d):
     v = views(spark, d)
     seeds = active(v["signals"], as_of(v, spark, d)).select(F.col("node_id").alias("node"))
     return paths.neighborhood(v["edges"], seeds)
 
 
-@query("h4_alert_subgraph")
+@query("h4_alert_subgraph", inference_ctes(DAY) + """, changed AS (SELECT DISTINCT node_id AS node FROM muts WHERE node_id IN (SELECT id FROM nodes)),
+children AS (SELECT source_id AS target, target_id AS node FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE source_id IN (SELECT node_id FROM targets)) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY target_id) <= 5),
+parts AS (SELECT node_id AS target, node_id AS node FROM targets UNION ALL SELECT target, unnest(path) FROM closure WHERE hops > 0 AND node IN (SELECT node FROM changed)
+  UNION ALL SELECT target, node FROM closure WHERE hops = 1 UNION ALL SELECT * FROM children UNION ALL SELECT NULL, node FROM changed),
+members AS (SELECT node, coalesce(max(CASE WHEN target = node THEN node END), min(target), node) AS cluster FROM parts GROUP BY node)
+SELECT cluster, node, 'node' AS kind FROM members UNION ALL SELECT source_id, target_id, 'edge' FROM edges WHERE source_id IN (SELECT node FROM members) AND target_id IN (SELECT node FROM members)""")
 def h4(spark, d):
     v = views(spark, d)
     members, inner = graph.alert_subgraph(v["nodes"], v["edges"], v["mutations"], v["signals"], as_of(v, spark, d))
     return members.select("cluster", "node", F.lit("node").alias("kind")).unionByName(inner.select(F.col("source_id").alias("cluster"), F.col("target_id").alias("node"), F.lit("edge").alias("kind")))
 
 
-@query("h5_graph_elements", inference_ctes(WEEK) + """SELECT 'node' AS kind, n.id, count(*) OVER () AS elements FROM nodes n UNION ALL SELECT 'edge', e.id, (SELECT count(*) FROM edges) FROM edges e""")
+@query("h5_graph_elements", inference_ctes(WEEK) + ISLANDS + """SELECT 'node' AS kind, n.id, i.island, n.id AS e_id, n.label, n.class, n.region,
+  CASE WHEN n.id IN (SELECT node_id FROM sigs) AND n.id IN (SELECT node_id FROM muts) THEN 'alert' WHEN n.id IN (SELECT node_id FROM sigs) THEN 'signal' WHEN n.id IN (SELECT node_id FROM muts) THEN 'mutation' ELSE 'normal' END AS status,
+  i.island AS e_island, NULL AS source, NULL AS target, NULL AS edge_type FROM nodes n JOIN island i ON i.node = n.id
+UNION ALL SELECT 'edge', e.id, i.island, e.id, NULL, NULL, NULL, NULL, NULL, e.source_id, e.target_id, e.edge_type FROM edges e JOIN island i ON i.node = e.source_id""")
 def h5(spark, d):
     v = views(spark, d)
     out = graph.graph_elements(v["nodes"], v["edges"], v["signals"], v["mutations"], as_of(v, spark, d), WEEK)
-    counts = out.groupBy("kind").agg(F.count("*").alias("elements"))
-    return out.join(counts, "kind").select("kind", "id", "elements")
+    e = F.from_json("element", "id string, label string, class string, region string, status string, island string, source string, target string, edge_type string")
+    rows = out.withColumn("e", e)
+    return rows.select("kind", "id", "island", F.col("e.id").alias("e_id"), "e.label", "e.class", "e.region", "e.status", F.col("e.island").alias("e_island"), "e.source", "e.target", "e.edge_type")
 
 
-@query("h6_dot_lines", ctes() + """SELECT '  "' || id || '" [label="' || label || '" fillcolor=' || CASE class WHEN 'Container' THEN 'lightblue' WHEN 'KeyVault' THEN 'gold' WHEN 'Gateway' THEN 'violet' ELSE 'white' END || '];' AS line FROM nodes
-UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [style=' || CASE edge_type WHEN 'containment' THEN 'solid' WHEN 'connection' THEN 'dotted' ELSE 'dashed' END || '];' FROM edges""")
+@query("h6_dot_lines", ctes() + r"""SELECT '  "' || id || '" [label="' || label || '\n[' || class || ']" style=filled fillcolor="' || CASE WHEN class = 'Container' THEN 'lightblue' WHEN class = 'KeyVault' THEN 'lightyellow' ELSE 'white' END || '"];' AS line FROM nodes
+UNION ALL SELECT '  "' || source_id || '" -> "' || target_id || '" [style=' || CASE edge_type WHEN 'containment' THEN 'solid' WHEN 'connection' THEN 'dotted' ELSE 'dashed' END || ' label="' || upper(left(edge_type, 1)) || substr(edge_type, 2) || '"];' FROM edges""")
 def h6(spark, d):
     v = views(spark, d)
     return graph.dot_lines(v["nodes"], v["edges"])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rootspan.operators.graph import edge_type_of
 from rootspan.operators.inference import closure_for
+from rootspan.operators.knowledge import merge_cpt_layers
 from rootspan.plans.fixtures import WEEK, as_of, ctes, inference_ctes, views
-from rootspan.scratch import scratch_path
+from rootspan.scratch import materialize, scratch_path
 from rootspan.sources import ci, inventory, io, kubernetes, terraform
 from rootspan.streaming import intake
 
@@ -79,6 +79,26 @@ def b13(spark, d):
     return kept.select(*columns, F.lit(True).alias("kept")).unionByName(dropped.select(*columns, F.lit(False).alias("kept")))
 
 
+@query("b13_last_node_wins", RESOURCE_SQL + """, cls AS (SELECT *, ['VirtualMachine', 'NetworkInterface', 'VirtualNetwork', 'AKSCluster', 'LoadBalancer', 'Gateway', 'PrivateEndpoint', 'SqlDatabase', 'Odd'][kind + 1] AS class FROM r)
+SELECT own AS id, CASE WHEN k % 3 = 0 THEN concat('Aaa ', k) ELSE c_name END AS label, CASE WHEN k % 3 = 0 THEN 'Box' ELSE class END AS class, CASE WHEN k % 3 = 0 THEN 'a' ELSE concat('n', n) END AS region FROM cls JOIN customer ON c_custkey = k
+UNION ALL SELECT concat(own, '/subnets/a'), 'a', 'Subnet', concat('n', n) FROM cls WHERE kind = 2
+UNION ALL SELECT concat('/subscriptions/sub/resourcegroups/rgn', n), concat('RGn', n), 'ResourceGroup', concat('n', n) FROM r GROUP BY n""")
+def b13_nodes(spark, d):
+    """Every third resource stands twice; the second row, whose name and region come first in the alphabet, wins."""
+    rows = resources(spark, d)
+    again = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").selectExpr("c_custkey as k")
+    own = F.when(F.col("k") % 9 == 7, F.expr("concat('/Subs/', k + 1, '/databases/', k)")).otherwise(F.expr("concat('/Subs/', k)"))
+    none = [F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in ("resourceGroup", "subscriptionId", "properties", "identity")]
+    again = again.select(own.alias("id"), F.expr("concat('Aaa ', k)").alias("name"), F.lit("x/box").alias("type"), F.lit("a").alias("location"), *none)
+    nodes, _, _ = inventory.build_graph(rows.unionByName(again))
+    return nodes.select("id", "label", "class", "region")
+
+
+@query("b3_resource_types", RESOURCE_SQL + "SELECT own AS id FROM r WHERE kind IN (0, 8)")
+def b3_types(spark, d):
+    return inventory.filter_resources(resources(spark, d), types=["microsoft.compute/VIRTUALMACHINES", "Contoso.Things/Odd"]).select(inventory.arm_id(F.col("id")).alias("id"))
+
+
 @query("b3_resource_nodes", RESOURCE_SQL + "SELECT own AS id, ['VirtualMachine', 'NetworkInterface', 'VirtualNetwork', 'AKSCluster', 'LoadBalancer', 'Gateway', 'PrivateEndpoint', 'SqlDatabase', 'Odd'][kind + 1] AS class, concat('n', n) AS region FROM r WHERE n IN (1, 2)")
 def b3(spark, d):
     rows = inventory.filter_resources(resources(spark, d), groups=["rgN1", "rgn2"])
@@ -109,6 +129,16 @@ def b14(spark, d):
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("class").alias("b")).unionByName(pair(edges, "edge")).unionByName(pair(dropped, "dangling"))
 
 
+@query("b14_last_instance_wins", "SELECT concat('/net/', s_suppkey) AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'late' ELSE concat('z', s_suppkey) END AS label, CASE WHEN s_suppkey % 3 = 0 THEN 'azurerm_disk.a' ELSE concat('azurerm_subnet.r', s_suppkey) END AS address FROM supplier")
+def b14_last(spark, d):
+    """Every third id stands twice in a state; the later instance, whose address comes first in the alphabet, wins."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as k")
+    one = lambda kind, name, label: F.struct(F.lit("managed").alias("mode"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("module"), name.alias("name"), F.lit(None).cast("array<string>").alias("depends_on"), F.array(F.struct(F.lit(None).cast("string").alias("index_key"), F.create_map(F.lit("id"), F.expr("concat('/net/', k)"), F.lit("name"), label).alias("attributes"))).alias("instances"))
+    rows = s.select(F.when(F.col("k") % 3 == 0, F.array(one("azurerm_subnet", F.expr("concat('r', k)"), F.expr("concat('z', k)")), one("azurerm_disk", F.lit("a"), F.lit("late")))).otherwise(F.array(one("azurerm_subnet", F.expr("concat('r', k)"), F.expr("concat('z', k)")))).alias("resources"))
+    nodes, _, _ = terraform.tf_graph(rows)
+    return nodes.select("id", "label", F.col("properties")["tf_address"].alias("address"))
+
+
 @query("b16_resolved_modules", """WITH s AS (SELECT s_suppkey AS k FROM supplier), m AS (SELECT max(k) AS m FROM s)
 SELECT concat('tf://custom_new_thing.r', k + 2, '[i]') AS source_id, concat('tf://azurerm_network_interface.r', k) AS target_id FROM s, m WHERE k % 4 = 1 AND k + 2 <= m
 UNION ALL SELECT concat('/net/', k - 1), concat('tf://azurerm_network_interface.r', k) FROM s WHERE k % 4 = 1 AND (k - 1) % 8 = 0""")
@@ -141,6 +171,15 @@ def b18(spark, d):
     return edges.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(signals.select(F.lit("signal").alias("kind"), F.col("node_id").alias("a"), F.col("signal_type").alias("b")))
 
 
+@query("b18_pod_nodes", """SELECT concat('k8s://box/ns', c_nationkey, '/pod/p', c_custkey) AS id, concat('p', c_custkey) AS label, 'Container' AS class, CASE WHEN c_custkey % 5 = 0 THEN 'Pending' ELSE 'Running' END AS phase, CAST(c_custkey AS VARCHAR) AS restart_count, 'rs' AS owner FROM customer
+UNION ALL SELECT concat('k8s://box/ns', n_nationkey, '/namespace/ns', n_nationkey), concat('ns', n_nationkey), 'KubernetesNamespace', NULL, NULL, NULL FROM nation UNION ALL SELECT 'k8s://box', 'box', 'AKSCluster', NULL, NULL, NULL""")
+def b18_nodes(spark, d):
+    spaces = spark.read.parquet(f"{d}/nation.parquet").selectExpr("concat('ns', n_nationkey) as name")
+    nodes, _ = kubernetes.k8s_topology(spaces, pods(spark, d), "box")
+    prop = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return nodes.select("id", "label", "class", prop("phase"), prop("restart_count"), prop("owner"))
+
+
 @query("c11_k8s_events", "WITH t AS (SELECT event_id, user_id, ['" + "', '".join([*kubernetes.EVENT_SIGNALS, *kubernetes.EVENT_MUTATIONS, "Other"]) + "'][event_id % 20 + 1] AS r FROM events) SELECT concat('k8s://box/default/pod/u', user_id) AS node_id, CASE r "
        + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in kubernetes.EVENT_SIGNALS.items()) + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kubernetes.EVENT_MUTATIONS.items()) + " END AS event_type, count(*) AS n FROM t WHERE r <> 'Other' GROUP BY ALL")
 def c11(spark, d):
@@ -160,6 +199,22 @@ def b20(spark, d):
     return edges.join(counts, "source_id").select(F.col("source_id").alias("policy"), F.col("target_id").alias("resource"), "violations")
 
 
+POLICY = "t AS (SELECT concat('Deny Thing ', o_custkey % 7) AS p, concat('policy://deny-thing-', o_custkey % 7) AS pid, concat('/r/', o_custkey) AS r, o_orderpriority AS k, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query("b20_policy_events", f"""WITH {POLICY}
+SELECT 'node' AS kind, pid AS a, 'Deny: ' || p AS b, 'DenyPolicy' AS c, array_to_string(list_sort(list(DISTINCT k)), ',') AS d, CAST(NULL AS TIMESTAMP) AS at FROM t GROUP BY p, pid
+UNION ALL SELECT 'mutation', pid, 'PolicyEnforcement', CAST(count(*) AS VARCHAR), p, TIMESTAMP '2024-01-01' FROM t GROUP BY p, pid
+UNION ALL SELECT 'signal', r, 'PolicyViolation', p, arg_min(k, day || k), CAST(min(day) AS TIMESTAMP) FROM t GROUP BY p, r""")
+def b20_events(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("concat('/r/', o_custkey) as resourceId", "o_orderpriority as resourceType", "concat('Deny Thing ', o_custkey % 7) as policyAssignment", "date_format(o_orderdate, 'yyyy-MM-dd') as timestamp", "case when o_orderstatus = 'F' then 'deny' else 'audit' end as effect")
+    nodes, _, signals, mutations = kubernetes.policy_graph(rows, F.to_timestamp(F.lit("2024-01-01")))
+    prop, at = lambda k: F.col("properties")[k], F.col("timestamp").cast("timestamp_ntz").alias("at")
+    out = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("class").alias("c"), prop("resource_types").alias("d"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    out = out.unionByName(mutations.select(F.lit("mutation").alias("kind"), F.col("node_id").alias("a"), F.col("mutation_type").alias("b"), prop("violation_count").alias("c"), prop("policy_assignment").alias("d"), at))
+    return out.unionByName(signals.select(F.lit("signal").alias("kind"), F.col("node_id").alias("a"), F.col("signal_type").alias("b"), prop("policy").alias("c"), prop("resource_type").alias("d"), at))
+
+
 def ci_inputs(spark, d):
     from rootspan.plans.functions import runs
 
@@ -181,6 +236,40 @@ def b21(spark, d):
     return ci.ci_graph(o, j, log, commits, F.to_timestamp(F.lit("1996-01-01")))["edges"].select("source_id", "target_id")
 
 
+CI_LOG = ["bash: foo: command not found", "AADSTS7000 denied", "connection refused: dial tcp 127.0.0.1", "nothing known"]
+
+
+def ci_log(spark, d):
+    """Two error lines for every second failed order; the first tells what failed."""
+    picked = F.element_at(F.array(*[F.lit(x) for x in CI_LOG]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 2 = 0 and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("x ##[error]"), picked).alias("line")), F.struct(F.lit(2).cast("long").alias("line_no"), F.lit("##[error] second").alias("line")))).alias("l"))
+    return rows.select("run_id", "l.*")
+
+
+@query("b21_ci_events", f"""
+WITH b AS (SELECT o_orderkey AS k, o_custkey, left(md5(CAST(o_custkey AS VARCHAR)), 8) AS sha, o_orderpriority AS wf, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN {'[' + ', '.join(f"'{x}'" for x in CI_LOG) + ']'}[o_custkey % 4 + 1] END AS err FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01'),
+j AS (SELECT l_orderkey, concat('job ', l_linenumber) AS n, l_returnflag, CASE WHEN l_tax > 0.04 THEN 'Run lint' ELSE 'Run E2E' END AS s FROM lineitem WHERE l_orderkey % 3 > 0),
+f AS (SELECT k, sha, wf, day, err, n, s FROM b JOIN j ON l_orderkey = k AND l_returnflag = 'R' UNION ALL SELECT k, sha, wf, day, err, wf, '' FROM b WHERE k NOT IN (SELECT l_orderkey FROM j)),
+c AS (SELECT *, CASE WHEN err LIKE 'AADSTS%' THEN 'AzureAuthFailure' WHEN err LIKE 'bash%' THEN 'CommandNotFound' WHEN err LIKE 'connection%' THEN 'GrpcConnectionRefused' WHEN s = 'Run lint' THEN 'LintFailure' ELSE 'TestFailure' END AS t,
+  regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM f),
+u AS (SELECT *, concat('job://org/repo/', k, '/', slug) AS job, concat('commit://org/repo/', sha) AS c_id, t IN ('AzureAuthFailure', 'CommandNotFound', 'GrpcConnectionRefused') AS infra FROM c QUALIFY row_number() OVER (PARTITION BY sha, slug, t ORDER BY day, k, n, s) = 1),
+steps AS (SELECT *, CASE WHEN s = '' THEN '[]' ELSE '["' || s || '"]' END AS fs, CASE WHEN err IS NULL THEN '[]' ELSE '["' || err || '","second"]' END AS el FROM u)
+SELECT 'signal' AS kind, job AS a, t AS b, fs || el AS c, CASE WHEN infra THEN NULL ELSE sha END AS d, CAST(day AS TIMESTAMP) AS at FROM steps
+UNION ALL SELECT 'node', job, wf || ': ' || n, 'CIJob', fs, NULL FROM steps
+UNION ALL SELECT 'node', c_id, sha || ': Fix it', 'Commit', NULL, NULL FROM u WHERE NOT infra GROUP BY c_id, sha
+UNION ALL SELECT 'mutation', c_id, 'CodeChange', NULL, NULL, CAST(min(day) AS TIMESTAMP) FROM u WHERE NOT infra GROUP BY c_id
+UNION ALL SELECT 'mutation', 'latent://flaky-tests', 'FlakyTestRun', NULL, NULL, CAST(day AS TIMESTAMP) FROM u WHERE t IN ('TestFailure', 'GrpcConnectionRefused')
+UNION ALL SELECT 'mutation', 'latent://runner-env/linux', 'RunnerImageUpdate', NULL, NULL, CAST(day AS TIMESTAMP) FROM u WHERE t IN ('CommandNotFound', 'GrpcConnectionRefused')""")
+def b21_events(spark, d):
+    o, j, _, commits = ci_inputs(spark, d)
+    t = ci.ci_graph(o, j, ci_log(spark, d), commits, F.to_timestamp(F.lit("1996-01-01")))
+    none, at = F.lit(None).cast("string"), F.col("timestamp").cast("timestamp_ntz").alias("at")
+    prop = lambda k: F.try_element_at("properties", F.lit(k))
+    out = t["signals"].select(F.lit("signal").alias("kind"), F.col("node_id").alias("a"), F.col("signal_type").alias("b"), F.concat(prop("failed_steps"), prop("error_lines")).alias("c"), prop("trigger_sha").alias("d"), at)
+    out = out.unionByName(t["nodes"].where("id not like 'latent://%'").select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("class").alias("c"), prop("failed_steps").alias("d"), F.lit(None).cast("timestamp_ntz").alias("at")))
+    return out.unionByName(t["mutations"].select(F.lit("mutation").alias("kind"), F.col("node_id").alias("a"), F.col("mutation_type").alias("b"), none.alias("c"), none.alias("d"), at))
+
+
 @query("b22_workflow_resources", """WITH w AS (SELECT o_orderkey, ['Release Radius', 'Purge Azure test resources', 'Other'][o_orderkey % 3 + 1] AS w FROM orders)
 SELECT concat('j', o_orderkey) AS source_id, CASE w WHEN 'Release Radius' THEN '/subscriptions/s1/providers/microsoft.keyvault/vaults/radius-accounts' ELSE '/subscriptions/s1/resourcegroups/radiusfunctionaltest' END AS target_id FROM w WHERE w <> 'Other'""")
 def b22(spark, d):
@@ -188,22 +277,92 @@ def b22(spark, d):
     return ci.workflow_resource_edges(rows, spark.createDataFrame(ci.WORKFLOW_RESOURCES, "workflow string, resource string"), "S1").select("source_id", "target_id")
 
 
-@query("a1_a3_payload_round_trip", ctes() + "SELECT source_id, target_id, edge_type FROM edges")
+@query("a1_a3_payload_round_trip", ctes() + """SELECT 'node' AS kind, id, label AS a, class AS b, region AS c, concat('from ', id) AS note FROM nodes UNION ALL SELECT 'edge', id, source_id, target_id, edge_type, NULL FROM edges""")
 def a1(spark, d):
     v = views(spark, d)
     path = scratch_path(spark, "payload")
-    io.write_graph_payload(v["nodes"], v["edges"].withColumn("properties", F.create_map().cast("map<string,string>")), path)
-    return spark.read.schema("source_id string, target_id string, edge_type string").json(f"{path}/edges").withColumn("edge_type", edge_type_of(F.col("edge_type")))
+    nodes = v["nodes"].withColumn("properties", F.create_map(F.lit("note"), F.concat(F.lit("from "), "id")))
+    io.write_graph_payload(nodes, v["edges"], path, document_rows=500)
+    nodes, edges = io.read_graph_payload(spark, path, lines=True)
+    first = nodes.select(F.lit("node").alias("kind"), "id", F.col("label").alias("a"), F.col("class").alias("b"), F.col("region").alias("c"), F.col("properties")["note"].alias("note"))
+    return first.unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_type").alias("c"), F.lit(None).cast("string").alias("note")))
+
+
+FOUR = "SELECT 'node' AS kind, id, label AS a, class AS b, region AS c, CAST(NULL AS TIMESTAMP) AS at FROM nodes UNION ALL SELECT 'edge', id, source_id, target_id, edge_type, NULL FROM edges"
 
 
-@query("a4_snapshot_round_trip", inference_ctes(WEEK) + "SELECT 'signal' AS kind, id, node_id, timestamp FROM sigs UNION ALL SELECT 'mutation', id, node_id, timestamp FROM muts")
+def four(t):
+    """Rows of nodes, edges, signals and mutations as one table."""
+    none = F.lit(None).cast("timestamp_ntz").alias("at")
+    at = F.col("timestamp").cast("timestamp_ntz").alias("at")
+    out = t["nodes"].select(F.lit("node").alias("kind"), "id", F.col("label").alias("a"), F.col("class").alias("b"), F.col("region").alias("c"), none)
+    out = out.unionByName(t["edges"].select(F.lit("edge").alias("kind"), "id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_type").alias("c"), none))
+    out = out.unionByName(t["signals"].select(F.lit("signal").alias("kind"), "id", F.col("node_id").alias("a"), F.col("signal_type").alias("b"), F.col("severity").alias("c"), at))
+    return out.unionByName(t["mutations"].select(F.lit("mutation").alias("kind"), "id", F.col("node_id").alias("a"), F.col("mutation_type").alias("b"), F.col("source").alias("c"), at))
+
+
+@query("a4_snapshot_round_trip", inference_ctes(WEEK) + FOUR + " UNION ALL SELECT 'signal', id, node_id, signal_type, severity, timestamp FROM sigs UNION ALL SELECT 'mutation', id, node_id, mutation_type, source, timestamp FROM muts")
 def a4(spark, d):
     v = views(spark, d)
     path = scratch_path(spark, "snapshot")
     io.save_snapshot(v, path, as_of(v, spark, d), WEEK)
-    t = io.load_snapshot(spark, path)
-    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "node_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
-    return row(t["signals"], "signal").unionByName(row(t["mutations"], "mutation"))
+    return four(io.load_snapshot(spark, path))
+
+
+@query("a2_event_store", ctes() + FOUR + " UNION ALL SELECT 'signal', id, node_id, signal_type, severity, timestamp FROM signals UNION ALL SELECT 'mutation', id, node_id, mutation_type, source, timestamp FROM mutations")
+def a2(spark, d):
+    """The tables written to a relational store in this JVM's memory and read back in ranges of time. Needs a local master."""
+    v = views(spark, d)
+    url = f"jdbc:derby:memory:{scratch_path(spark, 'store').rsplit('/', 1)[1]};create=true"
+    for name in ("nodes", "edges", "signals", "mutations"):
+        table = materialize(v[name].select(*[c for c, t in v[name].dtypes if not t.startswith("map")]), name)
+        table.write.format("jdbc").option("url", url).option("dbtable", name).save()
+    return four(io.read_event_store(spark, url, 4, lowerBound="2024-01-01", upperBound="2024-02-01"))
+
+
+def files_of(spark, rows, name: str) -> str:
+    """Folder of one text file for each (name, text) row; the rows are few and small, as configuration is."""
+    path = scratch_path(spark, name)
+    for file, text in rows:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{file}")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return path
+
+
+@query("a6_knowledge_layers", """WITH l AS (SELECT 0 AS layer, n_name AS class, 0.01e0 * (n_nationkey + 1) AS p, 30e0 AS half, concat('m', n_nationkey % 3) AS mutation, 0.5e0 AS present FROM nation UNION ALL SELECT 1, r_name, 0.2e0, 5e0, 'm9', 0.9e0 FROM region
+  UNION ALL SELECT 1, n_name, 0.5e0, 7e0, concat('m', n_nationkey % 3), 0.75e0 FROM nation WHERE n_nationkey < 5)
+SELECT class, mutation, 's' AS signal, present AS p_present, 0.1e0 AS p_absent, p AS p_failure, half AS half_life_min FROM l QUALIFY row_number() OVER (PARTITION BY class ORDER BY layer DESC) = 1""")
+def a6(spark, d):
+    entry = lambda c, p, half, m, present: f"- class: {c}\n  default_prior: {{P_failure: {p}, decay_half_life_minutes: {half}}}\n  cpts:\n    - {{mutation: {m}, signal: s, table: [[{present}, 0.1], [{1 - present}, 0.9]]}}\n"
+    nations = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
+    regions = spark.read.parquet(f"{d}/region.parquet").select("r_name").collect()  # 5 rows
+    base = "".join(entry(r.n_name, 0.01 * (r.n_nationkey + 1), 30, f"m{r.n_nationkey % 3}", 0.5) for r in nations)
+    more = "".join(entry(r.r_name, 0.2, 5, "m9", 0.9) for r in regions) + "".join(entry(r.n_name, 0.5, 7, f"m{r.n_nationkey % 3}", 0.75) for r in nations if r.n_nationkey < 5)
+    manifest = "layers:\n  - path: base.yaml\n  - path: gone.yaml\n    optional: true\n  - path: more.yaml\n"
+    path = files_of(spark, [("manifest.yaml", manifest), ("base.yaml", base), ("more.yaml", more)], "layers")
+    cpts, priors = merge_cpt_layers(io.load_cpt_layers(spark, f"{path}/manifest.yaml"))
+    return cpts.join(priors, "class")
+
+
+@query("a7_alert_rules", "SELECT CAST(r_regionkey AS INT) AS rule_no, r_name AS class, 'low' AS action, concat('why ', r_regionkey) AS reason, CASE WHEN r_regionkey % 2 = 0 THEN 0.5e0 END AS min_confidence FROM region")
+def a7(spark, d):
+    regions = spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # 5 rows
+    text = "rules:\n" + "".join(f"  - {{class: {r.r_name}, action: low, reason: why {r.r_regionkey}{', min_confidence: 0.5' if r.r_regionkey % 2 == 0 else ''}}}\n" for r in regions)
+    return io.load_alert_rules(spark, files_of(spark, [("rules.yaml", text)], "rules") + "/rules.yaml").select("rule_no", "class", "action", "reason", "min_confidence")
+
+
+@query("a8_write_report", "WITH t AS (SELECT concat('c', o_custkey) AS node, list_sort(list(DISTINCT o_orderpriority)) AS kinds, count(*) AS n FROM orders GROUP BY o_custkey) SELECT l.layout, node, CASE WHEN l.layout = 'csv' THEN '[\"' || array_to_string(kinds, '\",\"') || '\"]' ELSE array_to_string(kinds, ';') END AS kinds, n FROM t, (VALUES ('csv'), ('json'), ('parquet')) l(layout)")
+def a8(spark, d):
+    t = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.expr("concat('c', o_custkey)").alias("node")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("kinds"), F.count("*").alias("n"))
+    path, out = scratch_path(spark, "report"), []
+    for layout in ("csv", "json", "parquet"):
+        io.write_report(t, f"{path}/{layout}", layout)
+        rows = spark.read.format(layout).option("header", "true").option("escape", "\"" if layout == "csv" else "\\").load(f"{path}/{layout}") if layout != "csv" else spark.read.option("header", "true").csv(f"{path}/{layout}")
+        kinds = F.col("kinds") if layout == "csv" else F.array_join("kinds", ";")
+        out.append(rows.select(F.lit(layout).alias("layout"), "node", kinds.alias("kinds"), F.col("n").cast("long").alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("a5_normalize_events", "SELECT concat('s', event_id) AS id, concat('u', user_id) AS node_id, CASE WHEN event_id % 3 = 0 THEN 'api' ELSE event_type END AS source, CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-06-01' ELSE date_trunc('second', ts) END AS timestamp FROM events")
@@ -256,3 +415,85 @@ def i8(spark, d):
     signals = landed(spark, v["signals"].select("id", "node_id", "signal_type", "timestamp"), "signals")
     mutations = landed(spark, v["mutations"].select("id", "node_id", "mutation_type", "timestamp"), "mutations")
     return run_stream(spark, intake.stream_candidates(signals, mutations, closure), "candidates").select("signal_id", "mutation_id", "hops")
+
+
+@query("i1_stream_events", """SELECT concat('s', event_id) AS id, concat('u', user_id) AS node_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS signal_type, CASE WHEN event_id % 3 > 0 THEN value END AS value, CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS timestamp
+FROM events WHERE event_id % 5 IN (0, 1, 2)""")
+def i1(spark, d):
+    """Inserts of three spellings (or none) count, updates and deletes don't."""
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("concat('s', event_id) as id", "concat('u', user_id) as node_id", "case when event_id % 4 > 0 then event_type end as signal_type", "case when event_id % 3 > 0 then value end as value", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as timestamp", "element_at(array('insert', 'I', cast(null as string), 'update', 'd'), cast(event_id % 5 + 1 as int)) as op")
+    path = scratch_path(spark, "events")
+    rows.write.json(path)
+    out = run_stream(spark, intake.stream_events(spark, path, "signals"), "signals")
+    return out.select("id", "node_id", "signal_type", "value", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+RUN_SQL = """WITH r AS (SELECT o_orderkey AS k, left(md5(CAST(o_orderkey AS VARCHAR)), 8) AS sha, ['Unit Tests', 'Scorecard analysis', 'Build'][o_orderkey % 3 + 1] AS wf FROM orders WHERE o_orderstatus = 'F'),
+t AS (SELECT *, CASE wf WHEN 'Unit Tests' THEN 'UnitTestFailure' WHEN 'Scorecard analysis' THEN 'ScorecardFailure' ELSE 'TestFailure' END AS s, concat('job://org/repo/', k, '/', replace(lower(wf), ' ', '-')) AS job, concat('commit://org/repo/', sha) AS c FROM r)
+"""
+
+
+@query("i2_stream_ci_runs", RUN_SQL + """SELECT 'node' AS kind, job AS a, wf AS b, 'CIJob' AS c FROM t UNION ALL SELECT 'node', c, sha || ': Change things', 'Commit' FROM t WHERE s <> 'ScorecardFailure'
+UNION ALL SELECT 'edge', CASE WHEN s = 'ScorecardFailure' THEN 'latent://github-scorecard' ELSE c END, job, 'dependency' FROM t UNION ALL SELECT 'edge', 'latent://flaky-tests', job, 'dependency' FROM t WHERE s <> 'ScorecardFailure'
+UNION ALL SELECT 'mutation', c, 'CodeChange', 'gh-webhook/org/repo' FROM t WHERE s <> 'ScorecardFailure' UNION ALL SELECT 'mutation', 'latent://flaky-tests', 'FlakyTestRun', 'gh-webhook/org/repo' FROM t WHERE s <> 'ScorecardFailure'
+UNION ALL SELECT 'signal', job, s, 'critical' FROM t""")
+def i2(spark, d):
+    run = F.struct(F.col("o_orderkey").alias("id"), F.expr("element_at(array('Unit Tests', 'Scorecard analysis', 'Build'), cast(o_orderkey % 3 + 1 as int))").alias("name"), F.expr("md5(cast(cast(o_orderkey as string) as binary))").alias("head_sha"), F.lit("main").alias("head_branch"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit("2024-01-01T01:00:00Z").alias("updated_at"), F.expr("case when o_orderstatus = 'F' then 'failure' else 'success' end").alias("conclusion"), F.lit("push").alias("event"),
+        F.struct(F.lit("Change things\nfor good").alias("message"), F.struct(F.lit("dev").alias("name")).alias("author")).alias("head_commit"))
+    body = F.to_json(F.struct(F.lit("completed").alias("action"), F.struct(F.lit("org/repo").alias("full_name")).alias("repository"), run.alias("workflow_run")))
+    payloads = spark.read.parquet(f"{d}/orders.parquet").select(body.alias("value"))
+    root = scratch_path(spark, "runs")
+    intake.write_tables(intake.stream_ci_runs(landed(spark, payloads, "payloads")), intake.ci_run_tables, root, intake.checkpoint_path(spark, "runs")).trigger(availableNow=True).start().awaitTermination()
+    shape = {"nodes": ("id", "label", "class"), "edges": ("source_id", "target_id", "edge_type"), "mutations": ("node_id", "mutation_type", "source"), "signals": ("node_id", "signal_type", "severity")}
+    parts = [spark.read.parquet(f"{root}/{name}").select(F.lit(name[:-1]).alias("kind"), *[F.col(c).alias(to) for c, to in zip(columns, "abc")]) for name, columns in shape.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("i5_stream_k8s_events", "WITH t AS (SELECT user_id, ['BackOff', 'Killing', 'Odd'][event_id % 3 + 1] AS r FROM events) SELECT 'signal' AS kind, concat('k8s://box/default/pod/u', user_id) AS node_id, count(*) AS n FROM t WHERE r = 'BackOff' GROUP BY ALL UNION ALL SELECT 'mutation', concat('k8s://box/default/pod/u', user_id), count(*) FROM t WHERE r = 'Killing' GROUP BY ALL UNION ALL SELECT 'node', concat('k8s://box/default/pod/u', user_id), count(*) FROM t WHERE r = 'BackOff' GROUP BY ALL")
+def i5(spark, d):
+    reason = F.element_at(F.array(*[F.lit(x) for x in ("BackOff", "Killing", "Odd")]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(reason.alias("reason"), F.lit("m").alias("message"), F.lit("").alias("lastTimestamp"), F.struct(F.lit(None).cast("string").alias("namespace"), F.lit("2024-01-01T00:00:00Z").alias("creationTimestamp")).alias("metadata"), F.struct(F.lit("Pod").alias("kind"), F.expr("concat('u', user_id)").alias("name")).alias("involvedObject"))
+    signals, mutations, nodes = intake.stream_k8s_events(landed(spark, rows, "k8s"), "box")
+    parts = [run_stream(spark, df, kind).select(F.lit(kind).alias("kind"), F.col(c).alias("node_id")) for kind, df, c in (("signal", signals, "node_id"), ("mutation", mutations, "node_id"), ("node", nodes, "id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "node_id").agg(F.count("*").alias("n"))
+
+
+@query("i6_stream_webhooks", """SELECT 'mutation' AS kind, concat('n', o_custkey) AS node_id, 'Deploy' AS type, 'radius' AS c, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders WHERE o_orderkey % 3 > 0
+UNION ALL SELECT 'signal', concat('n', o_custkey), 'cpu', CASE WHEN o_orderkey % 2 = 0 THEN 'critical' ELSE 'warning' END, CAST(o_orderdate AS TIMESTAMP) FROM orders""")
+def i6(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    deploys = rows.selectExpr("to_json(named_struct('target_node_id', case when o_orderkey % 3 > 0 then concat('n', o_custkey) end, 'mutation_type', 'Deploy', 'completed_at', day)) as value")
+    fired = rows.selectExpr("to_json(named_struct('target_resource_id', concat('n', o_custkey), 'metric_name', 'cpu', 'metric_value', 1.5e0, 'severity', case when o_orderkey % 2 = 0 then 'critical' end, 'fired_at', day)) as value")
+    m = run_stream(spark, intake.stream_deploys(landed(spark, deploys, "deploys")), "m")
+    s = run_stream(spark, intake.stream_metric_alerts(landed(spark, fired, "alerts")), "s")
+    at = F.col("timestamp").cast("timestamp_ntz").alias("at")
+    return m.select(F.lit("mutation").alias("kind"), "node_id", F.col("mutation_type").alias("type"), F.col("source").alias("c"), at).unionByName(s.select(F.lit("signal").alias("kind"), "node_id", F.col("signal_type").alias("type"), F.col("severity").alias("c"), at))
+
+
+#: Diagnoses at the time of the latest signal.
+AT_LAST_SIGNAL = inference_ctes(WEEK).replace("SELECT max(ts) AS t FROM events)", "SELECT max(ts) AS t FROM events WHERE event_type = 'error')")
+STREAMED = "SELECT target_node, round(confidence, 6) AS confidence, root_cause, causal_path, n_signals FROM diagnoses"
+
+
+def streamed(spark, d, arriving: str):
+    """Diagnoses of the nodes that the signals of ``arriving`` touch, when the others are in the tables."""
+    v = views(spark, d)
+    known = {name: materialize(v[name], name) for name in ("nodes", "edges", "mutations", "signals")} | {name: v[name] for name in ("cpts", "priors")}
+    known["signals"] = known["signals"].where(f"not ({arriving})")
+    out = scratch_path(spark, "diagnoses")
+    stream = landed(spark, v["signals"].where(arriving), "signals")
+    intake.stream_diagnose(stream, lambda: known, out, intake.checkpoint_path(spark, "diagnose"), WEEK).trigger(availableNow=True).start().awaitTermination()
+    found = intake.latest_diagnoses(spark, out)
+    return found.select("target_node", F.round("confidence", 6).alias("confidence"), "root_cause", F.array_join("causal_path", ">").alias("causal_path"), "n_signals")
+
+
+@query("i7_stream_diagnose", AT_LAST_SIGNAL + STREAMED)
+def i7(spark, d):
+    return streamed(spark, d, "true")
+
+
+@query("i9_late_signals", AT_LAST_SIGNAL + STREAMED + " WHERE target_node IN (SELECT node_id FROM signals WHERE CAST(substr(id, 2) AS BIGINT) % 7 = 0)")
+def i9(spark, d):
+    """Every seventh signal arrives late: those older than the window count no more, the younger ones do."""
+    return streamed(spark, d, "cast(substr(id, 2) as bigint) % 7 = 0")

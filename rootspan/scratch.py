@@ -13,7 +13,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _WRITTEN: list[str] = []
@@ -50,6 +51,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """The written table and its number of rows, counted while it is written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
     """Scratch tables written inside are deleted at the end, but for those whose path is put into the list."""

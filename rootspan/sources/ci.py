@@ -48,7 +48,7 @@ def classified_jobs(runs: DataFrame, jobs: DataFrame, log: DataFrame, commits: D
     rows = rows.withColumn("error_lines", F.coalesce("error_lines", none)).withColumn("message", F.coalesce("message", F.lit(""))).withColumn("author", F.coalesce("author", F.lit("unknown")))
     rows = rows.withColumn("signal_type", classify_failure(F.concat("error_lines", "failed_steps"), F.col("failed_steps"), F.col("workflowName"))).withColumn("job_slug", slug(F.col("job_name")))
     rest = [c for c in rows.columns if c not in ("repo", "sha8", "job_slug", "signal_type")]
-    first = rows.groupBy("repo", "sha8", "job_slug", "signal_type").agg(F.min_by(F.struct(*rest), F.struct("createdAt", "databaseId", "job_name")).alias("r"))
+    first = rows.groupBy("repo", "sha8", "job_slug", "signal_type").agg(F.min_by(F.struct(*rest), F.struct("createdAt", "databaseId", "job_name", "failed_steps")).alias("r"))
     out = first.select("repo", "sha8", "job_slug", "signal_type", "r.*")
     out = out.withColumn("job", job_id(F.col("repo"), F.col("databaseId"), F.col("job_name"))).withColumn("commit", commit_id(F.col("repo"), F.col("headSha")))
     return out.withColumn("infra", is_infra(F.col("signal_type"))).withColumn("cause", F.when(F.col("infra"), latent_cause(F.col("signal_type"), F.col("job_name"))).otherwise(F.col("commit")))
@@ -78,7 +78,7 @@ def ci_graph(runs: DataFrame, jobs: DataFrame, log: DataFrame, commits: DataFram
     text = lambda *names: F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit("")))])
     shared = spark.createDataFrame([(k, *v) for k, v in LATENT_NODES.items()], "id string, label string, class string")
     shared = shared.select(*make_node(F.col("id"), F.col("label"), F.col("class"), github, F.create_map(F.lit("latent"), F.lit("true"))))
-    job_nodes = rows.select(*make_node(F.col("job"), F.concat("workflowName", F.lit(": "), "job_name"), F.lit("CIJob"), github, text("databaseId", "workflowName", "job_name", "sha8", "headBranch", "event", "author", "message")))
+    job_nodes = rows.select(*make_node(F.col("job"), F.concat("workflowName", F.lit(": "), "job_name"), F.lit("CIJob"), github, F.map_concat(text("databaseId", "workflowName", "job_name", "sha8", "headBranch", "event", "author", "message"), F.create_map(F.lit("failed_steps"), F.to_json("failed_steps")))))
     code = rows.where("not infra")
     first = code.groupBy("commit").agg(F.min_by(F.struct("repo", "sha8", "message", "author", "event", "headBranch", "createdAt"), F.struct("createdAt", "databaseId")).alias("r")).select("commit", "r.*")
     commit_nodes = first.select(*make_node(F.col("commit"), F.concat("sha8", F.lit(": "), F.left("message", F.lit(60))), F.lit("Commit"), github, text("sha8", "headBranch", "author", "event")))
@@ -92,5 +92,7 @@ def ci_graph(runs: DataFrame, jobs: DataFrame, log: DataFrame, commits: DataFram
 
     mutations = change(first, F.col("commit"), mutation_type(F.col("message"), F.col("author"), F.col("event")), "sha8", "author", "message")
     mutations = mutations.unionByName(change(rows.where("cause like 'latent://runner-env/%'"), F.col("cause"), F.lit("RunnerImageUpdate"), "databaseId")).unionByName(change(rival, F.lit(FLAKY), F.lit("FlakyTestRun"), "databaseId"))
-    signals = rows.select(F.concat("job", F.lit("/"), "signal_type").alias("id"), F.col("job").alias("node_id"), "signal_type", F.lit(None).cast("double").alias("value"), F.lit("critical").alias("severity"), F.try_to_timestamp("updatedAt").alias("timestamp"), text("databaseId", "job_name", "sha8").alias("properties"))
+    told = F.map_concat(text("databaseId", "job_name"), F.create_map(F.lit("failed_steps"), F.to_json("failed_steps"), F.lit("error_lines"), F.to_json(F.slice("error_lines", 1, 5))))
+    told = F.when(F.col("infra"), told).otherwise(F.map_concat(told, F.create_map(F.lit("trigger_sha"), "sha8")))
+    signals = rows.select(F.concat("job", F.lit("/"), "signal_type").alias("id"), F.col("job").alias("node_id"), "signal_type", F.lit(None).cast("double").alias("value"), F.lit("critical").alias("severity"), F.try_to_timestamp("updatedAt").alias("timestamp"), told.alias("properties"))
     return {"nodes": shared.unionByName(job_nodes).unionByName(commit_nodes), "edges": edges, "mutations": mutations, "signals": signals}

@@ -85,11 +85,11 @@ def _resource_properties() -> Column:
     return F.create_map(F.lit("resource_group"), F.coalesce("resourceGroup", F.lit("")), F.lit("subscription_id"), F.coalesce("subscriptionId", F.lit("")))
 
 
-def resource_nodes(resources: DataFrame) -> DataFrame:
-    """A node for each resource; a type off the list is named by its last part."""
+def resource_nodes(resources: DataFrame, *keep: Column) -> DataFrame:
+    """A node for each resource, with further columns ``keep``; a type off the list is named by its last part."""
     kind = F.lower(F.coalesce("type", F.lit("")))
     cls = lookup(kind, TYPE_CLASSES, F.initcap(F.element_at(F.split(kind, "/"), -1)))
-    return resources.select(*make_node(arm_id(F.col("id")), F.coalesce("name", F.lit("")), cls, F.coalesce("location", F.lit("")), _resource_properties()))
+    return resources.select(*make_node(arm_id(F.col("id")), F.coalesce("name", F.lit("")), cls, F.coalesce("location", F.lit("")), _resource_properties()), *keep)
 
 
 def vm_edges(resources: DataFrame) -> DataFrame:
@@ -109,10 +109,15 @@ def nic_edges(resources: DataFrame) -> DataFrame:
     )
 
 
-def subnet_nodes_edges(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Subnets inside virtual networks as nodes, with what they hang on."""
-    inside = _of(resources, "microsoft.network/virtualnetworks").select("own", "location", "resourceGroup", "subscriptionId", F.explode("properties.subnets").alias("s")).withColumn("sub", arm_id(F.col("s.id"))).where("sub <> ''")
-    nodes = inside.select(*make_node(F.col("sub"), F.coalesce("s.name", F.lit("")), F.lit("Subnet"), F.coalesce("location", F.lit("")), _resource_properties()))
+def subnet_nodes_edges(resources: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Subnets inside virtual networks as nodes, with what they hang on.
+
+    order: columns that tell the order of ``resources``; the nodes then have it in ``_o``.
+    """
+    inside = _of(resources, "microsoft.network/virtualnetworks").select("own", "location", "resourceGroup", "subscriptionId", *order, F.posexplode("properties.subnets").alias("at", "s"))
+    inside = inside.withColumn("sub", arm_id(F.col("s.id"))).where("sub <> ''")
+    place = [F.struct(*order, "at").alias("_o")] if order else []
+    nodes = inside.select(*make_node(F.col("sub"), F.coalesce("s.name", F.lit("")), F.lit("Subnet"), F.coalesce("location", F.lit("")), _resource_properties()), *place)
     refs = [_edges(inside, arm_id(F.col(f"s.properties.{name}.id")), F.col("sub"), "dependency") for name in ("networkSecurityGroup", "routeTable", "natGateway")]
     return nodes, _union(_edges(inside, F.col("own"), F.col("sub"), "containment"), *refs)
 
@@ -162,12 +167,14 @@ def resource_group_nodes_edges(resources: DataFrame, order_col: str) -> tuple[Da
 
 
 def build_graph(resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, edges, dangling)`` of all extractors; the last node of an id and the first edge of a key win."""
+    """``(nodes, edges, dangling)`` of all extractors; the last node of an id, in the order of resources, subnets and groups and inside these of the rows, and the first edge of a key win."""
     rows = materialize(resources.withColumn("pos", F.monotonically_increasing_id()), "resources")
-    subnets, subnet_edges = subnet_nodes_edges(rows)
+    subnets, subnet_edges = subnet_nodes_edges(rows, "pos")
     groups, group_edges = resource_group_nodes_edges(rows, "pos")
     parts = [vm_edges(rows), nic_edges(rows), subnet_edges, aks_edges(rows), lb_edges(rows), appgw_edges(rows), private_endpoint_edges(rows), sql_edges(rows), group_edges]
-    nodes = _union(*[df.withColumn("_o", F.struct(F.lit(i), F.coalesce("id", F.lit("")), F.to_json(F.struct("label", "region")))) for i, df in enumerate((resource_nodes(rows), subnets, groups))])
+    place = lambda part, pos, at: F.struct(F.lit(part).alias("part"), pos.cast("long").alias("pos"), at.cast("int").alias("at")).alias("_o")
+    own = resource_nodes(rows, place(0, F.col("pos"), F.lit(0)))
+    nodes = _union(own, subnets.withColumn("_o", place(1, F.col("_o.pos"), F.col("_o.at"))), groups.withColumn("_o", place(2, F.lit(0), F.lit(0))))
     edges = _union(*[df.withColumn("_o", F.struct(F.lit(i), F.coalesce("id", F.lit("")))) for i, df in enumerate(parts)])
     nodes = materialize(dedupe_nodes(nodes, "_o").drop("_o"), "nodes")
     kept, dropped = drop_dangling(nodes, dedupe_edges(edges, "_o").drop("_o"))

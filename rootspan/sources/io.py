@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +13,9 @@ from rootspan.operators.inference import DAY, active
 from rootspan.schema import EDGES, LAYERS, MUTATIONS, NODES, PAYLOAD, RULES, SIGNALS
 
 
-def read_graph_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of JSON documents with two arrays, one document a file; absent fields are null."""
-    payload = spark.read.schema(PAYLOAD).option("multiLine", "true").json(path)
+def read_graph_payload(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of JSON documents with two arrays, one document a file, or one a line; absent fields are null."""
+    payload = spark.read.schema(PAYLOAD).option("multiLine", str(not lines).lower()).json(path)
     return payload.select(F.inline("nodes")), payload.select(F.inline("edges")).withColumn("edge_type", edge_type_of(F.col("edge_type")))
 
 
@@ -27,10 +27,28 @@ def read_event_store(spark: SparkSession, jdbc_url: str, partitions: int = 16, *
     return {name: reader.options(**(ranged if name in ("mutations", "signals") else plain)).option("dbtable", name).load() for name in ("nodes", "edges", "mutations", "signals")}
 
 
-def write_graph_payload(nodes: DataFrame, edges: DataFrame, path: str, layout: str = "json") -> None:
-    """A graph as two tables below ``path``: nodes and edges, as JSON lines or Parquet."""
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").format(layout).save(f"{path}/{name}")
+def write_graph_payload(nodes: DataFrame, edges: DataFrame, path: str, layout: str = "json", document_rows: int = 10_000) -> None:
+    """A graph below ``path``. json: documents with two arrays, one a line, that ``read_graph_payload`` reads (``lines=True``); any other layout: a table each.
+
+    A document holds about ``document_rows`` nodes or edges, dealt out by their ids, so none grows with the graph.
+    """
+    if layout != "json":
+        for name, df in (("nodes", nodes), ("edges", edges)):
+            df.write.mode("overwrite").format(layout).save(f"{path}/{name}")
+        return
+    parts = []
+    for name, df, schema in (("nodes", nodes, NODES), ("edges", edges, EDGES)):
+        have = set(df.columns)
+        fields = [f.split(" ", 1) for f in schema.split(", ")]
+        row = F.struct(*[(F.col(f) if f in have else F.lit(None)).cast(t).alias(f) for f, t in fields])
+        documents = max(1, -(-df.count() // document_rows))
+        parts.append(df.select(F.pmod(F.xxhash64("id"), F.lit(documents)).alias("document"), row.alias("row")).groupBy("document").agg(F.collect_list("row").alias(name)))
+    parts[0].join(parts[1], "document", "full").drop("document").write.mode("overwrite").json(path)
+
+
+def evict_expired(tables: dict[str, DataFrame], as_of: datetime | Column, window_s: float = DAY) -> dict[str, DataFrame]:
+    """``tables`` with the mutations and signals that are no older than the window; ``window_s`` below zero clears them (later events stay)."""
+    return tables | {name: active(tables[name], as_of, window_s) for name in ("mutations", "signals")}
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, as_of: datetime | Column, window_s: float = DAY) -> None:
@@ -67,10 +85,19 @@ def normalize_events(df: DataFrame, kind: str, as_of: Column, source: str = "api
     return df.select(*head, F.coalesce(col("signal_type"), F.lit("")).alias("signal_type"), col("value", "double").alias("value"), col("severity").alias("severity"), when, properties)
 
 
-def _yaml(path: Path):
+def _yaml(spark: SparkSession, path: str):
     import yaml
 
-    return yaml.safe_load(path.read_text()) or []
+    return yaml.safe_load(_text(spark, path)) or []
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from wherever Spark's readers reach."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def _missing(error: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(error)
 
 
 def _layer_rows(layer_no: int, classes: list[dict]) -> list[tuple]:
@@ -90,25 +117,30 @@ def load_cpt_layers(spark: SparkSession, manifest: str) -> DataFrame:
 
     Paths are relative to the manifest. A missing optional layer is skipped, a missing required one an error.
     """
-    top = Path(manifest)
-    data = _yaml(top)
+    data = _yaml(spark, manifest)
     if isinstance(data, list):
         return spark.createDataFrame(_layer_rows(0, data), LAYERS)
     rows: list[tuple] = []
     for no, layer in enumerate(data.get("layers") or []):
-        path = top.parent / layer["path"]
-        if not path.exists():
-            if layer.get("optional"):
-                continue
-            raise FileNotFoundError(f"required layer {path}")
-        rows += _layer_rows(no, _yaml(path))
+        path = f"{manifest.rpartition('/')[0] or '.'}/{layer['path']}"
+        try:
+            rows += _layer_rows(no, _yaml(spark, path))
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+            if not layer.get("optional"):
+                raise FileNotFoundError(f"required layer {path}") from error
     return spark.createDataFrame(rows, LAYERS)
 
 
 def load_alert_rules(spark: SparkSession, path: str) -> DataFrame:
     """Ordered alert rules of a YAML file; no file, no rules."""
-    file = Path(path)
-    listed = (_yaml(file).get("rules") or []) if file.exists() else []
+    try:
+        listed = dict(_yaml(spark, path)).get("rules") or []
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        listed = []
     number = lambda r, k: None if r.get(k) is None else float(r[k])
     rows = [(i, r.get("signal_type"), r.get("class"), r.get("source"), r.get("pattern"), number(r, "min_confidence"), number(r, "max_confidence"), r.get("action", "normal"), r.get("reason", "")) for i, r in enumerate(listed)]
     return spark.createDataFrame(rows, RULES)

@@ -54,13 +54,13 @@ def tf_instances(state: DataFrame, types: list[str] | None = None) -> DataFrame:
 
     The id is the cloud id, else ``tf://`` and the address; the address has the module before it and the index after it.
     """
-    rows = state.select(F.posexplode("resources").alias("pos", "r")).where("coalesce(r.mode, 'managed') = 'managed'")
-    rows = rows.select("pos", "r.type", "r.module", "r.name", "r.depends_on", F.posexplode("r.instances").alias("inst", "i"))
+    rows = state.select(F.monotonically_increasing_id().alias("row"), F.posexplode("resources").alias("pos", "r")).where("coalesce(r.mode, 'managed') = 'managed'")
+    rows = rows.select("row", "pos", "r.type", "r.module", "r.name", "r.depends_on", F.posexplode("r.instances").alias("inst", "i"))
     if types:
         rows = rows.where(F.col("type").isin(types))
     address = F.concat_ws(".", F.nullif("module", F.lit("")), "type", "name")
     address = F.concat(address, F.when(F.col("i.index_key").isNotNull(), F.concat(F.lit("["), "i.index_key", F.lit("]"))).otherwise(""))
-    rows = rows.select("pos", "inst", "type", "module", "name", "depends_on", address.alias("address"), F.coalesce("i.attributes", F.create_map().cast("map<string,string>")).alias("a"))
+    rows = rows.select(F.struct("row", "pos", "inst").alias("place"), "type", "module", "name", "depends_on", address.alias("address"), F.coalesce("i.attributes", F.create_map().cast("map<string,string>")).alias("a"))
     cloud = arm_id(F.try_element_at("a", F.lit("id")))
     return rows.withColumn("own", F.when(cloud == "", F.concat(F.lit("tf://"), "address")).otherwise(cloud))
 
@@ -69,13 +69,13 @@ def _attr(name: str) -> Column:
     return F.try_element_at("a", F.lit(name))
 
 
-def tf_nodes(instances: DataFrame) -> DataFrame:
-    """A node for each instance that is no association."""
+def tf_nodes(instances: DataFrame, *keep: str) -> DataFrame:
+    """A node for each instance that is no association, with further columns ``keep``."""
     other = F.when(F.col("type").contains("_"), F.initcap(F.replace(F.regexp_replace("type", "^[^_]*_", ""), F.lit("_"), F.lit(" ")))).otherwise(F.col("type"))
     cls = lookup(F.col("type"), TYPE_CLASSES, F.replace(other, F.lit(" "), F.lit("_")))
     properties = F.create_map(F.lit("tf_address"), F.col("address"), F.lit("tf_type"), F.col("type"), F.lit("resource_group"), F.coalesce(_attr("resource_group_name"), F.lit("")))
     own = instances.where(~F.col("type").isin(list(ASSOCIATIONS)))
-    return own.select(*make_node(F.col("own"), F.coalesce(_attr("name"), F.col("name")), cls, F.coalesce(_attr("location"), F.lit("")), properties))
+    return own.select(*make_node(F.col("own"), F.coalesce(_attr("name"), F.col("name")), cls, F.coalesce(_attr("location"), F.lit("")), properties), *keep)
 
 
 def tf_reference_edges(instances: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def tf_depends_on_edges(instances: DataFrame, resolve_modules: bool = False) ->
     bare = lambda c: F.replace(c, F.lit("module."), F.lit(""))
     rows = instances.where(~F.col("type").isin(list(ASSOCIATIONS)))
     address = F.regexp_replace(bare(F.col("address")), r"\[[^\]]*\]$", "") if resolve_modules else F.col("address")
-    known = rows.select(address.alias("dep"), F.col("own").alias("source"), "pos", "inst").groupBy("dep").agg(F.max_by("source", F.struct("pos", "inst")).alias("source"))
+    known = rows.select(address.alias("dep"), F.col("own").alias("source"), "place").groupBy("dep").agg(F.max_by("source", "place").alias("source"))
     asked = rows.select("own", F.explode("depends_on").alias("d")).select("own", F.trim(bare(F.col("d"))).alias("dep"))
     return asked.join(known, "dep").select(*make_edge(F.col("source"), F.col("own")))
 
@@ -108,9 +108,9 @@ def tf_association_edges(instances: DataFrame) -> DataFrame:
 
 
 def tf_graph(state: DataFrame, types: list[str] | None = None, resolve_modules: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, edges, dangling)`` of a state."""
+    """``(nodes, edges, dangling)`` of a state; the last instance of an id in the state's order and the first edge of a key win."""
     rows = materialize(tf_instances(state, types), "instances")
-    nodes = materialize(dedupe_nodes(tf_nodes(rows).withColumn("_o", F.struct(F.col("properties")["tf_address"])), "_o").drop("_o"), "nodes")
+    nodes = materialize(dedupe_nodes(tf_nodes(rows, "place"), "place").drop("place"), "nodes")
     parts = [tf_reference_edges(rows), tf_depends_on_edges(rows, resolve_modules), tf_association_edges(rows)]
     edges = reduce(DataFrame.unionByName, [df.withColumn("_o", F.struct(F.lit(i), "id")) for i, df in enumerate(parts)])
     kept, dropped = drop_dangling(nodes, dedupe_edges(edges, "_o").drop("_o"))
