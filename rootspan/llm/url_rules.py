@@ -2,7 +2,8 @@
 
 A rule is a regular expression over host and path together, with the literal tokens that any match
 must contain. The corpus says how often each of those tokens occurs in URLs; a rule is filed under
-the rarest. A URL's own tokens fetch the rules filed under them, and only those run.
+the rarest. A URL's own tokens fetch the rules filed under them, and only those run. Rules without such a
+token, whose host is in another script say, are filed under the empty token, which every URL then has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,16 @@ RULES = "rule string, action string, pattern string, literals array<string>, ran
 #: Fixed by contract: (action, host, path); a rule holds for the host and all subdomains, for paths that start so.
 HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The method's own rules: words of adult, gambling, tracking and download-spam sites, as whole tokens of host or path.
+#: The method's own patterns over host and path: (name, pattern, literal tokens of every match). Patterns hold in any case.
+PATTERN_RULES = [
+    ("ad-server", r"^(?:[^/]*\.)?ads?[0-9]*\.[^/]+/.*(?:banner|click|impression)", []),
+    ("session-path", r"/(?:cgi-bin|wp-admin)/", []),
+    ("tracking-pixel", r"/(?:pixel|beacon|track(?:ing)?)[0-9]*\.(?:gif|png)$", []),
+    ("cheap-pharmacy", r"(?:^|[^a-z0-9])(?:cheap|buy|order)[-_]?(?:online)?[-_](?:pills|meds|pharmacy)(?:$|[^a-z0-9])", []),
+    ("casino-bonus", r"(?:^|[^a-z0-9])casino[^a-z0-9](?:.*[^a-z0-9])?(?:bonus|spins)(?:$|[^a-z0-9])", ["casino"]),
+    ("download-crack", r"(?:^|[^a-z0-9])(?:free[-_])?download[^a-z0-9](?:.*[^a-z0-9])?(?:crack|serial)(?:$|[^a-z0-9])", ["download"]),
+]
+#: And words of adult, gambling, tracking and download-spam sites, as whole tokens of host or path.
 BLOCKED_WORDS = ["adserver", "bingo", "camgirls", "casino", "clickbait", "doubleclick", "escort", "jackpot", "keygen", "payday", "poker", "porn", "roulette", "slots", "torrent", "viagra", "warez", "xxx"]
 
 
@@ -61,10 +71,16 @@ def word_rules(spark: SparkSession, words: list[str]) -> DataFrame:
     return df.select(F.col("word").alias("rule"), F.lit("block").alias("action"), pattern.alias("pattern"), F.array(F.lower("word")).alias("literals"), F.length("word").alias("rank"))
 
 
+def pattern_rules(spark: SparkSession, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """Patterns (name, regular expression, literal tokens) that block a URL; host rules go before them."""
+    df = spark.createDataFrame(rules, "rule string, regex string, literals array<string>")
+    return df.select("rule", F.lit("block").alias("action"), F.concat(F.lit("(?is)"), "regex").alias("pattern"), "literals", F.length("rule").alias("rank"))
+
+
 def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """``rules`` with ``token``: of its literals the one that the fewest of ``urls`` (host, path) contain."""
+    """``rules`` with ``token``: of its literals the one that the fewest of ``urls`` (host, path) contain; '' for a rule without any."""
     seen = urls.select(F.explode(_tokens(F.concat("host", "path"))).alias("token"))
-    literal = rules.select("rule", "action", "pattern", "rank", F.explode("literals").alias("token"))
+    literal = rules.select("rule", "action", "pattern", "rank", F.explode(F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
     wanted = materialize(literal.select("token").distinct(), "literals")
     often = seen.join(wanted, "token").groupBy("token").count()
     filed = literal.join(often, "token", "left").groupBy("rule", "action", "pattern", "rank")
@@ -76,19 +92,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     """``page_id, host, path, rule, verdict, pattern_rule`` for every row of ``pages``.
 
     rule: the host rule that decided, or null; then verdict is that of the method's patterns
-    (pattern_rule names the word) or ``default``. Ties in length go to the smaller rule text, and of
+    (pattern_rule names it) or ``default``. Ties in length go to the smaller rule text, and of
     two actions for the same text to block. A null url or one without ``://`` has an empty host and
     path and gets the default. Null and repeated page_ids keep their rows; other columns are not
     read. Rules are joined, so their number is free; the index goes by broadcast only where Spark
     finds its written size below ``spark.sql.autoBroadcastJoinThreshold``. Empty in, empty out.
     """
     spark = pages.sparkSession
-    rules = rules if rules is not None else host_rules(spark, HOST_RULES).unionByName(word_rules(spark, BLOCKED_WORDS))
+    rules = rules if rules is not None else host_rules(spark, HOST_RULES).unionByName(word_rules(spark, BLOCKED_WORDS)).unionByName(pattern_rules(spark, PATTERN_RULES))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = parsed.select("host", "path").distinct()
     index = materialize(rule_index(rules, urls), "rules")
-    text = F.concat("host", "path")
-    fetched = urls.select("host", "path", F.explode(_tokens(text)).alias("token")).join(index, "token")
+    own = _tokens(F.concat("host", "path"))
+    if index.where("token = ''").take(1):
+        own = F.concat(own, F.array(F.lit("")))
+    fetched = urls.select("host", "path", F.explode(own).alias("token")).join(index, "token")
     fits = fetched.where(F.expr("concat(host, path) rlike pattern"))
     by_size = F.struct((-F.col("rank")).alias("o"), F.col("rule").alias("rule"), F.when(F.col("action") == "block", 0).otherwise(1).alias("a"), F.col("action").alias("action"), F.col("rank").alias("rank"))
     best = fits.groupBy("host", "path").agg(F.min(by_size).alias("best"))
@@ -111,12 +129,11 @@ fit AS (
   SELECT DISTINCT host, path, rhost || rpath AS rule, action FROM (SELECT DISTINCT host, path FROM parsed) p, rules
   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 best AS (SELECT host, path, rule, action FROM fit QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule) = 1),
-words AS (SELECT unnest([%s]) AS word),
+own(name, pattern) AS (VALUES %s),
 bad AS (
-  SELECT host, path, word FROM (SELECT DISTINCT host, path FROM parsed) p, words
-  WHERE list_contains(regexp_split_to_array(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), word)
-  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(word) DESC, word) = 1)
-SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, CASE WHEN w.word IS NOT NULL THEN 'block' END, 'allow') AS verdict,
-  CASE WHEN b.rule IS NULL THEN w.word END AS pattern_rule
+  SELECT host, path, name FROM (SELECT DISTINCT host, path FROM parsed) p, own WHERE regexp_matches(host || path, pattern, 'is')
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(name) DESC, name) = 1)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, CASE WHEN w.name IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN b.rule IS NULL THEN w.name END AS pattern_rule
 FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path LEFT JOIN bad w ON p.host = w.host AND p.path = w.path
-""" % ", ".join(f"'{w}'" for w in BLOCKED_WORDS)
+""" % ", ".join(f"('{name}', '{pattern}')" for name, pattern in [(w, f"(?:^|[^a-z0-9]){w}(?:$|[^a-z0-9])") for w in BLOCKED_WORDS] + [r[:2] for r in PATTERN_RULES])

@@ -6,6 +6,7 @@ URLS = [
     "http://a.example.net/en/1", "http://EXAMPLE.net/en/", "http://example.net/EN/x", "http://example.net/en", "https://x.org/fr/", "https://org/fr/a", "https://notorg/fr/a",
     "ftp://b.example.com/de/?q", "http://net", "http://net/", "http://xnet/", "http://x.net?/en/", "http://x.net#/", "nothing", "", None, "a://b://c.net/", "http://my.casino/x", "http://e.com/CASINO/x",
     "http://e.com/casinox", "http://casino.net/", "http://éx.net/\n", "http://x.net:80/", "http://e.com/poker/casino", "http://net/net/net", "http://org/fr", "http://e.com/" + "a/" * 4000 + "xxx",
+    "http://ads3.e.com/a/banner.gif", "http://bads.e.com/a/banner.gif", "http://e.com/cgi-bin/x", "http://e.com/Pixel12.GIF", "http://e.com/pixels.gif", "http://e.com/buy-online_pills", "http://casino.e.com/a/bonus", "http://e.com/casinos/bonus", "http://e.com/free-download/x/crack", "http://e.com/downloads/crack",
 ]
 
 
@@ -21,6 +22,7 @@ def slow(url):
         _, rule, action = max(fits)
         return host, path, rule, action, None
     words = [w for w in re.split("[^a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host + path)) if w in url_rules.BLOCKED_WORDS]
+    words += [name for name, pattern, _ in url_rules.PATTERN_RULES if re.search(pattern, host + path, re.I | re.S)]
     word = min(words, key=lambda w: (-len(w), w)) if words else None
     return host, path, None, "block" if word else "allow", word
 
@@ -47,3 +49,17 @@ def test_open_end_of_a_path_is_no_literal(spark):
     df = spark.createDataFrame([(1, "http://a.org/freedom"), (2, "http://a.org/x")], "page_id long, url string")
     rules = url_rules.host_rules(spark, [("block", "org", "/free")])
     assert {r.page_id: r.rule for r in url_rules.judge_urls(df, rules).collect()} == {1: "org/free", 2: None}
+
+
+def test_rules_without_a_token(spark):
+    df = spark.createDataFrame([(1, "http://例え.テスト/a"), (2, "http://a.org/x")], "page_id long, url string")
+    rules = url_rules.host_rules(spark, [("block", "例え.テスト", "/"), ("block", "org", "/")])
+    assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, rules).collect()} == {1: ("例え.テスト/", "block"), 2: ("org/", "block")}
+
+
+def test_patterns_need_their_literals():
+    """What a pattern matches holds its literal tokens, or the index would miss it."""
+    for _, pattern, literals in url_rules.PATTERN_RULES:
+        for url in URLS:
+            if url and re.search(pattern, url.split("://")[-1], re.I):
+                assert set(literals) <= set(re.split("[^a-z0-9]+", url.lower()))
