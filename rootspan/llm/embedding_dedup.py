@@ -4,8 +4,8 @@ Equal vectors of a label meet in one row with their number first. Cells are fitt
 sample (``sample_rows``); every vector is assigned. A vector lies in its own cell and visits each
 cell of a smaller number whose border is near enough: with d the difference of the two centroids, a
 partner at cosine t on the far side needs t (y·d) + sqrt(1 - t²) (z·d) >= 0 for its unit offset z,
-and a random z reaches ``reach`` times |d| / sqrt(dimensions). With ``reach`` = sqrt(dimensions) no
-pair can be lost; the default gives a recall of 1.0 on the given tables (see the tests). Each pair
+which some z meets if sqrt(1 - t²) |d'| >= -t (y·d) with d' what y leaves of d; no pair is lost. A smaller
+``reach`` counts only that many times |d'| / sqrt(dimensions), which is quicker and may lose pairs. Each pair
 is looked at in one cell only, so links are counted once.
 
 Cells of more than ``cell_rows`` rows are compared block by block, each pair of blocks in a task of
@@ -28,8 +28,12 @@ from rootspan.llm.common import column, hash_sample, mapped
 from rootspan.operators.components import connected_components
 from rootspan.scratch import materialize
 
+#: REACH is a quick choice for callers that can do with a recall of about 0.99 (tests); the default loses nothing.
 THRESHOLD, REACH = 0.93, 3.0
-SAMPLE_ROWS, CELL_TARGET, MAX_CELLS, CELL_ROWS = 4096, 512, 256, 8192
+#: Rows that cells are fitted on, at least and for each cell; rows a cell holds on average; most cells; rows compared as one block.
+SAMPLE_ROWS, CELL_SAMPLE, CELL_TARGET, MAX_CELLS, CELL_ROWS = 4096, 32, 2048, 1024, 8192
+#: Rows whose cells are looked up together.
+STEP = 512
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,20 +68,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centroids
 
 
-def cells_of(x: np.ndarray, centroids: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Own cell of each row of x, and which cells it lies in: its own, and the smaller ones within reach."""
+def cells_of(x: np.ndarray, centroids: np.ndarray, threshold: float, reach: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Own cell of each row of x, and which cells it lies in: its own, and the smaller ones within reach (None: all that can hold a partner)."""
+    if len(x) > STEP:
+        parts = [cells_of(x[i : i + STEP], centroids, threshold, reach) for i in range(0, len(x), STEP)]
+        return np.concatenate([own for own, _ in parts]), np.concatenate([inside for _, inside in parts])
     s = x @ centroids.T
     own = s.argmax(axis=1)
     toward = s - s[np.arange(len(x)), own][:, None]
     apart2 = np.maximum(0, 2 - 2 * centroids @ centroids.T)[own]
-    off = np.sqrt(np.maximum(0, apart2 - toward**2)) * min(1.0, reach / np.sqrt(x.shape[1]))
-    inside = threshold * toward + np.sqrt(1 - threshold**2) * off >= 0
+    off = np.sqrt(np.maximum(0, apart2 - toward**2)) * (1.0 if reach is None else min(1.0, reach / np.sqrt(x.shape[1])))
+    inside = threshold * toward + np.sqrt(1 - threshold**2) * off >= -1e-9
     inside &= np.arange(len(centroids)) <= own[:, None]
     inside[np.arange(len(x)), own] = True
     return own, inside
 
 
-def _cells(centroids: dict[int, np.ndarray], threshold: float, reach: float):
+def _cells(centroids: dict[int, np.ndarray], threshold: float, reach: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = column(batch, "vec").to_pylist()
@@ -94,33 +101,23 @@ def _cells(centroids: dict[int, np.ndarray], threshold: float, reach: float):
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what the 0/1 matrix joins; near[i, j] links left[i] to right[j], nodes may be in both."""
-    out, root = [], {}
-
-    def find(a: int) -> int:
-        while root.setdefault(a, a) != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    seen = np.zeros(near.shape[1], dtype=bool)
-    for i in np.flatnonzero(near.any(axis=1)):
-        js = np.flatnonzero(near[i])
-        fresh, old = js[~seen[js]], js[seen[js]]
-        for j in fresh:
-            a, b = find(int(left[i])), find(int(right[j]))
-            if a != b:
-                root[a] = b
-                out.append((int(left[i]), int(right[j])))
-        roots = {}
-        for j in old:  # these have roots already; one link to each tree is enough
-            roots.setdefault(find(int(right[j])), int(right[j]))
-        for r, j in roots.items():
-            a = find(int(left[i]))
-            if a != find(r):
-                root[a] = find(r)
-                out.append((int(left[i]), j))
-        seen[fresh] = True
+    """Links that join what the 0/1 matrix joins; near[i, j] links left[i] to right[j], nodes may be in both.
+
+    Rows and columns are searched in turn, whole fronts at a time; one link for each row or column that is found.
+    """
+    out: list[tuple[int, int]] = []
+    new_row, new_col = near.any(axis=1), near.any(axis=0)
+    while new_row.any():
+        rows = np.flatnonzero(new_row)[:1]
+        new_row[rows] = False
+        while len(rows):
+            cols = np.flatnonzero(near[rows].any(axis=0) & new_col)
+            new_col[cols] = False
+            out += zip(left[rows[near[np.ix_(rows, cols)].argmax(axis=0)]].tolist(), right[cols].tolist())
+            rows = np.flatnonzero(near[:, cols].any(axis=1) & new_row) if len(cols) else cols
+            new_row[rows] = False
+            if len(rows):
+                out += zip(left[rows].tolist(), right[cols[near[np.ix_(rows, cols)].argmax(axis=1)]].tolist())
     return out
 
 
@@ -154,7 +151,7 @@ def _compare(threshold: float, step: int = 512):
 
 
 def embedding_groups(
-    vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH, sample_rows: int = SAMPLE_ROWS, cell_target: int = CELL_TARGET, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS
+    vectors: DataFrame, threshold: float = THRESHOLD, reach: float | None = None, sample_rows: int = SAMPLE_ROWS, cell_target: int = CELL_TARGET, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -169,12 +166,14 @@ def embedding_groups(
     rows = materialize(mapped(vectors, _keyed, "uid long, vec_id long, label string, digest binary, vec binary"), "vectors")
     unique = rows.where("digest is not null").groupBy("label", "digest").agg(F.min("uid").alias("node"), F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("vec").alias("vec"))
     unique = materialize(unique, "unique")
-    stats = unique.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    sample = hash_sample(unique.select(F.xxhash64("digest").alias("key"), "vec"), "key", sample_rows, stats["n"]).collect()
+    by_label = unique.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    stats = by_label.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("label_rows")).first()  # the label a row is in, on average
+    wanted = min(max_cells, max(1, round((stats["label_rows"] or 0) / cell_target)))
+    sample_rows = max(sample_rows, CELL_SAMPLE * wanted)
+    sample = hash_sample(unique.select(F.xxhash64("digest").alias("key"), "vec"), "key", sample_rows, int(stats["n"] or 0)).collect()
     by_size: dict[int, list[bytes]] = {}
     for r in sample:
         by_size.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
-    wanted = min(max_cells, max(1, round(stats["n"] / max(stats["labels"], 1) / cell_target)))
     centroids = {k: spherical_kmeans(x := np.frombuffer(b"".join(v), dtype=np.float64).reshape(len(v), -1), min(wanted, len(x))) for k, v in by_size.items()}
     placed = mapped(unique.select("node", "label", "mult", "vec"), _cells(centroids, threshold, reach), "node long, label string, mult long, vec binary, size long, cell long, home boolean")
     placed = materialize(placed, "cells")

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,42 @@ def test_label_types(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)], rng.choice("ab")) for i in range(40)]
     assert got(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")) == slow(rows)
+
+
+def test_few_directions_lose_nothing(spark):
+    """Vectors that vary in few of their dimensions, where partners lean to another cell: all links, in many cells."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 24)) * np.array([1.0] * 4 + [0.03] * 20)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (y @ y.T >= 0.93).sum(axis=1) - 1
+    found = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell_target=60).collect()
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(links.tolist()))
+
+
+def test_forest_of_a_dense_block():
+    rng = np.random.default_rng(2)
+    for size, share in ((40, 0.02), (40, 0.3), (60, 0.01)):
+        near = rng.random((size, size + 5)) < share
+        left, right = np.arange(size), np.arange(1000, 1005 + size)
+        links = embedding_dedup._forest(near, left, right)
+
+        def groups(pairs):
+            root = {}
+
+            def find(a):
+                while root.setdefault(a, a) != a:
+                    a = root[a]
+                return a
+
+            for a, b in pairs:
+                root[find(a)] = find(b)
+            out = {}
+            for a in root:
+                out.setdefault(find(a), set()).add(a)
+            return sorted(map(sorted, out.values()))
+
+        assert groups(links) == groups([(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(near))])
+    began = time.time()
+    assert len(embedding_dedup._forest(np.ones((4000, 4000), dtype=bool), np.arange(4000), np.arange(4000))) <= 8000
+    assert time.time() - began < 5
