@@ -11,8 +11,9 @@ Beside them go windows of the plain words, case folded: capitals decide what cou
 another case has other templates. Enough plain windows on one diagonal are a leak as well, whatever the
 values say, unless these contradict each other and most of the matched template windows are not verbatim.
 
-The benchmark's windows go to every task by broadcast, in shards of at most ``SHARD_ROWS`` rows of
-three longs, one after the other if they are more; all rows of the corpus meet every shard.
+The corpus is read into windows once, for all window sizes. The benchmark's distinct window hashes (two longs a row) go to every task
+by broadcast if they are at most ``BROADCAST_ROWS``; beyond that Spark joins by its own choice. Only windows with a
+known hash go on to meet the items that have them.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootspan.llm.common import fresh
 from rootspan.scratch import materialize
 
-WINDOW, MIN_WINDOWS, SHARD_ROWS = 8, 6, 1_000_000
+WINDOW, MIN_WINDOWS, BROADCAST_ROWS = 8, 6, 1_000_000
 UNITS = ["cm", "cents", "days", "dollars", "euros", "feet", "ft", "g", "grams", "h", "hours", "inches", "kg", "km", "l", "lb", "liters", "litres", "m", "meters", "metres", "mg", "miles", "min", "minutes", "ml", "mm", "months", "percent", "pounds", "s", "seconds", "weeks", "years"]
 NUMBER = r" [0-9][0-9.]*(?: [0-9][0-9.]*)*"
 UNIT = f"# ({'|'.join(UNITS)}) "
@@ -76,11 +78,17 @@ def evaluated(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def windows(df: DataFrame, size: int, keys: list[str], pos: str) -> DataFrame:
-    """``keys, pos, hash``: a hash for each run of ``size`` of the ``words`` of ``df``, positions from 0."""
-    hashed = evaluated(df.where(F.size("words") >= size), "hashes", F.transform("words", lambda w: F.xxhash64(w)), *keys)
-    starts = F.sequence(F.lit(1), F.size("hashes") - (size - 1))
-    return hashed.select(*keys, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, size)))).alias(pos, "hash"))
+def windows(df: DataFrame, sizes: list[int], keys: list[str], pos: str) -> DataFrame:
+    """``keys, pos, hash``: a hash for each run of each of ``sizes`` of the ``words`` of ``df``, positions from 0; runs of other lengths have other hashes."""
+    hashed = evaluated(df.where(F.size("words") >= min(sizes)), "hashes", F.transform("words", lambda w: F.xxhash64(w)), *keys)
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("hashes") - (size - 1))
+        runs = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("hashes", i, size)).alias("hash")))
+        return F.when(F.size("hashes") >= size, runs)
+
+    found = of(sizes[0]) if len(sizes) == 1 else F.flatten(F.filter(F.array(*[of(n) for n in sizes]), lambda x: x.isNotNull()))
+    return hashed.select(*keys, F.explode(found).alias("w")).select(*keys, F.col("w.at").alias(pos), F.col("w.hash").alias("hash"))
 
 
 def slots(text: Column, words: Column) -> Column:
@@ -101,7 +109,7 @@ def _placed(words: Column, kind: str, values: Column) -> Column:
     return F.zip_with(at, values, lambda p, v: F.struct(p.cast("long").alias("pos"), F.lit(kind).alias("kind"), F.trim(v).alias("value")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, n_slots, n_changed`` for each leak of an item into a document.
 
     n_windows: template windows of the item found on the best diagonal, at least ``min_windows`` or all that
@@ -119,18 +127,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     doc_id, item_id = F.struct("doc_id").alias("doc"), F.struct("item_id").alias("item")
     texts = docs.select("doc_id", "text")
     worded = both_words(texts, "doc_id")
-    hits = []
-    for size in sizes:
-        own = windows(items.where(F.col("n_window") == size), size, ["item_id", "verbatim"], "item_pos")
-        own = materialize(own.select(item_id, "verbatim", "item_pos", "hash").distinct(), "windows")
-        shards = max(1, -(-own.count() // shard_rows))
-        here = windows(worded, size, ["doc_id", "verbatim"], "doc_pos")
-        for shard in range(shards):
-            part = own.where(F.pmod("hash", F.lit(shards)) == shard)
-            hits.append(here.join(F.broadcast(part), ["hash", "verbatim"]).select(doc_id, "item", "verbatim", "doc_pos", "item_pos"))
-    if not hits:
+    if not sizes:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, item_windows long, n_slots long, n_changed long")
-    found = reduce(DataFrame.unionByName, hits).withColumn("diagonal", (F.col("doc_pos") - F.col("item_pos")).cast("long"))
+    own = [windows(items.where(F.col("n_window") == n), [n], ["item_id", "verbatim"], "item_pos") for n in sizes]
+    own = materialize(reduce(DataFrame.unionByName, own).select(item_id, "verbatim", "item_pos", "hash").distinct(), "windows")
+    known = materialize(own.select("hash", "verbatim").distinct(), "known")
+    few = known.count() <= broadcast_rows
+    here = windows(worded, sizes, ["doc_id", "verbatim"], "doc_pos").join(F.broadcast(known) if few else known, ["hash", "verbatim"])
+    hits = here.join(own, ["hash", "verbatim"]).select(doc_id, "item", "verbatim", "doc_pos", "item_pos")
+    found = hits.withColumn("diagonal", (F.col("doc_pos") - F.col("item_pos")).cast("long"))
     by = found.groupBy("doc", "item", "verbatim", "diagonal").agg(F.collect_set("item_pos").alias("at")).withColumn("n_windows", F.size("at").cast("long"))
     best = by.groupBy("doc", "item", "verbatim").agg(F.min(F.struct((-F.col("n_windows")).alias("o"), "diagonal", "n_windows", "at")).alias("b")).select("doc", "item", "verbatim", "b.diagonal", "b.n_windows", "b.at")
     wide = items.groupBy(item_id, "verbatim").agg(F.max(F.size("words") - F.col("n_window") + 1).cast("long").alias("item_windows"), F.max("n_window").alias("n_window"))
@@ -154,9 +159,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents into which a benchmark item leaked."""
-    leaked = materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """``docs`` without the documents into which a benchmark item leaked; see ``find_leaks`` for nulls and empty tables.
+
+    All rows of a leaked doc_id go, repeats and null ids too. Columns of any other name pass through.
+    """
+    name = fresh("leaked", docs.columns)
+    leaked = materialize(find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE_SQL = r"""

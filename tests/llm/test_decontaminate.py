@@ -32,7 +32,7 @@ def test_copies_and_new_parameters(spark):
     assert by[1] == (6, 0) and by[3][0] == 6 and by[3][1] >= 5
     kept = {(r.doc_id) for r in decontaminate.without_leaks(d, b).collect()}
     assert kept == {4, 6, 7, 8} | ({2} - {g[0] for g in got})
-    sharded, _, _ = leaks(spark, docs, [(10, ITEM), (13, "one two")], shard_rows=3)
+    sharded, _, _ = leaks(spark, docs, [(10, ITEM), (13, "one two")], broadcast_rows=3)
     assert sharded == got
 
 
