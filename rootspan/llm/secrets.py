@@ -1,13 +1,13 @@
 """Secrets in texts: three fixed patterns, and a character convolutional network over every further candidate.
 
-Findings of the patterns always stand. Further candidates are runs of key-like characters that mix
-letters and digits; the network reads a candidate with its surroundings and adds those it scores at
-or above its threshold. It is trained on findings that the patterns label: theirs against runs that
-look alike but are words, numbers, addresses. Each is seen with its surroundings, with those nearest
-to it blanked, and alone, and keys also where a word stood, so that it learns the key and not only
-the words before it. A third of the labelled windows
-is held out; on these the scores are calibrated (Platt). The threshold lies above nearly all held-out
-lookalikes, as long as that keeps the wanted recall of held-out keys, and never below ``LEAST_CHANCE``.
+Findings of the patterns always stand. Further candidates are what a key or password may look like: long runs of
+key characters, and shorter words of digits, letters and signs together (``further_candidates``). The network reads a
+candidate with its surroundings, a long one in overlapping windows to its end, and adds those it scores at or above its
+threshold. It is trained on labelled windows: the patterns' findings, and keys and passwords of other shapes that are drawn
+and planted where a word stood, against runs that look alike but are words, numbers, dates, addresses and names. Each is seen
+with its surroundings, with those nearest to it blanked, and alone, so that it learns the key and not only the words
+before it. A third of the labelled windows is held out; on these the scores are calibrated (Platt), and the threshold is the
+highest that keeps the wanted recall.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,12 +35,19 @@ KINDS = ("assign", "access", "hex", "key")
 
 #: Labelled windows the network is trained on at most, its window, and the recall its threshold must keep.
 TRAIN_WINDOWS, WINDOW, RECALL = 6000, 96, 0.98
-CANDIDATE_CHARS, LEAST_CHANCE = 20, 0.2
+#: Least characters of key-like runs, of those of letters alone, of pieces between slashes, and of passwords.
+CANDIDATE_CHARS, LETTER_CHARS, PIECE_CHARS, PASSWORD_CHARS = 20, 28, 16, 8
+#: No threshold lies below this, whatever is held out: a score of 0 tells nothing.
+LEAST_CHANCE = 1e-6
 
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 _KEY = np.zeros(256, dtype=bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_PASSWORD = re.compile(rb"[!-~]{%d,64}" % PASSWORD_CHARS)
+#: Numbers, dates, times, versions, and words with a number after a mark: of digits and signs, or letters and digits in order.
+_PLAIN = re.compile(rb"[0-9.,:/+TZ-]+|v?[0-9]+(?:\.[0-9]+)+[a-z]*|[A-Za-z]+(?:[-_.:/#|][A-Za-z]+)*[-_.:/#|]?[0-9]+|.*://.*|[^@]+@[^@]+\.[a-z]+", re.S)
+_EDGES = b"\"'`()[]{}<>.,;:!?"
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[list(b"0123456789")] = True
 #: Small alphabet of the network: blank 0, lower case by letter, upper case, digits, and marks by kind.
@@ -73,15 +81,47 @@ def base_findings(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def further_candidates(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Key-like runs with a letter and a digit that touch no finding."""
+    """What else may be a secret and reaches beyond what is found, by start; of candidates that overlap, callers keep the likeliest.
+
+    Runs of at least ``CANDIDATE_CHARS`` key characters with a letter and a digit, or of ``LETTER_CHARS`` letters (both as a
+    whole and, where slashes cut them, piece by piece; in a web address by piece only); and words of at least
+    ``PASSWORD_CHARS`` printable characters with a digit and two of small letters, capitals and signs.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
-    starts, ends = _runs(_KEY[raw], CANDIDATE_CHARS)
-    out = []
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
+    out: set[tuple[int, int]] = set()
+
+    def key_like(a: int, b: int, least: int) -> bool:
+        n = int(digits[b] - digits[a])
+        return b - a >= least and 0 < n < b - a or n == 0 and b - a >= LETTER_CHARS and data[a:b].isalpha()
+
+    starts, ends = _runs(_KEY[raw], PIECE_CHARS)
     for a, b in zip(starts.tolist(), ends.tolist()):
-        digits = int(_DIGIT[raw[a:b]].sum())
-        if 0 < digits < b - a and not any(a < e and s < b for s, _, e in found):
-            out.append((a, 3, b))
-    return out
+        cuts = [i for i in range(a, b) if data[i] == 47] if b - a < 4096 and b"/" in data[a:b] else []
+        if not cuts or b"://" not in data[max(0, a - 256) : b].split()[-1]:
+            if key_like(a, b, CANDIDATE_CHARS):
+                out.add((a, b))
+        for x, y in zip([a, *(c + 1 for c in cuts)], [*cuts, b]) if cuts else ():
+            if key_like(x, y, PIECE_CHARS):
+                out.add((x, y))
+    if digits[-1]:
+        for m in _PASSWORD.finditer(data):
+            a, b = m.span()
+            if digits[b] == digits[a] or b - a == 64:
+                continue
+            word = m[0]
+            left = len(word) - len(word.lstrip(_EDGES[:9]))
+            right = len(word.rstrip(_EDGES))
+            word = word[left:right]
+            kinds = (word.lower() != word) + (word.upper() != word) + (not word.isalnum())
+            if len(word) >= PASSWORD_CHARS and kinds >= 2 and digits[a + right] > digits[a + left] and not _PLAIN.fullmatch(word):
+                out.add((a + left, a + right))
+    def beyond(a: int, b: int) -> bool:
+        """Whether at least four letters or digits lie outside of what is found."""
+        near = [(max(a, s), min(b, e)) for s, _, e in found if s < b and a < e]
+        return not near or sum(c < 128 and chr(c).isalnum() and not any(s <= i < e for s, e in near) for i, c in enumerate(data[a:b], a)) >= 4
+
+    return sorted((a, 3, b) for a, b in out if beyond(a, b))
 
 
 def lookalikes(data: bytes) -> list[tuple[int, int]]:
@@ -94,7 +134,7 @@ def lookalikes(data: bytes) -> list[tuple[int, int]]:
 
 def window(data: bytes, start: int, end: int, width: int = WINDOW, hide: int = 0) -> np.ndarray:
     """Classes of the candidate's characters with what stands around, the candidate in the middle; ``hide`` blanks so many places on both sides."""
-    middle = (start + min(end, start + width)) // 2
+    middle = (start + end) // 2
     a, b = middle - width // 2, middle + width // 2
     out = np.zeros(width, dtype=np.int64)
     lo, hi = max(a, 0), min(b, len(data))
@@ -104,6 +144,15 @@ def window(data: bytes, start: int, end: int, width: int = WINDOW, hide: int = 0
     return out
 
 
+def windows(data: bytes, start: int, end: int, width: int = WINDOW) -> list[np.ndarray]:
+    """One window, or for a candidate of more than two thirds of it overlapping ones from its start to its end, with surroundings on both sides."""
+    part = 2 * width // 3
+    if end - start <= part:
+        return [window(data, start, end, width)]
+    places = [*range(start, end - part, part // 2), end - part]
+    return [window(data, at, at + part, width) for at in places]
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, maximum and mean over places, one output; then Platt's scale and the threshold."""
@@ -187,10 +236,35 @@ def train(windows: np.ndarray, labels: np.ndarray, recall: float = RECALL, seen:
     chance = net.chance(windows[held])
     hits = np.sort(chance[y > 0])
     keeps_recall = float(hits[math.floor((1 - recall) * len(hits))])
-    net.threshold = max(LEAST_CHANCE, min(keeps_recall, float(np.quantile(chance[y == 0], 0.998))))
+    net.threshold = max(LEAST_CHANCE, keeps_recall)
     return net
 
 
+def planted(seed: bytes, n: int = 2) -> list[bytes]:
+    """Keys and passwords of other shapes than the patterns', drawn at random but alike for a seed."""
+    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed, digest_size=8).digest(), "big"))
+    letters, out = string.ascii_letters, []
+    shapes = [(letters + string.digits, 20, 44), (letters + string.digits + "+/_-", 20, 64), (letters, 28, 48), (string.ascii_lowercase, 28, 40), (string.ascii_uppercase + string.digits, 20, 40)]
+    for _ in range(n):
+        kind = rng.integers(0, len(shapes) + 2)
+        if kind < len(shapes):
+            alphabet, low, high = shapes[kind]
+            text = "".join(rng.choice(list(alphabet), rng.integers(low, high)))
+        else:
+            text = "".join(rng.choice(list(letters + string.digits + "!@#$%^&*"), rng.integers(8, 17)))
+            text = text[:-3] + rng.choice(list(string.digits)) + rng.choice(list("!@#$%^&*")) + rng.choice(list(letters))
+        out.append(text.encode())
+    return out
+
+
+def plain_runs(seed: bytes, word: bytes) -> list[bytes]:
+    """What looks like a key but is none: a name with a number, a date, an identifier, a path, a marked or doubled word."""
+    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed + word, digest_size=8).digest(), "big"))
+    n, hexes = rng.integers(0, 10_000), "".join(rng.choice(list("0123456789abcdef"), 32))
+    shapes = [word * 3 + b"%d" % n, word.capitalize() * 2, b"20%02d-%02d-%02dT10:00:00Z" % (n % 100, n % 12 + 1, n % 28 + 1), f"{hexes[:8]}-{hexes[8:12]}-{hexes[12:16]}-{hexes[16:20]}-{hexes[20:]}".encode(), word + b"/" + word + b"/index%d.html" % n, word + b"_" + word.upper() + b"_%d" % n, word + b"-%d" % n + b"%" * 3]
+    return [shapes[i] for i in rng.choice(len(shapes), 2, replace=False)]
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of findings and of as many lookalikes of the same text, each with a key that orders them at random but alike in every run."""
     for batch in bounded(batches, "text"):
@@ -211,8 +285,12 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for size in {b - a, CANDIDATE_CHARS + (s + e) % max(1, b - a - CANDIDATE_CHARS), CANDIDATE_CHARS}:
                         key = data[a:b][:size]
                         seen.append((data[near:s] + key + data[e : e + WINDOW], s - near, s - near + len(key), label, 0))
+                    seed = b"%d" % s + data[s:e]
+                    for key, own in [(k, True) for k in planted(seed)] + [(k, False) for k in plain_runs(seed, data[s:e])]:
+                        hide = (0, 12, WINDOW)[len(seen) % 3]
+                        seen.append((data[near:s] + key + data[e : e + WINDOW], s - near, s - near + len(key), own, hide))
             for text, a, b, label, hide in seen:
-                got = window(text, a, b, hide=hide).astype(np.uint8).tobytes()
+                got = window(text, a, min(b, a + 2 * WINDOW // 3), hide=hide).astype(np.uint8).tobytes()
                 keys.append(int.from_bytes(hashlib.blake2b(got + b"%d" % a, digest_size=8).digest(), "big", signed=True))
                 labels.append(label)
                 windows.append(got)
@@ -230,12 +308,19 @@ def fit_network(docs: DataFrame, limit: int = TRAIN_WINDOWS, recall: float = REC
 
 
 def all_findings(data: bytes, net: Network) -> list[tuple[int, int, int]]:
+    """Findings of the patterns, and of overlapping candidates at or above the threshold the likeliest (then the longest, then the first)."""
     found = base_findings(data)
-    more = further_candidates(data, found)
-    if more and net.threshold <= 1:
-        chance = net.chance(np.array([window(data, a, b) for a, _, b in more]))
-        found = sorted(found + [c for c, p in zip(more, chance) if p >= net.threshold])
-    return found
+    more = further_candidates(data, found) if net.threshold <= 1 else []
+    if not more:
+        return found
+    views = [windows(data, a, b) for a, _, b in more]
+    chance = net.chance(np.array([w for v in views for w in v]))
+    best = np.maximum.reduceat(chance, np.cumsum([0, *(len(v) for v in views[:-1])]))
+    taken: list[tuple[int, int, int]] = []
+    for p, c in sorted(((p, c) for p, c in zip(best.tolist(), more) if p >= net.threshold), key=lambda x: (-x[0], x[1][0] - x[1][2], x[1])):
+        if not any(c[0] < e and s < c[2] for s, _, e in taken):
+            taken.append(c)
+    return sorted(found + taken)
 
 
 def in_code_points(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -290,7 +375,7 @@ def _masked(net: Network, mark: bytes):
                         if e > at:
                             parts += [data[at : max(s, at)], mark] if s >= at else []
                             at = e
-                    data = b"".join([*parts, data[at:]]).decode()
+                    data = b"".join([*parts, data[at:]]).decode("utf-8", "replace")
                 texts.append(data)
                 sizes.append(None if data is None else len(data))
             out = {name: column(batch, name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
@@ -304,7 +389,8 @@ def _masked(net: Network, mark: bytes):
 def mask_secrets(docs: DataFrame, net: Network | None = None, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding's value replaced by ``mark``, and n_chars, where there is one, brought up to date.
 
-    Overlapping findings become one mark. Null texts stay null, texts without findings as they are.
+    Overlapping findings become one mark. Null texts stay null, texts without findings as they are, but for bytes that are no
+    UTF-8, which become U+FFFD. Repeated rows, null ids and columns of any other name pass through. Empty in, empty out.
     """
     net = net or fit_network(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
