@@ -88,6 +88,6 @@ def test_stages_take_odd_rows(spark, tmp_path):
             docs = materialize(stage(spark, docs, f"file://{tmp_path}"), name)
             assert docs.dtypes == df.dtypes and docs.count() <= n
         ids = {r.doc_id for r in docs.collect()}
-    XX not docs.where("text like '%abcdefabcdef1234%'").count()
+        assert n == 0 or {1, None, 2} <= ids and not docs.where("text like '%abcdefabcdef1234%'").count()
         packed = corpus_pipeline.STAGES[4][1](spark, docs, f"file://{tmp_path}")
         assert {r.doc_id for r in packed.collect()} == ids
