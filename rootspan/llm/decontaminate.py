@@ -176,34 +176,40 @@ first AS (SELECT kind, id, regexp_replace(' ' || regexp_replace(text, '[^\p{L}\p
 second AS (SELECT *, regexp_replace(s1, ' [0-9][0-9.]*(?: [0-9][0-9.]*)*', ' #', 'g') AS s2 FROM first),
 third AS (SELECT *, regexp_replace(s2, '# (@UNITS@) ', '# % ', 'g') AS s3 FROM second),
 worded AS (
-  SELECT *, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(s3, '([^ .])((?: \p{Lu}\p{L}*)+)', '\1 @', 'g')), '(?: \.)+ ', ' ', 'g'), ' +'), lambda w: w <> '') AS words
-  FROM third),
+  SELECT *, false AS verbatim, list_filter(string_split_regex(regexp_replace(lower(regexp_replace(s3, '([^ .])((?: \p{Lu}\p{L}*)+)', '\1 @', 'g')), '(?: \.)+ ', ' ', 'g'), ' +'), lambda w: w <> '') AS words FROM third
+  UNION ALL SELECT *, true, list_filter(string_split_regex(regexp_replace(lower(upper(s1)), '(?: \.)+ ', ' ', 'g'), ' +'), lambda w: w <> '') FROM third),
 items AS (SELECT *, least(len(words), 8) AS n_window FROM worded WHERE kind = 'item' AND len(words) > 0),
 item_windows AS (
-  SELECT DISTINCT id AS item_id, n_window, pos - 1 AS item_pos, array_to_string(words[pos:pos + n_window - 1], ' ') AS win
-  FROM (SELECT id, n_window, words, unnest(range(1, len(words) - n_window + 2)) AS pos FROM items)),
+  SELECT DISTINCT id AS item_id, verbatim, n_window, pos - 1 AS item_pos, array_to_string(words[pos:pos + n_window - 1], ' ') AS win
+  FROM (SELECT id, verbatim, n_window, words, unnest(range(1, len(words) - n_window + 2)) AS pos FROM items)),
 doc_windows AS (
-  SELECT id AS doc_id, n_window, pos - 1 AS doc_pos, array_to_string(words[pos:pos + n_window - 1], ' ') AS win
-  FROM (SELECT id, n_window, words, unnest(range(1, len(words) - n_window + 2)) AS pos FROM worded, (SELECT DISTINCT n_window FROM items) WHERE kind = 'doc')),
+  SELECT id AS doc_id, verbatim, n_window, pos - 1 AS doc_pos, array_to_string(words[pos:pos + n_window - 1], ' ') AS win
+  FROM (SELECT id, verbatim, n_window, words, unnest(range(1, len(words) - n_window + 2)) AS pos FROM worded, (SELECT DISTINCT n_window FROM items) WHERE kind = 'doc')),
 diagonals AS (
-  SELECT doc_id, item_id, doc_pos - item_pos AS diagonal, count(DISTINCT item_pos) AS n_windows, min(item_pos) AS lo, max(item_pos) AS hi
-  FROM doc_windows JOIN item_windows USING (n_window, win) GROUP BY ALL),
-best AS (SELECT * FROM diagonals QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, diagonal) = 1),
-likely AS (
-  SELECT b.*, w.item_windows, w.n_window FROM best b JOIN (SELECT id, max(len(words) - n_window + 1) AS item_windows, max(n_window) AS n_window FROM items GROUP BY id) w ON w.id = b.item_id
+  SELECT doc_id, item_id, verbatim, doc_pos - item_pos AS diagonal, count(DISTINCT item_pos) AS n_windows, list(DISTINCT item_pos) AS at
+  FROM doc_windows JOIN item_windows USING (n_window, win, verbatim) GROUP BY doc_id, item_id, verbatim, doc_pos - item_pos),
+best AS (SELECT * FROM diagonals QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, verbatim ORDER BY n_windows DESC, diagonal) = 1),
+enough AS (
+  SELECT b.*, w.item_windows, w.n_window FROM best b
+  JOIN (SELECT id, verbatim, max(len(words) - n_window + 1) AS item_windows, max(n_window) AS n_window FROM items GROUP BY id, verbatim) w ON w.id = b.item_id AND w.verbatim = b.verbatim
   WHERE b.n_windows >= least(6, w.item_windows)),
+likely AS (SELECT * FROM enough WHERE NOT verbatim),
+copies AS (SELECT * FROM enough WHERE verbatim),
 slot_lists AS (
   SELECT kind, id, unnest([
     {'mark': '#', 'at': list_filter(list_transform(words, lambda w, i: CASE WHEN starts_with(w, '#') THEN i - 1 END), lambda x: x IS NOT NULL), 'vals': regexp_extract_all(s1, ' [0-9][0-9.]*(?: [0-9][0-9.]*)*')},
     {'mark': '%', 'at': list_filter(list_transform(words, lambda w, i: CASE WHEN starts_with(w, '%') THEN i - 1 END), lambda x: x IS NOT NULL), 'vals': regexp_extract_all(s2, '# (@UNITS@) ', 1)},
     {'mark': '@', 'at': list_filter(list_transform(words, lambda w, i: CASE WHEN starts_with(w, '@') THEN i - 1 END), lambda x: x IS NOT NULL), 'vals': list_transform(regexp_extract_all(s3, '([^ .])((?: \p{Lu}\p{L}*)+)', 2), lambda v: lower(v))}]) AS s
-  FROM worded WHERE kind = 'item' OR id IN (SELECT doc_id FROM likely)),
+  FROM worded WHERE NOT verbatim AND (kind = 'item' OR id IN (SELECT doc_id FROM likely))),
 slots AS (SELECT DISTINCT kind, id, mark, pos, trim(val) AS val FROM (SELECT kind, id, s.mark AS mark, unnest(s.at) AS pos, unnest(s.vals) AS val FROM slot_lists)),
 by_value AS (
   SELECT l.doc_id, l.item_id, i.mark, i.val, count(DISTINCT d.val) AS vals, count(*) AS n, sum(CASE WHEN d.val <> i.val THEN 1 ELSE 0 END) AS changed
-  FROM likely l JOIN slots i ON i.kind = 'item' AND i.id = l.item_id AND i.pos BETWEEN l.lo AND l.hi + l.n_window - 1
-  JOIN slots d ON d.kind = 'doc' AND d.id = l.doc_id AND d.pos = i.pos + l.diagonal AND d.mark = i.mark GROUP BY ALL),
-verdict AS (SELECT doc_id, item_id, max(vals) AS vals, sum(n) AS n_slots, sum(changed) AS n_changed FROM by_value GROUP BY ALL)
-SELECT l.doc_id, l.item_id, l.n_windows, CAST(l.item_windows AS BIGINT) AS item_windows, CAST(coalesce(v.n_slots, 0) AS BIGINT) AS n_slots, CAST(coalesce(v.n_changed, 0) AS BIGINT) AS n_changed
-FROM likely l LEFT JOIN verdict v ON v.doc_id = l.doc_id AND v.item_id = l.item_id WHERE coalesce(v.vals, 1) = 1
+  FROM likely l JOIN slots i ON i.kind = 'item' AND i.id = l.item_id AND len(list_filter(l.at, lambda p: i.pos BETWEEN p AND p + l.n_window - 1)) > 0
+  JOIN slots d ON d.kind = 'doc' AND d.id = l.doc_id AND d.pos = i.pos + l.diagonal AND d.mark = i.mark GROUP BY l.doc_id, l.item_id, i.mark, i.val),
+verdict AS (SELECT doc_id, item_id, max(vals) AS vals, sum(n) AS n_slots, sum(changed) AS n_changed FROM by_value GROUP BY doc_id, item_id),
+judged AS (SELECT l.doc_id, l.item_id, l.n_windows, l.item_windows, v.n_slots, v.n_changed, coalesce(v.vals, 1) = 1 AS consistent FROM likely l LEFT JOIN verdict v ON v.doc_id = l.doc_id AND v.item_id = l.item_id)
+SELECT coalesce(j.doc_id, c.doc_id) AS doc_id, coalesce(j.item_id, c.item_id) AS item_id, CASE WHEN coalesce(consistent, false) THEN j.n_windows ELSE c.n_windows END AS n_windows,
+  CAST(CASE WHEN coalesce(consistent, false) THEN j.item_windows ELSE c.item_windows END AS BIGINT) AS item_windows, CAST(coalesce(j.n_slots, 0) AS BIGINT) AS n_slots, CAST(coalesce(j.n_changed, 0) AS BIGINT) AS n_changed
+FROM judged j FULL JOIN copies c ON c.doc_id = j.doc_id AND c.item_id = j.item_id
+WHERE coalesce(consistent, false) OR c.doc_id IS NOT NULL AND (j.doc_id IS NULL OR 2 * c.n_windows >= j.n_windows)
 """.replace("@UNITS@", "|".join(UNITS))
