@@ -385,7 +385,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each of the ``similar_groups``: the one whose doc_id is the smallest.
 
-    Rows with a null doc_id stay. Of rows that repeat the smallest doc_id all stay.
+    Rows with a null doc_id stay. Of rows that repeat the smallest doc_id all stay. Null, empty and wordless texts are one group.
+    Columns of any other name pass through. Empty in, empty out.
     """
     drop = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")
