@@ -30,6 +30,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,8 +328,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents that share a doc_id, only those whose set is the one asked for."""
-    for batch in bounded(batches, "text", 1 << 20):
-        sets = [shingle_set(t) for t in column(batch, "text").to_pylist()]
+    unpack = zstandard.ZstdDecompressor()
+    for batch in bounded(batches, "packed", 1 << 19):
+        sets = [shingle_set(unpack.decompress(t)) for t in column(batch, "packed").to_pylist()]
         keys = _signed([_set_id(x) for x in sets])
         kept = [i for i, (k, want) in enumerate(zip(keys.to_pylist(), column(batch, "key").to_pylist())) if k == want]
         if kept:
@@ -340,12 +342,24 @@ def _near_sizes(m: str, n: str) -> str:
     return f"5 * least({m}, {n}) >= 4 * greatest({m}, {n})"
 
 
-def _similar(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in bounded(batches, "text"):
+        packed = [pack.compress(t or b"") for t in column(batch, "text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
+def _fetched(texts: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, shingles)`` of the sets asked for, written once: one shuffle of the texts, made smaller."""
+    wanted = materialize(keys.select("key").distinct().join(sets, "key"), "wanted")
+    packed = mapped(texts, _small, "doc_id long, packed binary")
+    found = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "packed")
+    return materialize(mapped(found, _shingles, "key long, shingles array<long>"), "shingles")
+
+
+def _similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: numbers of sets) whose sets have a Jaccard similarity of 0.8 or more, from the sets themselves."""
     pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets, "key"), "wanted")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text")
-    found = materialize(mapped(found, _shingles, "key long, shingles array<long>"), "shingles")
     left, right = (found.select(F.col("key").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
     both = pairs.join(right, "b").join(left, "a")
     return materialize(both.where("9 * size(array_intersect(of_a, of_b)) >= 4 * (size(of_a) + size(of_b))").select("a", "b"), "links")
@@ -366,7 +380,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).where("lead.key < last")
     members = materialize(banded.join(materialize(shared.select("band", "lead"), "shared"), "band"), "members")
     stars = members.where(f"key <> lead.key and {_near_sizes('n', 'lead.n')}").select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = _similar(texts, sets, stars)
+    found = _fetched(texts, sets, members.select("key"))
+    links = _similar(found, stars)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     placed = members.join(groups, "key", "left").select("band", "key", "n", F.col("lead.key").alias("lead"), F.coalesce("component", "key").alias("root"))
     placed = materialize(placed, "placed")
@@ -374,7 +389,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rest = materialize(placed.where("key <> lead").join(materialize(mixed, "mixed"), "band").select("band", "key", "n", "root"), "rest")
     other = rest.select("band", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     pairs = rest.join(other, "band").where(f"root < root2 and {_near_sizes('n', 'n2')}").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    links = links.unionByName(_similar(texts, sets, pairs))
+    links = links.unionByName(_similar(found, pairs))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = materialize(sets.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "sets")
     least = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
