@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators, each over its whole table, and their SQL."""
+"""The registered queries of the corpus operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootspan.llm import decontaminate, embedding_dedup, html_text, packing, quality, secrets, simhash, substring_dedup, token_counts, url_rules
+from rootspan.llm import decontaminate, embedding_dedup, hard_negatives, html_text, packing, quality, secrets, simhash, substring_dedup, token_counts, url_rules
 from rootspan.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -61,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL}
