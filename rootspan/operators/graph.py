@@ -13,6 +13,7 @@ from rootspan.operators.inference import DAY, active
 from rootspan.operators.paths import ancestors, inner_edges
 from rootspan.schema import EDGE_TYPES
 from rootspan.scratch import materialize, materialize_counted
+from rootspan.sources.positions import positioned
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]
 #: Fixed values.
@@ -49,14 +50,17 @@ def drop_dangling(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return marked.where(known).select(*edges.columns), marked.where(~known).select(*edges.columns)
 
 
-def merge_graphs(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_graphs(*graphs: tuple[DataFrame, DataFrame], order_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(nodes, edges, dangling)`` of several graphs: later values win field by field, absent (null) ones don't count.
 
-    properties are merged key by key, a later key wins; a later null value counts. Rows of one table
-    are taken in the order of ``monotonically_increasing_id``. First edge per key, no dangling ones.
+    properties are merged key by key, a later key wins; a later null value counts. Later means a later graph, and inside
+    one a greater ``order_col`` of its tables, which is not kept; without that the place in the input (``input_position``).
+    First edge per key, no dangling ones.
     """
     def numbered(df: DataFrame, i: int) -> DataFrame:
-        return df.withColumn("_seq", F.struct(F.lit(i).alias("g"), F.monotonically_increasing_id().alias("r")))
+        rows = positioned(df, "_place", order_col)
+        rows = rows.drop(order_col) if order_col else rows
+        return rows.withColumn("_seq", F.struct(F.lit(i).alias("g"), F.col("_place").alias("r"))).drop("_place")
 
     nodes = materialize(reduce(DataFrame.unionByName, [numbered(n, i) for i, (n, _) in enumerate(graphs)]), "nodes")
     edges = materialize(reduce(DataFrame.unionByName, [numbered(e, i) for i, (_, e) in enumerate(graphs)]), "edges")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rootspan.functions.classify import lookup
 from rootspan.operators.graph import dedupe_edges, dedupe_nodes, drop_dangling
 from rootspan.scratch import materialize
+from rootspan.sources.positions import positioned
 
 # Class of a resource type.
 TYPE_CLASSES = {
@@ -166,15 +167,19 @@ def resource_group_nodes_edges(resources: DataFrame, order_col: str) -> tuple[Da
     return nodes, _edges(rows, F.col("rg"), F.col("own"), "containment")
 
 
-def build_graph(resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, edges, dangling)`` of all extractors; the last node of an id, in the order of resources, subnets and groups and inside these of the rows, and the first edge of a key win."""
-    rows = materialize(resources.withColumn("pos", F.monotonically_increasing_id()), "resources")
+def build_graph(resources: DataFrame, order_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, edges, dangling)`` of all extractors; the last node of an id, in the order of resources, subnets and groups and inside these of the rows, and the first edge of a key win.
+
+    The order of rows is that of ``order_col``, else their place in the input (``input_position``).
+    """
+    rows = materialize(positioned(resources, "pos", order_col), "resources")
     subnets, subnet_edges = subnet_nodes_edges(rows, "pos")
     groups, group_edges = resource_group_nodes_edges(rows, "pos")
     parts = [vm_edges(rows), nic_edges(rows), subnet_edges, aks_edges(rows), lb_edges(rows), appgw_edges(rows), private_endpoint_edges(rows), sql_edges(rows), group_edges]
-    place = lambda part, pos, at: F.struct(F.lit(part).alias("part"), pos.cast("long").alias("pos"), at.cast("int").alias("at")).alias("_o")
+    place = lambda part, pos, at: F.struct(F.lit(part).alias("part"), pos.alias("pos"), at.cast("int").alias("at")).alias("_o")
     own = resource_nodes(rows, place(0, F.col("pos"), F.lit(0)))
-    nodes = _union(own, subnets.withColumn("_o", place(1, F.col("_o.pos"), F.col("_o.at"))), groups.withColumn("_o", place(2, F.lit(0), F.lit(0))))
+    nowhere = F.lit(None).cast(rows.schema["pos"].dataType)
+    nodes = _union(own, subnets.withColumn("_o", place(1, F.col("_o.pos"), F.col("_o.at"))), groups.withColumn("_o", place(2, nowhere, F.lit(0))))
     edges = _union(*[df.withColumn("_o", F.struct(F.lit(i), F.coalesce("id", F.lit("")))) for i, df in enumerate(parts)])
     nodes = materialize(dedupe_nodes(nodes, "_o").drop("_o"), "nodes")
     kept, dropped = drop_dangling(nodes, dedupe_edges(edges, "_o").drop("_o"))

@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from rootspan.operators.graph import edge_type_of
 from rootspan.operators.inference import DAY, active
 from rootspan.schema import EDGES, LAYERS, MUTATIONS, NODES, PAYLOAD, RULES, SIGNALS
+from rootspan.sources.positions import input_position
 
 
-def read_graph_payload(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of JSON documents with two arrays, one document a file, or one a line; absent fields are null."""
+def read_graph_payload(spark: SparkSession, path: str | list[str], lines: bool = False, position: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of JSON documents with two arrays, one document a file, or one a line; absent fields are null.
+
+    position: name of a further column with each row's place in the input, for ``merge_graphs`` and the like.
+    """
     payload = spark.read.schema(PAYLOAD).option("multiLine", str(not lines).lower()).json(path)
-    return payload.select(F.inline("nodes")), payload.select(F.inline("edges")).withColumn("edge_type", edge_type_of(F.col("edge_type")))
+    if position is None:
+        return payload.select(F.inline("nodes")), payload.select(F.inline("edges")).withColumn("edge_type", edge_type_of(F.col("edge_type")))
+    placed = [payload.select(input_position(payload).alias("_at"), F.posexplode(name).alias("_no", "_row")).select("_row.*", F.struct("_at", "_no").alias(position)) for name in ("nodes", "edges")]
+    return placed[0], placed[1].withColumn("edge_type", edge_type_of(F.col("edge_type")))
 
 
 def read_event_store(spark: SparkSession, jdbc_url: str, partitions: int = 16, **options: str) -> dict[str, DataFrame]:

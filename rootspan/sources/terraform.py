@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rootspan.functions.classify import lookup
 from rootspan.operators.graph import dedupe_edges, dedupe_nodes, drop_dangling
 from rootspan.scratch import materialize
+from rootspan.sources.positions import positioned
 from rootspan.sources.inventory import arm_id, make_edge, make_node
 
 STATE = "resources array<struct<mode:string,type:string,module:string,name:string,depends_on:array<string>,instances:array<struct<index_key:string,attributes:map<string,string>>>>>"
@@ -49,12 +50,14 @@ REFERENCES = [
 ]
 
 
-def tf_instances(state: DataFrame, types: list[str] | None = None) -> DataFrame:
+def tf_instances(state: DataFrame, types: list[str] | None = None, order_col: str | None = None) -> DataFrame:
     """A row for each instance of a managed resource: own id, address, type, module, attributes, depends_on.
 
+    ``place``: the state by ``order_col``, else by its place in the input (``input_position``), and the places of resource and instance in it.
+
     The id is the cloud id, else ``tf://`` and the address; the address has the module before it and the index after it.
     """
-    rows = state.select(F.monotonically_increasing_id().alias("row"), F.posexplode("resources").alias("pos", "r")).where("coalesce(r.mode, 'managed') = 'managed'")
+    rows = positioned(state, "_row", order_col).select(F.col("_row").alias("row"), F.posexplode("resources").alias("pos", "r")).where("coalesce(r.mode, 'managed') = 'managed'")
     rows = rows.select("row", "pos", "r.type", "r.module", "r.name", "r.depends_on", F.posexplode("r.instances").alias("inst", "i"))
     if types:
         rows = rows.where(F.col("type").isin(types))
@@ -107,9 +110,9 @@ def tf_association_edges(instances: DataFrame) -> DataFrame:
     return rows.select(*make_edge(arm_id(source), arm_id(target))).where("source_id <> '' and target_id <> ''")
 
 
-def tf_graph(state: DataFrame, types: list[str] | None = None, resolve_modules: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, edges, dangling)`` of a state; the last instance of an id in the state's order and the first edge of a key win."""
-    rows = materialize(tf_instances(state, types), "instances")
+def tf_graph(state: DataFrame, types: list[str] | None = None, resolve_modules: bool = False, order_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, edges, dangling)`` of one or more states; the last instance of an id in the order of states and inside them and the first edge of a key win."""
+    rows = materialize(tf_instances(state, types, order_col), "instances")
     nodes = materialize(dedupe_nodes(tf_nodes(rows, "place"), "place").drop("place"), "nodes")
     parts = [tf_reference_edges(rows), tf_depends_on_edges(rows, resolve_modules), tf_association_edges(rows)]
     edges = reduce(DataFrame.unionByName, [df.withColumn("_o", F.struct(F.lit(i), "id")) for i, df in enumerate(parts)])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rootspan.operators import graph
+from rootspan.schema import EDGES
 from rootspan.scratch import scratch_path
 from rootspan.sources import io, kubernetes, terraform
 from rootspan.sources.inventory import RESOURCES, build_graph
@@ -37,6 +38,38 @@ def test_payload_with_absent_fields(spark, tmp_path):
     assert spark.read.option("header", "true").csv(f"file://{tmp_path}/r").count() == 2
 
 
+def test_the_last_row_of_the_input_wins_over_files_and_splits(spark, tmp_path):
+    """Small old file, large new file, and inside the large one the same ids again and again over many splits."""
+    row = lambda i, name: json.dumps({"id": f"/s/{i}", "name": name, "type": "x/y", "location": "l", "resourceGroup": "g", "subscriptionId": "1"})
+    (tmp_path / "a.json").write_text("\n".join(row(i, "zz old") for i in range(50)))
+    (tmp_path / "b.json").write_text("\n".join(row(i % 50, f"{999 - i:03}" + "-" * 200) for i in range(900)))
+    (tmp_path / "c.json").write_text(row(7, "last of all"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        given = spark.read.schema(RESOURCES).json(f"file://{tmp_path}/*.json")
+        assert given.rdd.getNumPartitions() > 8
+        nodes, _, _ = build_graph(given)
+        got = {r.id: r.label[:11] for r in nodes.where("class <> 'ResourceGroup'").collect()}
+        renamed = given.select("id", F.col("name").alias("label"), F.lit("A").alias("class"), F.create_map(F.lit("k"), "name").alias("properties"))
+        merged, _, _ = graph.merge_graphs((renamed, spark.createDataFrame([], EDGES)))
+        both = {r.id: (r.label[:11], r.properties["k"][:11]) for r in merged.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    want = {f"/s/{i}": f"{999 - 850 - i:03}--------" for i in range(50)} | {"/s/7": "last of all"}
+    assert got == want and both == {k: (v, v) for k, v in want.items()}
+
+
+def test_order_column_stands_above_the_place_in_the_input(spark):
+    rows = [("/s/1", "new", 2), ("/s/1", "old", 1)]
+    df = spark.createDataFrame(rows, "id string, name string, at int")
+    for c, kind in (("type", "string"), ("location", "string"), ("resourceGroup", "string"), ("subscriptionId", "string"), ("properties", spark.read.schema(RESOURCES).json(spark.sparkContext.parallelize([])).schema["properties"].dataType), ("identity", "struct<userAssignedIdentities:map<string,struct<principalId:string>>>")):
+        df = df.withColumn(c, F.lit(None).cast(kind))
+    assert build_graph(df)[0].first()["label"] == "old" and build_graph(df, "at")[0].first()["label"] == "new"
+
+
 def test_event_store_over_jdbc(spark):
     with pytest.raises(Exception, match="(?i)driver|jdbc|suitable"):
         io.read_event_store(spark, "jdbc:none://x", lowerBound="2024-01-01", upperBound="2024-02-01")["signals"].count()
