@@ -12,6 +12,7 @@ from rootspan.operators.graph import edge_type_of
 from rootspan.operators.inference import DAY, active
 from rootspan.schema import EDGES, LAYERS, MUTATIONS, NODES, PAYLOAD, RULES, SIGNALS
 from rootspan.sources.positions import input_position
+from rootspan.sources.versions import read_version, save_version
 
 
 def read_graph_payload(spark: SparkSession, path: str | list[str], lines: bool = False, position: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,18 +59,19 @@ def evict_expired(tables: dict[str, DataFrame], as_of: datetime | Column, window
     return tables | {name: active(tables[name], as_of, window_s) for name in ("mutations", "signals")}
 
 
-def save_snapshot(tables: dict[str, DataFrame], path: str, as_of: datetime | Column, window_s: float = DAY) -> None:
-    """Graph and active events as four Parquet tables below ``path``."""
-    for name in ("nodes", "edges"):
-        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    for name in ("mutations", "signals"):
-        active(tables[name], as_of, window_s).write.mode("overwrite").parquet(f"{path}/{name}")
+def save_snapshot(tables: dict[str, DataFrame], path: str, as_of: datetime | Column, window_s: float = DAY, keep: int = 2) -> int:
+    """Graph and active events as the next version of the four tables below ``path``; its number.
+
+    Nobody sees it before all four are written: a save that fails leaves the version before as it was. ``keep`` versions stay.
+    """
+    events = {name: active(tables[name], as_of, window_s) for name in ("mutations", "signals")}
+    spark = tables["nodes"].sparkSession
+    return save_version(spark, path, {name: tables[name] for name in ("nodes", "edges")} | events, keep)
 
 
 def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The four tables of a snapshot; unknown edge types are dependencies."""
-    schemas = {"nodes": NODES, "edges": EDGES, "mutations": MUTATIONS, "signals": SIGNALS}
-    out = {name: spark.read.schema(s).parquet(f"{path}/{name}") for name, s in schemas.items()}
+    """The four tables of the last snapshot that was saved whole; unknown edge types are dependencies."""
+    out = read_version(spark, path, {"nodes": NODES, "edges": EDGES, "mutations": MUTATIONS, "signals": SIGNALS})
     return out | {"edges": out["edges"].withColumn("edge_type", edge_type_of(F.col("edge_type")))}
 
 
