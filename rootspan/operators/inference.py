@@ -14,6 +14,8 @@ from rootspan.scratch import materialize
 #: Share of the score a hop keeps, score of an ancestor without evidence, share of the prior without a match.
 HOP_FACTOR, ANCESTOR_FLOOR, NO_MATCH = 0.92, 0.01, 0.05 / 0.5
 DAY = 24 * 60 * 60
+#: Points and events of a node that one task scans in the order of time.
+SEGMENT_ROWS = 50_000
 
 
 def active(events: DataFrame, as_of: datetime | Column, window_s: float = DAY) -> DataFrame:
@@ -176,28 +178,65 @@ def within_before(left: DataFrame, right: DataFrame, key: str, at: str, when: st
     return early.join(late, [key, "_b"]).where(exact).drop("_b")
 
 
-def last_before(points: DataFrame, events: DataFrame, window_s: int) -> DataFrame:
+def _segments(events: DataFrame, points: DataFrame, segment_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Both tables (node, b and a time) with ``seg``: 0, or where a node's bucket holds more than ``segment_rows`` of both, the part of it between two quantiles of time.
+
+    The last value tells whether any bucket is cut.
+    """
+    times = events.select("node", "b", F.unix_micros("when").alias("t")).unionByName(points.select("node", "b", F.unix_micros("at").alias("t")))
+    full = materialize(times.groupBy("node", "b").agg(F.count("*").alias("n")).where(F.col("n") > segment_rows), "full")
+    if not full.take(1):
+        return events.withColumn("seg", F.lit(0)), points.withColumn("seg", F.lit(0)), False
+    steps = 256
+    quantiles = F.percentile_approx("t", F.array(*[F.lit(k / steps) for k in range(1, steps)]), 10 * steps)
+    cuts = times.join(full, ["node", "b"]).groupBy("node", "b").agg(quantiles.alias("q"), F.first("n").alias("n"))
+    every = F.greatest(F.floor(F.lit(float(steps * segment_rows)) / F.col("n")), F.lit(1))
+    cuts = materialize(cuts.select("node", "b", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % every == 0)).alias("cuts")), "cuts")
+
+    def cut(df: DataFrame, at: str) -> DataFrame:
+        below = F.size(F.filter("cuts", lambda c: c <= F.unix_micros(at)))
+        return df.join(cuts, ["node", "b"], "left").withColumn("seg", F.when(F.col("cuts").isNull(), 0).otherwise(below)).drop("cuts")
+
+    return cut(events, "when"), cut(points, "at"), True
+
+
+def last_before(points: DataFrame, events: DataFrame, window_s: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """``(node, at, kind, when, id)``: at each point (node, at) and for each kind the latest of ``events`` (node, kind, when, id) no later and at most a window before.
 
-    Of events at the same time the one with the smallest id. Time is cut into buckets of a window's length; an event counts in its own
-    bucket, where one pass in the order of time carries it forward, and in the next, where the bucket's last one does. So the
-    work is linear in points times kinds and in events, and a node that has very many of either is spread over its buckets.
+    Of events at the same time the one with the smallest id. Time is cut into buckets of a window's length, and a bucket in which a node has
+    very many points and events into segments. One pass in the order of time carries events forward inside a segment; what
+    a segment ends with is handed to those behind it, in its own bucket and the next, by a scan over the ends alone. So the work is
+    linear in events and in points times kinds, and no task holds more than a segment of a node.
     """
     bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(window_s * 1_000_000))
-    dated = events.where("when is not null").withColumn("b", bucket("when"))
-    same_time = dated.groupBy("node", "b", "kind", "when").agg(F.min("id").alias("id"))
-    ends = same_time.groupBy("node", "b", "kind").agg(F.max_by(F.struct("when", "id"), "when").alias("last"))
+    dated = events.where("when is not null").groupBy("node", "kind", "when").agg(F.min("id").alias("id")).withColumn("b", bucket("when"))
     asked = points.select("node", "at").distinct().withColumn("b", bucket("at"))
-    inside = asked.join(ends.select("node", "b", "kind"), ["node", "b"])
-    none = F.lit(None).cast(dict(same_time.dtypes)["id"])
-    rows = same_time.select("node", "b", "kind", F.col("when").alias("at"), F.lit(0).alias("is_point"), F.struct("when", "id").alias("last"))
-    rows = rows.unionByName(inside.select("node", "b", "kind", "at", F.lit(1).alias("is_point"), F.when(F.lit(False), F.struct(F.col("at").alias("when"), none.alias("id"))).alias("last")))
-    order = Window.partitionBy("node", "b", "kind").orderBy("at", "is_point").rowsBetween(Window.unboundedPreceding, 0)
-    here = rows.withColumn("last", F.last("last", ignorenulls=True).over(order)).where("is_point = 1 and last is not null").select("node", "at", "kind", "last", F.lit(1).alias("near"))
-    before = asked.select("node", "at", (F.col("b") - 1).alias("b")).join(ends, ["node", "b"]).select("node", "at", "kind", "last", F.lit(0).alias("near"))
-    before = before.where(F.unix_micros("at") - F.unix_micros("last.when") <= window_s * 1_000_000)
-    both = here.unionByName(before).groupBy("node", "at", "kind").agg(F.max_by("last", "near").alias("last"))
-    return both.select("node", "at", "kind", "last.when", "last.id")
+    dated, asked, cut = _segments(dated, asked, segment_rows)
+    place = ["node", "b", "seg"]
+    last = F.max_by(F.struct("when", "id"), "when").alias("last")
+    ends = dated.groupBy(*place, "kind").agg(last)
+    whole = ends.groupBy("node", "b", "kind").agg(F.max("last").alias("last")) if cut else ends
+    handed = whole.select("node", (F.col("b") + 1).alias("b"), F.lit(0).alias("seg"), "kind", "last")
+    if cut:
+        handed = _handed_on(materialize(ends, "ends"), handed, asked.select(*place).distinct())
+    seen = dated.select(*place, "kind", "when", F.struct("when", "id").alias("last")).unionByName(handed.select(*place, "kind", "last.when", "last"))
+    kinds = ends.select(*place, "kind").unionByName(handed.select(*place, "kind")).distinct()
+    none = F.when(F.lit(False), F.struct(F.col("at").alias("when"), F.lit(None).cast(dict(dated.dtypes)["id"]).alias("id")))
+    looked = asked.join(kinds, place).select(*place, "kind", F.col("at").alias("when"), none.alias("last"), F.lit(1).alias("is_point"))
+    order = Window.partitionBy(*place, "kind").orderBy("when", "is_point").rowsBetween(Window.unboundedPreceding, 0)
+    found = seen.withColumn("is_point", F.lit(0)).unionByName(looked).withColumn("last", F.last("last", ignorenulls=True).over(order))
+    found = found.where("is_point = 1 and last is not null").where(F.unix_micros("when") - F.unix_micros("last.when") <= window_s * 1_000_000)
+    return found.select("node", F.col("when").alias("at"), "kind", "last.when", "last.id")
+
+
+def _handed_on(ends: DataFrame, from_bucket: DataFrame, segments: DataFrame) -> DataFrame:
+    """What each of ``segments`` (node, b, seg) begins with, of each kind: the last end before it in its bucket, else that of the bucket before."""
+    start = ends.select("node", "b", F.col("seg").alias("from"), "kind", "last").unionByName(from_bucket.select("node", "b", F.lit(-1).alias("from"), "kind", "last"))
+    kinds = start.select("node", "b", "kind").distinct()
+    wanted = segments.join(kinds, ["node", "b"]).select("node", "b", "kind", (F.col("seg") - F.lit(0.5)).alias("from"), "seg", F.lit(None).cast(dict(ends.dtypes)["last"]).alias("last"))
+    both = start.select("node", "b", "kind", F.col("from").cast("double").alias("from"), F.lit(None).cast("int").alias("seg"), "last").unionByName(wanted)
+    order = Window.partitionBy("node", "b", "kind").orderBy("from").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("last", F.last("last", ignorenulls=True).over(order)).where("seg is not null and last is not null").select("node", "b", "seg", "kind", "last")
 
 
 def replay(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: DataFrame, cpts: DataFrame, priors: DataFrame, window_s: int = DAY, top_only: bool = True) -> DataFrame:
@@ -220,7 +259,7 @@ def replay(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: Da
     if top_only:
         asked = changes.select("node", F.col("mutation_type").alias("kind"), F.col("mutation_ts").alias("when"), F.col("mutation_id").alias("id"))
         newest = last_before(places, asked, window_s).select("node", "at", F.col("kind").alias("mutation_type"), F.col("when").alias("mutation_ts"), F.col("id").alias("mutation_id"))
-        pairs = places.join(newest, ["node", "at"]).join(changes.select("node", "a_class").distinct(), "node")
+        pairs = places.join(newest, ["node", "at"]).join(classes.select(F.col("node_id").alias("node"), F.col("class").alias("a_class")), "node")
         pairs = materialize(pairs, "pairs")
     else:
         pairs = within_before(places, changes, "node", "at", "mutation_ts", window_s)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,15 +124,17 @@ def f11(spark, d):
     return shown(diagnosed(spark, d, min_confidence=0.3, competing=False, top_only=True)).orderBy(F.desc("confidence"), "target_node")
 
 
-@query("f12_replay", ctes() + """,
-cases AS (SELECT s.id AS signal_id, s.node_id AS target, n.class AS t_class, s.timestamp AS seen_at FROM signals s JOIN nodes n ON n.id = s.node_id),
+def case_ctes(cases: str, active: Callable[[str, str], str], mutations: str = "mutations", signals: str = "signals") -> str:
+    """SQL of the best cause of each of ``cases`` (signal_id, target, t_class, seen_at, b) from the events that ``active`` (event, case) lets count."""
+    return f"""
+cases AS ({cases}),
 walk AS (SELECT DISTINCT target, target AS node, 0 AS hops, [target] AS path FROM cases
   UNION ALL SELECT w.target, e.source_id, w.hops + 1, list_prepend(e.source_id, w.path) FROM walk w JOIN edges e ON e.target_id = w.node WHERE e.source_id <> w.target),
 closure AS (SELECT target, node, hops, path FROM walk QUALIFY row_number() OVER (PARTITION BY target, node ORDER BY hops, path) = 1),
-pairs AS (SELECT c.*, l.node, l.hops, l.path, m.id AS mutation_id, m.mutation_type, m.timestamp AS mutation_ts, n.class AS a_class FROM cases c JOIN closure l USING (target) JOIN mutations m ON m.node_id = l.node
-  AND m.timestamp <= c.seen_at AND m.timestamp >= c.seen_at - to_seconds(86400) JOIN nodes n ON n.id = l.node),
-spots AS (SELECT DISTINCT signal_id, seen_at, node FROM pairs UNION SELECT DISTINCT signal_id, seen_at, target FROM pairs),
-ev AS (SELECT p.signal_id, p.node, max(s.timestamp) AS latest, list(DISTINCT s.signal_type) AS types FROM spots p JOIN signals s ON s.node_id = p.node AND s.timestamp <= p.seen_at AND s.timestamp >= p.seen_at - to_seconds(86400) GROUP BY ALL),
+pairs AS (SELECT c.*, l.node, l.hops, l.path, m.id AS mutation_id, m.mutation_type, m.timestamp AS mutation_ts, n.class AS a_class FROM cases c JOIN closure l USING (target) JOIN {mutations} m ON m.node_id = l.node
+  AND {active("m", "c")} JOIN nodes n ON n.id = l.node),
+spots AS (SELECT DISTINCT signal_id, seen_at, b, node FROM pairs UNION SELECT DISTINCT signal_id, seen_at, b, target FROM pairs),
+ev AS (SELECT p.signal_id, p.node, max(s.timestamp) AS latest, list(DISTINCT s.signal_type) AS types FROM spots p JOIN {signals} s ON s.node_id = p.node AND {active("s", "p")} GROUP BY ALL),
 triples AS (SELECT signal_id, node AS place, mutation_id, mutation_type, mutation_ts, a_class AS class FROM pairs UNION SELECT signal_id, target, mutation_id, mutation_type, mutation_ts, a_class FROM pairs
   UNION SELECT signal_id, target, mutation_id, mutation_type, mutation_ts, t_class FROM pairs),
 matched AS (SELECT t.signal_id, t.place, t.mutation_id, t.class, p.half_life_min, ev.latest,
@@ -144,6 +148,17 @@ scored AS (SELECT p.*, CASE WHEN hops = 0 THEN s3.s WHEN greatest(s1.s, s2.s, s3
   JOIN scores s2 ON s2.signal_id = p.signal_id AND s2.place = p.target AND s2.mutation_id = p.mutation_id AND s2.class = p.a_class
   JOIN scores s3 ON s3.signal_id = p.signal_id AND s3.place = p.target AND s3.mutation_id = p.mutation_id AND s3.class = p.t_class),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY confidence DESC, hops, mutation_ts DESC, mutation_id) = 1)
+"""
+
+
+def _until(event: str, case: str) -> str:
+    return f"{event}.timestamp <= {case}.seen_at AND {event}.timestamp >= {case}.seen_at - to_seconds(86400)"
+
+
+REPLAYED = "SELECT s.id AS signal_id, s.node_id AS target, n.class AS t_class, s.timestamp AS seen_at, 0 AS b FROM signals s JOIN nodes n ON n.id = s.node_id"
+
+
+@query("f12_replay", f"""{ctes()},{case_ctes(REPLAYED, _until)}
 SELECT c.signal_id, c.target AS target_node, c.seen_at AS timestamp, b.node || ' (' || b.mutation_type || ')' AS root_cause, coalesce(array_to_string(b.path, '>'), '') AS causal_path,
   round(coalesce(b.confidence, CASE WHEN EXISTS (SELECT 1 FROM mutations m WHERE m.timestamp <= c.seen_at AND m.timestamp >= c.seen_at - to_seconds(86400)) THEN 0.0 ELSE p.p_failure END), 6) AS confidence
 FROM cases c LEFT JOIN best b USING (signal_id) LEFT JOIN priors p ON p.class = c.t_class""")

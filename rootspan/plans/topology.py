@@ -8,7 +8,7 @@ from rootspan.operators.inference import closure_for
 from rootspan.operators.knowledge import merge_cpt_layers
 from rootspan.plans.fixtures import WEEK, as_of, ctes, inference_ctes, views
 from rootspan.scratch import materialize, scratch_path
-from rootspan.sources import ci, inventory, io, kubernetes, terraform
+from rootspan.sources import ci, inventory, io, kubernetes, stores, terraform
 from rootspan.streaming import intake
 
 QUERIES, ORACLES = {}, {}
@@ -316,8 +316,8 @@ def a2(spark, d):
     url = f"jdbc:derby:memory:{scratch_path(spark, 'store').rsplit('/', 1)[1]};create=true"
     for name in ("nodes", "edges", "signals", "mutations"):
         table = materialize(v[name].select(*[c for c, t in v[name].dtypes if not t.startswith("map")]), name)
-        table.write.format("jdbc").option("url", url).option("dbtable", name).save()
-    return four(io.read_event_store(spark, url, 4, lowerBound="2024-01-01", upperBound="2024-02-01"))
+        table.write.format("jdbc").option("url", url).option("dbtable", name).option("createTableColumnTypes", "id VARCHAR(200)").save()
+    return four(stores.read_event_store(spark, url, 4))
 
 
 def files_of(spark, rows, name: str) -> str:

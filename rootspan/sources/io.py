@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from rootspan.operators.graph import edge_type_of
 from rootspan.operators.inference import DAY, active
 from rootspan.schema import EDGES, LAYERS, MUTATIONS, NODES, PAYLOAD, RULES, SIGNALS
+from rootspan.scratch import materialize
+from rootspan.sources.documents import read_elements
 from rootspan.sources.positions import input_position
 from rootspan.sources.versions import read_version, save_version
 
@@ -27,12 +29,15 @@ def read_graph_payload(spark: SparkSession, path: str | list[str], lines: bool =
     return placed[0], placed[1].withColumn("edge_type", edge_type_of(F.col("edge_type")))
 
 
-def read_event_store(spark: SparkSession, jdbc_url: str, partitions: int = 16, **options: str) -> dict[str, DataFrame]:
-    """The four tables of a relational store; events are read in ``partitions`` ranges of the time column where lowerBound and upperBound are given."""
-    plain = {k: v for k, v in options.items() if k not in ("lowerBound", "upperBound")}
-    ranged = options | {"partitionColumn": "timestamp", "numPartitions": str(partitions)} if len(plain) < len(options) else options
-    reader = spark.read.format("jdbc").option("url", jdbc_url)
-    return {name: reader.options(**(ranged if name in ("mutations", "signals") else plain)).option("dbtable", name).load() for name in ("nodes", "edges", "mutations", "signals")}
+def read_large_payload(spark: SparkSession, path: str | list[str], position: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of JSON documents of any size, each read by many tasks; otherwise as ``read_graph_payload``, for one document a file or several."""
+    elements = materialize(read_elements(spark, path), "elements")
+    place = [] if position is None else [F.struct("file", "no").alias(position)]
+    out = []
+    for name, schema in (("nodes", NODES), ("edges", EDGES)):
+        rows = elements.where(F.col("name") == name).select(F.from_json("text", schema).alias("row"), *place)
+        out.append(rows.select("row.*", *([position] if position else [])))
+    return out[0], out[1].withColumn("edge_type", edge_type_of(F.col("edge_type")))
 
 
 def write_graph_payload(nodes: DataFrame, edges: DataFrame, path: str, layout: str = "json", document_rows: int = 10_000) -> None:

@@ -102,6 +102,8 @@ class KeyedTable:
         if not content.get("parts"):
             return rows
         rest = [c for c in rows.columns if c not in self.keys]
+        if not rest:
+            return rows.distinct()
         merged = rows.groupBy(*self.keys).agg(F.min_by(F.struct(*rest), F.expr(self.best)).alias("_row"))
         return merged.select(*self.keys, "_row.*").select(*rows.columns)
 

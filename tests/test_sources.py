@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rootspan.operators import graph
 from rootspan.schema import EDGES
 from rootspan.scratch import scratch_path
-from rootspan.sources import io, kubernetes, terraform
+from rootspan.sources import io, kubernetes, stores, terraform
 from rootspan.sources.inventory import RESOURCES, build_graph
 from rootspan.streaming import intake
 
@@ -72,7 +72,48 @@ def test_order_column_stands_above_the_place_in_the_input(spark):
 
 def test_event_store_over_jdbc(spark):
     with pytest.raises(Exception, match="(?i)driver|jdbc|suitable"):
-        io.read_event_store(spark, "jdbc:none://x", lowerBound="2024-01-01", upperBound="2024-02-01")["signals"].count()
+        stores.read_event_store(spark, "jdbc:none://x")["signals"].count()
+
+
+def test_store_ranges_follow_the_rows(spark):
+    url = "jdbc:derby:memory:ranges;create=true"
+    at = "timestamp_seconds(1700000000 + case when id % 10 = 0 then id * 1000 else id end)"  # nine of ten in a small part of the time
+    events = spark.range(1000).selectExpr("concat('e', chr(39), id) as id", "concat('n', id % 7) as node_id", "'t' as signal_type", f"{at} as timestamp")
+    for name, df in (("nodes", events.select("id")), ("edges", events.select("id").limit(1)), ("signals", events), ("mutations", events.withColumn("timestamp", F.when(F.col("node_id") != "n0", F.col("timestamp"))))):
+        df.write.format("jdbc").option("url", url).option("dbtable", name).option("createTableColumnTypes", "id VARCHAR(50)").save()
+    got = stores.read_event_store(spark, url, 8)
+    for name in ("nodes", "signals", "mutations"):
+        sizes = [r["count"] for r in got[name].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1000 and len(sizes) == 8 and max(sizes) < 2.2 * 125, (name, sizes)
+    assert got["edges"].count() == 1
+    assert stores.high_water_mark(got) is not None
+    half = got["signals"].orderBy("timestamp").collect()[500]["timestamp"]
+    again = stores.read_event_store(spark, url, 8, since=half)
+    assert again["signals"].count() == 500 and again["nodes"].count() == 1000
+
+
+NASTY = ['a"}', "}}}{{{[[]]", '"edges": [{', "\\", '\\"}', "line\nend}", "", "é}{東京", '{"nodes":[{"id":1}]}']
+
+
+@pytest.mark.parametrize("split", [60, 1000, 10_000_000])
+def test_one_document_by_many_tasks(spark, tmp_path, split):
+    nodes = [{"id": f"n{i}", "label": NASTY[i % len(NASTY)] * (1 + i % 3), "properties": {NASTY[(i + 1) % len(NASTY)]: NASTY[(i + 2) % len(NASTY)]}} for i in range(60)]
+    edges = [{"id": f"e{i}", "source_id": NASTY[i % len(NASTY)], "target_id": "x", "edge_type": "Containment"} for i in range(40)]
+    one = {"version": "1}", "meta": {"nodes": {"id": "no"}, "x": [1, {"y": 2}]}, "nodes": nodes, "tags": [1, "[{"], "other": [{"id": "no", "nodes": [{"id": "no"}]}, {"id": "no"}], "edges": edges, "end": {}}
+    two = {"edges": edges[:3], "nodes": []}
+    (tmp_path / "a.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps(one, ensure_ascii=False) + "\n" + json.dumps(two) + "\n")
+    (tmp_path / "c.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = io.read_large_payload(spark, [f"file://{tmp_path}/a.json", f"file://{tmp_path}/b.json", f"file://{tmp_path}/c.json"], "at")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [(r.id, r.label, r.properties) for r in got[0].orderBy("at").collect()] == [(n["id"], n["label"], n["properties"]) for n in nodes] * 2
+    assert [(r.id, r.source_id, r.edge_type) for r in got[1].orderBy("at").collect()] == [(e["id"], e["source_id"], "containment") for e in edges * 2 + edges[:3]]
 
 
 def test_inventory_from_json(spark, tmp_path):
