@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootspan.functions.classify import cause_label, cause_type, target_label
+from rootspan.scratch import materialize
 
 
 def alerts(diagnoses: DataFrame, signals: DataFrame) -> DataFrame:
@@ -70,6 +71,26 @@ def alert_groups(alerts: DataFrame, nested: bool = False) -> DataFrame:
     return out.orderBy(F.desc("confidence"), "root_cause")
 
 
+def group_pages(alerts: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """Members of incident groups in pages: ``root_cause, page, rows, members``, most likely first, at most ``page_rows`` a row.
+
+    Members are numbered by a sort over all groups: each task numbers what it holds of a group, and the counts of the tasks before it, a
+    row a task and group, tell where it begins. So a group that holds a third of all alerts is the work of as many tasks as it fills.
+    """
+    order = [F.col("group"), F.col("negative"), F.col("target_node")]
+    rows = alert_members(alerts).select("group", (-F.col("confidence")).alias("negative"), "target_node", "confidence", "signal_types")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = materialize(sorted_.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    held = sorted_.groupBy("group", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = materialize(held.select("group", "part", (F.col("first") - F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("shift")), "held")
+    numbered = sorted_.join(held, ["group", "part"]).withColumn("number", F.col("at") - F.col("shift"))
+    paged = numbered.groupBy("group", F.floor(F.col("number") / F.lit(page_rows)).cast("long").alias("page"))
+    out = paged.agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("number", "target_node", "confidence", "signal_types"))).alias("m"))
+    member = lambda x: F.struct(x["target_node"].alias("target_node"), x["confidence"].alias("confidence"), x["signal_types"].alias("signal_types"))
+    return out.select(F.col("group").alias("root_cause"), "page", "rows", F.transform("m", member).alias("members"))
+
+
 def filter_alerts(alerts: DataFrame, node_class: str | None = None, signal_type: str | None = None, by: str = "confidence") -> DataFrame:
     """Alerts of a class and with a signal type, newest (by='time') or most likely first."""
     keep: Column = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rootspan.operators.components import connected_components
@@ -99,21 +99,68 @@ def load_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes, kept.withColumn("edge_type", edge_type_of(F.col("edge_type")))
 
 
-def break_cycles(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """``(kept, dropped)``: nodes without incoming edges are peeled off until none is left; edges inside the rest go.
+def _follow(single: DataFrame) -> DataFrame:
+    """``(v, p, endless)`` of pointers (v, p): p where each one's chain ends; endless where it never does, on a cycle of pointers or below one.
 
-    The rest are the cycles and what lies below them. A round per level of depth, and an error if ``max_rounds`` are not
-    enough. Every edge is in one of the two tables, those with null ends or type too; a null end is in no cycle.
+    Jumps double. While chains that end are left, each jump shortens some, so when none grows shorter the rest are endless.
+    """
+    ptr, before = materialize(single.select("v", "p"), "pointers"), -1
+    while True:
+        up = ptr.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        seen = Observation()
+        jumped = ptr.select("v", "p").join(up, F.col("p") == F.col("_v"), "left").select("v", F.coalesce("_p", "p").alias("p"), F.col("_v").isNotNull().alias("endless"))
+        ptr = materialize(jumped.observe(seen, F.coalesce(F.sum(F.col("endless").cast("long")), F.lit(0)).alias("n")), "pointers")
+        if seen.get["n"] in (0, before):
+            return ptr
+        before = seen.get["n"]
+
+
+def stuck_nodes(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``node``: what lies on a cycle of ``links`` (s, t; distinct, no nulls) or below one.
+
+    A node with a single parent shares its parent's fate: chains and trees of such nodes fold into one node in a logarithmic number of jumps,
+    and one that never ends has a cycle. Then parentless nodes are peeled off, what an end of a found cycle leads to is marked, and
+    the folded graph goes on. When nothing changes, every node left has parents that are left: all of them are stuck. Rounds follow the depth only
+    where layers of nodes with several parents lie above one another.
     """
-    left, n = materialize_counted(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct(), "peel")
+    links, n = materialize_counted(links, "links")
+    home = materialize(links.select(F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("rep", F.col("node")), "home")
+    stuck, spread = [], links.sparkSession.createDataFrame([], links.select(F.col("t").alias("v")).schema)
     for _ in range(max_rounds):
-        blocked = left.select(F.col("target_id").alias("source_id")).distinct()
-        before, (left, n) = n, materialize_counted(left.join(blocked, "source_id", "left_semi"), "peel")
-        if n == before:
+        if not n:
+            break
+        single = links.groupBy("t").agg(F.count("*").alias("k"), F.min("s").alias("p")).where("k = 1").select(F.col("t").alias("v"), "p")
+        ptr = _follow(single)
+        endless, folded = ptr.where("endless").select("v"), ptr.where("not endless").select("v", "p")
+        home = home.join(folded, home["rep"] == folded["v"], "left").select("node", F.coalesce("p", "rep").alias("rep"))
+        home = materialize(home, "home")
+        several = links.join(ptr.select(F.col("v").alias("t")), "t", "left_anti").join(folded.select(F.col("v").alias("s"), "p"), "s", "left").select(F.coalesce("p", "s").alias("s"), "t").distinct()
+        several = materialize(several, "links")
+        found = spread.unionByName(endless)
+        marked = materialize(several.join(found.select(F.col("v").alias("s")), "s", "left_semi").select(F.col("t").alias("v")).distinct(), "marked")
+        stuck += [endless, marked]
+        # a single child of something marked before has been folded into it and shares its name
+        left = several.join(marked.select(F.col("v").alias("t")), "t", "left_anti")
+        own = several.select(F.col("t").alias("s")).distinct()
+        before, (links, n) = n, materialize_counted(left.join(own, "s", "left_semi"), "links")
+        spread = marked
+        if n == before and not marked.take(1):
+            stuck.append(links.select(F.col("t").alias("v")).distinct())
             break
     else:
-        raise ValueError(f"the graph is deeper than {max_rounds} levels")
-    stuck = materialize(left.select(F.col("target_id").alias("_stuck")).distinct(), "stuck")
+        raise ValueError(f"the graph did not settle in {max_rounds} rounds")
+    every = reduce(DataFrame.unionByName, stuck).select(F.col("v").alias("rep")).distinct() if stuck else home.select("rep").where("false")
+    return home.join(every, "rep", "left_semi").select("node")
+
+
+def break_cycles(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``(kept, dropped)``: nodes without incoming edges are peeled off until none is left; edges inside the rest go.
+
+    The rest are the cycles and what lies below them (``stuck_nodes``). Every edge is in one of the two tables, those with null ends
+    or type too; a null end is in no cycle.
+    """
+    links = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).where("s is not null and t is not null").distinct()
+    stuck = materialize(stuck_nodes(links, max_rounds).select(F.col("node").alias("_stuck")), "stuck")
     marked = edges.join(stuck.select(F.col("_stuck").alias("_s")), F.col("source_id") == F.col("_s"), "left").join(stuck.select(F.col("_stuck").alias("_t")), F.col("target_id") == F.col("_t"), "left")
     inside = F.col("_s").isNotNull() & F.col("_t").isNotNull()
     return marked.where(~inside).select(*edges.columns), marked.where(inside).select(*edges.columns)

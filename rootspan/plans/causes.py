@@ -185,6 +185,28 @@ def f17(spark, d):
     return factors.posterior([fa, fab], ["a"], seen, ["b"]).select("network_id", "a", r6("p"))
 
 
+#: Pairs of variables that a factor joins: two squares with a bridge, so eliminating one links others anew.
+LOOPS = [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (5, 6), (6, 7), (7, 4), (1, 5)]
+
+
+def _weight(i: int, j: int, a: str, b: str) -> str:
+    return f"(0.05e0 + ((k * {3 * i + 7} + {5 * j} + {i + 2} * {a} + {j + 3} * {b} + {a} * {b} * (k % 7)) % 10) / 10e0)"
+
+
+@query("f17_junction_tree", f"""WITH s AS (SELECT s_suppkey AS k FROM supplier), x AS (SELECT {', '.join(f'(n >> {i}) & 1 AS v{i}' for i in range(8))} FROM range(256) t(n)),
+w AS (SELECT k, {', '.join(f'v{i}' for i in range(8))}, {' * '.join(_weight(i, j, f'v{i}', f'v{j}') for i, j in LOOPS)} AS p FROM s CROSS JOIN x WHERE k % 3 > 0 OR (v6 = 1 AND v2 = 0)),
+m AS ({' UNION ALL '.join(f"SELECT k, 'v{i}' AS variable, v{i} AS value, sum(p) AS p FROM w GROUP BY ALL" for i in range(8))})
+SELECT CAST(s.k AS BIGINT) AS network_id, variable, CAST(value AS INT) AS value, round(coalesce(p, 0) / sum(coalesce(p, 0)) OVER (PARTITION BY s.k, variable), 6) AS p
+FROM s CROSS JOIN (SELECT DISTINCT variable, value FROM m) c LEFT JOIN m USING (k, variable, value)""")
+def f17_tree(spark, d):
+    """All marginals of networks of eight variables with loops, a network for each supplier; two variables are observed in every third."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as k")
+    both = s.selectExpr("k", "explode(array(named_struct('a', 0, 'b', 0), named_struct('a', 0, 'b', 1), named_struct('a', 1, 'b', 0), named_struct('a', 1, 'b', 1))) as x").select("k", "x.*")
+    tables = [both.selectExpr("k as network_id", f"a as v{i}", f"b as v{j}", f"{_weight(i, j, 'a', 'b')} as p") for i, j in LOOPS]
+    seen = s.where("k % 3 = 0").selectExpr("k as network_id", "stack(2, 'v6', 1, 'v2', 0) as (variable, value)")
+    return factors.all_marginals(tables, seen).select("network_id", "variable", "value", r6("p"))
+
+
 LAYERS = """
 SELECT * FROM (SELECT CAST(c_custkey % 3 AS INT) AS layer_no, CAST(c_custkey AS INT) AS class_pos, 0 AS cpt_pos, concat('c', c_custkey % 11) AS class, CASE WHEN c_custkey % 4 = 0 THEN c_custkey / 100000e0 END AS p_failure,
   CASE WHEN c_custkey % 8 = 0 THEN 30e0 END AS half_life_min, CASE WHEN c_custkey % 5 <> 1 THEN concat('m', c_custkey % 13) END AS mutation, CASE WHEN c_custkey % 5 <> 1 THEN concat('s', c_custkey % 3) END AS signal,
@@ -249,6 +271,13 @@ def g4_nested(spark, d):
     return g.select("root_cause", text("affected_nodes", ","), F.size("members").cast("long").alias("members"))
 
 
+@query("g4_group_pages", ALERTS + """, numbered AS (SELECT grp, target_node, row_number() OVER (PARTITION BY grp ORDER BY round(confidence, 6) DESC, target_node) - 1 AS k FROM shown)
+SELECT grp AS root_cause, CAST(k // 5 AS BIGINT) AS page, count(*) AS rows, array_to_string(list(target_node ORDER BY k), ',') AS members FROM numbered GROUP BY ALL""")
+def g4_pages(spark, d):
+    pages = al.group_pages(ruled(spark, d).withColumn("confidence", F.round("confidence", 6)), 5)
+    return pages.select("root_cause", "page", "rows", F.array_join(F.col("members.target_node"), ",").alias("members"))
+
+
 @query("g6_filter_alerts", ALERTS + "SELECT target_node, round(confidence, 6) AS confidence, timestamp FROM alerts WHERE class = 'Container' AND list_contains(signal_types, 'TLSError')")
 def g6(spark, d):
     return al.filter_alerts(ruled(spark, d), "Container", "TLSError", "time").select("target_node", r6("confidence"), plain_time())

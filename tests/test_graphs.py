@@ -64,3 +64,40 @@ def test_literal_classification_cases(spark):
     assert all(r.want == r.got for r in got)
     slugs = spark.createDataFrame([("  Build & Test (x64)! ", "build-test-x64"), ("---", "")], "a string, b string").select(classify.slug(F.col("a")).alias("a"), "b").collect()
     assert all(r.a == r.b for r in slugs)
+
+
+def _peeled(links):
+    """Nodes that stay when nodes without incoming edges are taken away until none is left."""
+    left = set(links)
+    while True:
+        targets = {t for _, t in left}
+        keep = {(s, t) for s, t in left if s in targets}
+        if keep == left:
+            return targets
+        left = keep
+
+
+def test_stuck_nodes_equal_peeling(spark):
+    import random
+
+    from rootspan.operators.graph import stuck_nodes
+
+    for seed in range(3):
+        r = random.Random(seed)
+        links = sorted({(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(r.choice([25, 40, 60]))})
+        if seed % 2:
+            links = [(s, t) for s, t in links if s < t] + [("n38", "n30")]
+        got = {x.node for x in stuck_nodes(spark.createDataFrame(links, "s string, t string")).collect()}
+        assert got == _peeled(links), seed
+
+
+def test_a_deep_chain_with_a_cycle_takes_few_rounds(spark, monkeypatch):
+    from rootspan.operators import graph
+
+    rounds, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name="table": rounds.append(name) or plain(df, name))
+    n = 50_000
+    chain = spark.range(n).selectExpr("concat('e', id) as id", "cast(id as string) as source_id", "cast(id + 1 as string) as target_id", "'dependency' as edge_type")
+    back = spark.createDataFrame([("back", str(n), str(n - 3), "dependency"), ("tail", str(n), "tail", "dependency")], chain.schema)
+    kept, dropped = graph.break_cycles(chain.unionByName(back))
+    assert dropped.count() == 5 and kept.count() == n - 3 and rounds.count("pointers") < 40

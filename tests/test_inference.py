@@ -141,3 +141,70 @@ def test_same_symptom_two_causes(spark):
     groups = alerts.alert_groups(alerts.match_rules(a, rules)).collect()
     assert [(r.root_cause, r["count"]) for r in groups] == [("disk (X)", 4), ("deploy (Y)", 4)]
     assert {r.signal_type: r.causes for r in alerts.group_by_signal_type(a).collect()} == {"HTTP_500": 2, "Leader": 1}
+
+
+def test_all_marginals_equal_enumeration(spark):
+    """Random networks with loops, a part of its own and impossible evidence, against every assignment."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    names, scopes = list("abcdef"), [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d",), ("e", "f")]
+    tables, frames = [], []
+    for scope in scopes:
+        rows = {(k, *x): r.choice([0.0, 0.3, 0.7, 1.0]) + 0.01 * (k > 0) for k in range(3) for x in itertools.product((0, 1), repeat=len(scope))}
+        tables.append(rows)
+        frames.append(spark.createDataFrame([(*key, p) for key, p in rows.items()], ["network_id", *scope, "p"]))
+    evidence = {1: {"d": 1, "e": 0}, 2: {"a": 1}}
+    seen = spark.createDataFrame([(k, v, x) for k, known in evidence.items() for v, x in known.items()], "network_id long, variable string, value int")
+    want = {}
+    for k in range(3):
+        for x in itertools.product((0, 1), repeat=6):
+            full = dict(zip(names, x))
+            p = math.prod(t[(k, *(full[v] for v in scope))] for t, scope in zip(tables, scopes)) * all(full[v] == y for v, y in evidence.get(k, {}).items())
+            for v in names:
+                want[k, v, full[v]] = want.get((k, v, full[v]), 0.0) + p
+    got = {(q.network_id, q.variable, q.value): q.p for q in factors.all_marginals(frames, seen).collect()}
+    assert got.keys() == want.keys()
+    for (k, v, x), p in got.items():
+        total = want[k, v, 0] + want[k, v, 1]
+        assert p == pytest.approx(want[k, v, x] / total if total else 0.0), (k, v, x)
+    some = {(q.network_id, q.a): q.p for q in factors.posterior(frames, ["a"], seen).collect()}
+    assert all(p == pytest.approx(got[k, "a", x]) for (k, x), p in some.items())
+
+
+def test_group_pages_hold_everyone_in_order(spark):
+    rows = [(f"n{i:04}", round((i * 37 % 100) / 100, 2), None if i % 3 else "kv (x)", ["t"], "show") for i in range(500)]
+    df = spark.createDataFrame(rows, "target_node string, confidence double, root_cause string, signal_types array<string>, action string").repartition(7)
+    pages = alerts.group_pages(df, 20).collect()
+    assert all(len(p.members) == p.rows <= 20 for p in pages)
+    for cause in ("unknown", "kv (x)"):
+        own = sorted((p for p in pages if p.root_cause == cause), key=lambda p: p.page)
+        want = sorted(((-c, n) for n, c, g, *_ in rows if (g or "unknown") == cause))
+        assert [m.target_node for p in own for m in p.members] == [n for _, n in want] and [p.page for p in own] == list(range(-(-len(want) // 20)))
+
+
+def test_as_of_scan_in_segments(spark):
+    """A hub with most events and points, cut into segments, against a search; the largest key is a segment."""
+    import random
+
+    r = random.Random(8)
+    place = lambda: "hub" if r.random() < 0.7 else f"n{r.randrange(4)}"
+    at = lambda: NOW + timedelta(seconds=r.choice([r.randrange(400), r.randrange(40_000)]))
+    events = [(place(), r.choice("xyz"), at(), f"e{i}") for i in range(500)] + [("hub", "x", None, "none")]
+    points = [(place(), at()) for _ in range(300)]
+    window = 3600
+    want = set()
+    for node, when in set(points):
+        for kind in "xyz":
+            found = [(-e[2].timestamp(), e[3], e[2]) for e in events if e[0] == node and e[1] == kind and e[2] is not None and timedelta(0) <= when - e[2] <= timedelta(seconds=window)]
+            if found:
+                want.add((node, when, kind, min(found)[2], min(found)[1]))
+    e, p = spark.createDataFrame(events, "node string, kind string, when timestamp, id string"), spark.createDataFrame(points, "node string, at timestamp")
+    for segment in (20, 100_000):
+        assert {tuple(x) for x in inference.last_before(p, e, window, segment).collect()} == want
+    dated = e.where("when is not null").withColumn("b", F.floor(F.unix_micros("when") / F.lit(window * 1_000_000)))
+    asked = p.withColumn("b", F.floor(F.unix_micros("at") / F.lit(window * 1_000_000)))
+    cut_e, cut_p, cut = inference._segments(dated, asked, 20)
+    sizes = cut_e.select("node", "b", "seg").unionByName(cut_p.select("node", "b", "seg")).groupBy("node", "b", "seg").count()
+    assert cut and sizes.agg(F.max("count")).first()[0] <= 60
