@@ -88,9 +88,12 @@ def scored(candidates: DataFrame, cpts: DataFrame, priors: DataFrame) -> DataFra
     return out.withColumn("confidence", confidence).drop("t_entries", "t_half", "a_entries", "a_half")
 
 
-def closure_for(edges: DataFrame, targets: DataFrame, mutations: DataFrame) -> DataFrame:
-    """``(target, node, hops, path)``: each target itself and its ancestors, walked only where a change lies upstream."""
-    within = reachable(edges, mutations.select(F.col("node_id").alias("node")))
+def closure_for(edges: DataFrame, targets: DataFrame, mutations: DataFrame | None) -> DataFrame:
+    """``(target, node, hops, path)``: each target itself and its ancestors, walked only where a change lies upstream.
+
+    Without ``mutations`` all ancestors: for few targets that is less than a walk forward from every change.
+    """
+    within = None if mutations is None else reachable(edges, mutations.select(F.col("node_id").alias("node")))
     up = ancestors(edges, targets, within=within).withColumnRenamed("ancestor", "node")
     here = targets.select("target").where("target is not null").distinct().select("target", F.col("target").alias("node"), F.lit(0).alias("hops"), F.array("target").alias("path"))
     return here.unionByName(up)
@@ -116,7 +119,7 @@ def candidate_causes(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
     targets = wanted.join(classes, "node_id").select(F.col("node_id").alias("target"), F.col("class").alias("t_class"), F.col("types").alias("t_types"), F.col("latest").alias("t_latest"))
     changes = (latest_only(mutations) if top_only else mutations).select(F.col("id").alias("mutation_id"), F.col("node_id").alias("node"), "mutation_type", F.col("timestamp").alias("mutation_ts"))
     changes = changes.join(classes.select(F.col("node_id").alias("node"), F.col("class").alias("a_class")), "node")
-    closure = closure_for(edges, targets, mutations)
+    closure = closure_for(edges, targets, mutations if only is None else None)
     pairs = closure.join(changes, "node").join(targets, "target")
     near = evidence.select(F.col("node_id").alias("node"), F.col("types").alias("a_types"), F.col("latest").alias("a_latest"))
     found = scored(pairs.join(near, "node", "left"), cpts, priors)

@@ -60,13 +60,18 @@ def materialize_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame,
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
-    """Scratch tables written inside are deleted at the end, but for those whose path is put into the list."""
+    """Scratch tables written inside are deleted at the end, whether it fails or not, but for those whose path is put into the list."""
     begin, keep = len(_WRITTEN), []
-    yield keep
-    for path in set(_WRITTEN[begin:]) - set(keep):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _WRITTEN[begin:] = keep
+    try:
+        yield keep
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        for path in set(_WRITTEN[begin:]) - set(keep):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _WRITTEN[begin:] = keep
 
 
 def materialize_alone(spark: SparkSession, make, name: str = "table") -> DataFrame:

@@ -11,6 +11,5 @@ def test_against_sql(spark, name):
     compare(spark, name, catalog.queries()[name], catalog.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())

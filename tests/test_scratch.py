@@ -33,3 +33,16 @@ def test_passing_tables_go(spark):
     table, n = scratch.materialize_counted(spark.range(7).toDF("a"))
     assert n == 7 == table.count()
     assert scratch.materialize_counted(spark.range(0).toDF("a"))[1] == 0
+
+
+def test_a_failed_stage_leaves_nothing(spark):
+    def made():
+        first = scratch.materialize(spark.range(10).toDF("a"), "first")
+        paths.append(first.inputFiles()[0])
+        raise ValueError("no")
+
+    paths: list[str] = []
+    with pytest.raises(ValueError, match="no"):
+        scratch.materialize_alone(spark, made)
+    place = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
