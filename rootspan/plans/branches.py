@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rootspan.operators import alerts as al
-from rootspan.operators import graph
+from rootspan.operators import graph, inference
+from rootspan.plans.fixtures import ALL, NODES, TABLES, WEEK, as_of, ctes, inference_ctes, views
 from rootspan.sources import inventory, kubernetes
 
 QUERIES, ORACLES = {}, {}
@@ -118,3 +119,24 @@ def g8_causes(spark, d):
         F.lit(1).cast("long").alias("n_signals"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"), F.lit("normal").alias("action"),
     )
     return al.group_report(al.alert_groups(alerts), 0.9).select("root_cause", "cause_type", "confidence", "count")
+
+
+#: Knowledge of the size of a real set of layers: 31 classes, up to nine entries each, from the table of parts.
+CLASS = "concat('K', CAST(split_part(id, '/', 2) AS INT) % 31)"
+MANY = {
+    "nodes": f"SELECT id, label, {CLASS} AS class, region FROM ({NODES}) q",
+    "cpts": """SELECT class, mutation, signal, max(present) AS p_present, min(absent) AS p_absent FROM (
+  SELECT concat('K', p_partkey % 31) AS class, CASE p_partkey % 3 WHEN 0 THEN 'ImageUpdate' WHEN 1 THEN 'SecretRotation' ELSE 'CertificateRotation' END AS mutation,
+    CASE p_size % 3 WHEN 0 THEN 'CrashLoopBackOff' WHEN 1 THEN 'AccessDenied_403' ELSE 'TLSError' END AS signal, 0.3e0 + (p_partkey % 60) / 100e0 AS present, 0.01e0 + (p_partkey % 7) / 100e0 AS absent FROM {part}) x GROUP BY class, mutation, signal""",
+    "priors": "SELECT class, min(p) AS p_failure, max(h) AS half_life_min FROM (SELECT concat('K', p_partkey % 31) AS class, 0.001e0 + (p_partkey % 9) / 1000e0 AS p, 30e0 + (p_partkey % 12) * 60e0 AS h FROM {part}) x GROUP BY class",
+}
+MANY_SQL = "WITH RECURSIVE " + ",\n".join([f"{name} AS ({text.format(**{t: t for t in [*TABLES, 'part']})})" for name, text in (ALL | MANY).items()] + ["as_of AS (SELECT max(ts) AS t FROM events)"])
+
+
+@query("f11_many_classes", inference_ctes(WEEK).replace(ctes(), MANY_SQL) + "SELECT target_node, round(confidence, 6) AS confidence, root_cause, causal_path, class FROM diagnoses")
+def f11_many(spark, d):
+    """Diagnoses with 31 classes of nodes instead of four, so most ways to score a change occur."""
+    given = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in [*TABLES, "part"]}
+    v = views(spark, d) | {name: spark.sql(text, **{t: df for t, df in given.items() if f"{{{t}}}" in text}) for name, text in MANY.items()}
+    found = inference.diagnose_all(v["nodes"], v["edges"], v["mutations"], v["signals"], v["cpts"], v["priors"], as_of(v, spark, d), WEEK, None, competing=False)
+    return found.select("target_node", F.round("confidence", 6).alias("confidence"), "root_cause", F.array_join("causal_path", ">").alias("causal_path"), "class")
