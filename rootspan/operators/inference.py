@@ -89,11 +89,16 @@ def scored(candidates: DataFrame, cpts: DataFrame, priors: DataFrame) -> DataFra
 
 
 def closure_for(edges: DataFrame, targets: DataFrame, mutations: DataFrame | None) -> DataFrame:
-    """``(target, node, hops, path)``: each target itself and its ancestors, walked only where a change lies upstream.
+    """``(target, node, hops, path)``: each target itself and its ancestors; where changes are fewer than targets, only walks to changes.
 
-    Without ``mutations`` all ancestors: for few targets that is less than a walk forward from every change.
+    Then what lies downstream of any change is found first, and walks stay inside it. Without ``mutations``, or where targets are fewer, that would be more
+    work than it saves, and all ancestors are in the table.
     """
-    within = None if mutations is None else reachable(edges, mutations.select(F.col("node_id").alias("node")))
+    within = None
+    if mutations is not None:
+        sizes = targets.agg(F.approx_count_distinct("target").alias("t")).join(mutations.agg(F.approx_count_distinct("node_id").alias("m"))).first()  # one row
+        if sizes["m"] < sizes["t"]:
+            within = reachable(edges, mutations.select(F.col("node_id").alias("node")))
     up = ancestors(edges, targets, within=within).withColumnRenamed("ancestor", "node")
     here = targets.select("target").where("target is not null").distinct().select("target", F.col("target").alias("node"), F.lit(0).alias("hops"), F.array("target").alias("path"))
     return here.unionByName(up)
