@@ -1,9 +1,10 @@
 """URL verdicts from pattern rules that are indexed by their rarest literal token. DataFrame operations only.
 
 A rule is a regular expression over host and path together, with the literal tokens that any match
-must contain. The corpus says how often each of those tokens occurs in URLs; a rule is filed under
-the rarest. A URL's own tokens fetch the rules filed under them, and only those run. Rules without such a
-token, whose host is in another script say, are filed under the empty token, which every URL then has.
+must contain: groups, of each of which it holds one token at least, so alternatives are a group. The corpus says how often each of
+those tokens occurs in URLs; a rule is filed under all tokens of its rarest group. A URL's own tokens fetch the rules filed under them, and
+only those run. Rules without such a token, whose host is in another script say, are filed under the empty token, which every URL then has;
+of the rules here none is.
 """
 
 from __future__ import annotations
@@ -15,22 +16,24 @@ from rootspan.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_BREAK = "[^a-z0-9]+"
-RULES = "rule string, action string, pattern string, literals array<string>, rank int"
+RULES = "rule string, action string, pattern string, literals array<array<string>>, rank int"
 
 #: Fixed by contract: (action, host, path); a rule holds for the host and all subdomains, for paths that start so.
 HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The method's own patterns over host and path: (name, pattern, literal tokens of every match). Patterns hold in any case.
+#: The method's own patterns over host and path: (name, pattern, groups of literal tokens). Patterns hold in any case.
 PATTERN_RULES = [
-    ("ad-server", r"^(?:[^/]*\.)?ads?[0-9]*\.[^/]+/.*(?:banner|click|impression)", []),
-    ("session-path", r"/(?:cgi-bin|wp-admin)/", []),
-    ("tracking-pixel", r"/(?:pixel|beacon|track(?:ing)?)[0-9]*\.(?:gif|png)$", []),
-    ("cheap-pharmacy", r"(?:^|[^a-z0-9])(?:cheap|buy|order)[-_]?(?:online)?[-_](?:pills|meds|pharmacy)(?:$|[^a-z0-9])", []),
-    ("casino-bonus", r"(?:^|[^a-z0-9])casino[^a-z0-9](?:.*[^a-z0-9])?(?:bonus|spins)(?:$|[^a-z0-9])", ["casino"]),
-    ("download-crack", r"(?:^|[^a-z0-9])(?:free[-_])?download[^a-z0-9](?:.*[^a-z0-9])?(?:crack|serial)(?:$|[^a-z0-9])", ["download"]),
+    ("ad-server", r"^(?:[^/]*\.)?ads?[0-9]*\.[^/]+/(?:.*[^a-z0-9])?(?:banners?|clicks?|impressions?)(?:$|[^a-z0-9])", [["banner", "banners", "click", "clicks", "impression", "impressions"]]),
+    ("session-path", r"/(?:cgi-bin|wp-admin)/", [["cgi", "wp"], ["bin", "admin"]]),
+    ("tracking-pixel", r"/(?:pixel|beacon|track(?:ing)?)[0-9]*\.(?:gif|png)$", [["gif", "png"]]),
+    ("cheap-pharmacy", r"(?:^|[^a-z0-9])(?:cheap|buy|order)[-_]?(?:online)?[-_](?:pills|meds|pharmacy)(?:$|[^a-z0-9])", [["pills", "meds", "pharmacy"]]),
+    ("gambling-offer", r"(?:^|[^a-z0-9])(?:bingo|casino|jackpot|poker|roulette|slots)[^a-z0-9](?:.*[^a-z0-9])?(?:bets?|bonus|deposit|freespins|jackpot|spins)(?:$|[^a-z0-9])", [["bingo", "casino", "jackpot", "poker", "roulette", "slots"], ["bet", "bets", "bonus", "deposit", "freespins", "jackpot", "spins"]]),
+    ("payday-loan", r"(?:^|[^a-z0-9])payday[^a-z0-9](?:.*[^a-z0-9])?(?:advance|cash|loans?)(?:$|[^a-z0-9])", [["payday"], ["advance", "cash", "loan", "loans"]]),
+    ("escort-service", r"(?:^|[^a-z0-9])escorts?[^a-z0-9](?:.*[^a-z0-9])?(?:agency|girls|models|vip)(?:$|[^a-z0-9])", [["escort", "escorts"], ["agency", "girls", "models", "vip"]]),
+    ("download-crack", r"(?:^|[^a-z0-9])(?:free[-_])?(?:download|torrent)[^a-z0-9](?:.*[^a-z0-9])?(?:crack|repack|serial|dvdrip)(?:$|[^a-z0-9])", [["download", "torrent"], ["crack", "repack", "serial", "dvdrip"]]),
 ]
-#: And words of adult, gambling, tracking and download-spam sites, as whole tokens of host or path.
-BLOCKED_WORDS = ["adserver", "bingo", "camgirls", "casino", "clickbait", "doubleclick", "escort", "jackpot", "keygen", "payday", "poker", "porn", "roulette", "slots", "torrent", "viagra", "warez", "xxx"]
+#: And words that stand for nothing else, as whole tokens of host or path.
+BLOCKED_WORDS = ["adserver", "camgirls", "clickbait", "doubleclick", "keygen", "porn", "viagra", "warez", "xxx"]
 
 
 def host_of(url: Column) -> Column:
@@ -61,31 +64,33 @@ def host_rules(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     whole = F.regexp_replace(F.concat(host, "path"), "[A-Za-z0-9]+$", "")
     pattern = F.concat(F.lit(r"^(?:[^/]*\.)?"), _quoted(host), _quoted(F.col("path")))
     name = F.concat(host, "path")
-    return df.select(name.alias("rule"), "action", pattern.alias("pattern"), _tokens(whole).alias("literals"), (F.lit(1_000_000) + F.length(name)).cast("int").alias("rank"))
+    return df.select(name.alias("rule"), "action", pattern.alias("pattern"), F.transform(_tokens(whole), lambda t: F.array(t)).alias("literals"), (F.lit(1_000_000) + F.length(name)).cast("int").alias("rank"))
 
 
 def word_rules(spark: SparkSession, words: list[str]) -> DataFrame:
     """Rules that block a URL with one of ``words`` as a token; host rules go before them."""
     df = spark.createDataFrame([(w,) for w in words], "word string")
     pattern = F.concat(F.lit("(?i)(?:^|[^a-z0-9])"), _quoted(F.col("word")), F.lit("(?:$|[^a-z0-9])"))
-    return df.select(F.col("word").alias("rule"), F.lit("block").alias("action"), pattern.alias("pattern"), F.array(F.lower("word")).alias("literals"), F.length("word").alias("rank"))
+    return df.select(F.col("word").alias("rule"), F.lit("block").alias("action"), pattern.alias("pattern"), F.array(F.array(F.lower("word"))).alias("literals"), F.length("word").alias("rank"))
 
 
-def pattern_rules(spark: SparkSession, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """Patterns (name, regular expression, literal tokens) that block a URL; host rules go before them."""
-    df = spark.createDataFrame(rules, "rule string, regex string, literals array<string>")
+def pattern_rules(spark: SparkSession, rules: list[tuple[str, str, list[list[str]]]]) -> DataFrame:
+    """Patterns (name, regular expression, groups of literal tokens) that block a URL; host rules go before them."""
+    df = spark.createDataFrame(rules, "rule string, regex string, literals array<array<string>>")
     return df.select("rule", F.lit("block").alias("action"), F.concat(F.lit("(?is)"), "regex").alias("pattern"), "literals", F.length("rule").alias("rank"))
 
 
 def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """``rules`` with ``token``: of its literals the one that the fewest of ``urls`` (host, path) contain; '' for a rule without any."""
+    """``rules`` with ``token``, a row for each token of the group that the fewest of ``urls`` (host, path) contain; '' for a rule without any."""
     seen = urls.select(F.explode(_tokens(F.concat("host", "path"))).alias("token"))
-    literal = rules.select("rule", "action", "pattern", "rank", F.explode(F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
+    own = ["rule", "action", "pattern", "rank"]
+    groups = F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.array(F.lit(""))))
+    literal = rules.select(*own, F.posexplode(groups).alias("part", "tokens")).select(*own, "part", F.explode("tokens").alias("token"))
     wanted = materialize(literal.select("token").distinct(), "literals")
     often = seen.join(wanted, "token").groupBy("token").count()
-    filed = literal.join(often, "token", "left").groupBy("rule", "action", "pattern", "rank")
-    filed = filed.agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token")).alias("least"))
-    return filed.select("rule", "action", "pattern", "rank", F.col("least.token").alias("token"))
+    counted = literal.join(often, "token", "left").groupBy(*own, "part").agg(F.sum(F.coalesce("count", F.lit(0))).alias("count"), F.sort_array(F.collect_set("token")).alias("tokens"))
+    filed = counted.groupBy(*own).agg(F.min(F.struct("count", "tokens")).alias("least"))
+    return filed.select(*own, F.explode("least.tokens").alias("token"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str = "allow") -> DataFrame:

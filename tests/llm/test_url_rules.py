@@ -1,5 +1,9 @@
 import re
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from rootspan.llm import url_rules
 
 URLS = [
@@ -7,6 +11,7 @@ URLS = [
     "ftp://b.example.com/de/?q", "http://net", "http://net/", "http://xnet/", "http://x.net?/en/", "http://x.net#/", "nothing", "", None, "a://b://c.net/", "http://my.casino/x", "http://e.com/CASINO/x",
     "http://e.com/casinox", "http://casino.net/", "http://éx.net/\n", "http://x.net:80/", "http://e.com/poker/casino", "http://net/net/net", "http://org/fr", "http://e.com/" + "a/" * 4000 + "xxx",
     "http://ads3.e.com/a/banner.gif", "http://bads.e.com/a/banner.gif", "http://e.com/cgi-bin/x", "http://e.com/Pixel12.GIF", "http://e.com/pixels.gif", "http://e.com/buy-online_pills", "http://casino.e.com/a/bonus", "http://e.com/casinos/bonus", "http://e.com/free-download/x/crack", "http://e.com/downloads/crack",
+    "http://poker.e.com/x/deposit", "http://e.com/payday/x-loans", "http://e.com/escort/vip", "http://e.com/torrent/x.dvdrip", "http://ad.e.com/clicks", "http://ads.e.com/clickers", "http://e.com/wp-admin/", "http://e.com/cgi/admin/",
 ]
 
 
@@ -58,8 +63,32 @@ def test_rules_without_a_token(spark):
 
 
 def test_patterns_need_their_literals():
-    """What a pattern matches holds its literal tokens, or the index would miss it."""
-    for _, pattern, literals in url_rules.PATTERN_RULES:
-        for url in URLS:
-            if url and re.search(pattern, url.split("://")[-1], re.I):
-                assert set(literals) <= set(re.split("[^a-z0-9]+", url.lower()))
+    """What a pattern matches holds a token of each of its groups, or the index would miss it."""
+    for name, pattern, groups in url_rules.PATTERN_RULES:
+        hits = [url for url in URLS if url and re.search(pattern, url.split("://")[-1], re.I)]
+        assert hits and groups, name
+        for url in hits:
+            assert all(set(group) & set(re.split("[^a-z0-9]+", url.lower())) for group in groups), (name, url)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_whatever_a_pattern_finds_holds_its_literals(data):
+    for _, pattern, groups in url_rules.PATTERN_RULES:
+        found = data.draw(st.from_regex(re.compile(pattern.replace(".*", "[a-z/.-]{0,6}").replace("[^/]*", "[a-z]{0,4}").replace("[^/]+", "[a-z]{1,4}").replace("[^a-z0-9]", "[/._-]"), re.A), fullmatch=True)).rstrip("\n")
+        assert all(set(group) & set(re.split("[^a-z0-9]+", found.lower())) for group in groups), (pattern, found)
+
+
+def test_alternatives_file_a_rule_under_each(spark):
+    urls = spark.createDataFrame([("a.net", "/cgi/bin")] * 3 + [("b.net", "/admin/")], "host string, path string")
+    index = {}
+    for r in url_rules.rule_index(url_rules.pattern_rules(spark, url_rules.PATTERN_RULES), urls).collect():
+        index.setdefault(r.rule, set()).add(r.token)
+    assert index["session-path"] == {"cgi", "wp"} and all(index.values()) and "" not in set().union(*index.values())
+    df = spark.createDataFrame([(1, "http://poker-face-song.com/lyrics"), (2, "http://slots-for-parking.gov"), (3, "http://slots.com/free/spins"), (4, "http://x.com/verdict"), (5, "http://x.com/wp-admin/")], "page_id long, url string").withColumn("verdict", F.lit("mine"))
+    assert {r.page_id: r.verdict for r in url_rules.judge_urls(df).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_very_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://a.org/" + "b-" * 500_000 + "keygen"), (2, "x" * 1_000_000)], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_rules.judge_urls(df).collect()} == {1: "block", 2: "allow"}
