@@ -98,7 +98,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
 
     rule: the host rule that decided, or null; then verdict is that of the method's patterns
     (pattern_rule names it) or ``default``. Ties in length go to the smaller rule text, and of
-    two actions for the same text to block. A null url or one without ``://`` has an empty host and
+    two actions for the same text to block. URLs of any length are judged whole. A null url or one without ``://`` has an empty host and
     path and gets the default. Null and repeated page_ids keep their rows; other columns are not
     read. Rules are joined, so their number is free; the index goes by broadcast only where Spark
     finds its written size below ``spark.sql.autoBroadcastJoinThreshold``. Empty in, empty out.
