@@ -192,9 +192,10 @@ def _segments(events: DataFrame, points: DataFrame, segment_rows: int) -> tuple[
     The last value tells whether any bucket is cut.
     """
     times = events.select("node", "b", F.unix_micros("when").alias("t")).unionByName(points.select("node", "b", F.unix_micros("at").alias("t")))
-    full = materialize(times.groupBy("node", "b").agg(F.count("*").alias("n")).where(F.col("n") > segment_rows), "full")
-    if not full.take(1):
+    counted = times.groupBy("node", "b").agg(F.count("*").alias("n"))
+    if (counted.agg(F.max("n").alias("n")).first()["n"] or 0) <= segment_rows:
         return events.withColumn("seg", F.lit(0)), points.withColumn("seg", F.lit(0)), False
+    full = materialize(counted.where(F.col("n") > segment_rows), "full")
     steps = 256
     quantiles = F.percentile_approx("t", F.array(*[F.lit(k / steps) for k in range(1, steps)]), 10 * steps)
     cuts = times.join(full, ["node", "b"]).groupBy("node", "b").agg(quantiles.alias("q"), F.first("n").alias("n"))
@@ -263,7 +264,7 @@ def replay(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, signals: Da
     changes = changes.join(classes.select(F.col("node_id").alias("node"), F.col("class").alias("a_class")), "node")
     heard = signals.select(F.col("node_id").alias("node"), "signal_type", F.col("timestamp").alias("signal_ts"))
     case = ["signal_id", "target", "at"]
-    places = cases.join(closure, "target")
+    places = materialize(cases.join(closure, "target"), "places")  # asked for three times below
     if top_only:
         asked = changes.select("node", F.col("mutation_type").alias("kind"), F.col("mutation_ts").alias("when"), F.col("mutation_id").alias("id"))
         newest = last_before(places, asked, window_s).select("node", "at", F.col("kind").alias("mutation_type"), F.col("when").alias("mutation_ts"), F.col("id").alias("mutation_id"))
