@@ -400,8 +400,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     Candidates share a band of minima; a pair at 0.8 shares none of the 40 in 1 of 8 million cases, a
     closer one less often. Sketches of all minima, compared inside the join, tell which of them can be similar enough, and
-    those are verified on the sets themselves. First the members of a band meet the band's smallest set only; what
-    that leaves in several components meets pair by pair.
+    those are verified on the sets themselves. First the members of a band meet the band's smallest set only, each set the one it shares
+    most bands with before the others; what that leaves in several components meets pair by pair, a pair in one of its bands.
     Equal sets (equal 64-bit hashes of them) are one from the start, wordless texts among them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -411,18 +411,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     banded = materialize(hashed.select("key", "n", F.explode("bands").alias("band")).distinct(), "banded")
     shared = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).where("lead.key < last")
     members = materialize(banded.join(materialize(shared.select("band", "lead"), "shared"), "band"), "members")
-    stars = members.where(f"key <> lead.key and {_near_sizes('n', 'lead.n')}").select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
+    stars = members.where(f"key <> lead.key and {_near_sizes('n', 'lead.n')}").groupBy(F.col("lead.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("m"))
     first, second = (sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
-    stars = stars.join(first, "a").join(second, "b").where(_alike("s_a", "s_b")).select("a", "b")
+    stars = materialize(stars.join(first, "a").join(second, "b").where(_alike("s_a", "s_b")).select("a", "b", "m"), "stars")
     found = _fetched(texts, sets.select("key", "first"), members.select("key"))
-    links = _similar(found, stars)
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("m"), -F.col("a"))).alias("a")).select("a", "b")
+    links = _similar(found, nearest)
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    root = lambda x: groups.select(F.col("key").alias(x), F.col("component").alias(f"r_{x}"))
+    open_stars = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+    links = links.unionByName(_similar(found, open_stars))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     placed = members.join(groups, "key", "left").select("band", "key", "n", F.col("lead.key").alias("lead"), F.coalesce("component", "key").alias("root"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = materialize(placed.where("key <> lead").join(materialize(mixed, "mixed"), "band").join(sketches, "key").select("band", "key", "n", "root", "sketch"), "rest")
-    other = rest.select("band", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"))
-    pairs = rest.join(other, "band").where(f"root < root2 and {_near_sizes('n', 'n2')} and {_alike('sketch', 'sketch2')}").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    rest = materialize(placed.where("key <> lead").join(materialize(mixed, "mixed"), "band").select("band", "key", "n", "root"), "rest")
+    shown = rest.groupBy("key").agg(F.collect_list("band").alias("bands")).join(sketches, "key")  # at most as many bands as a set has
+    rest = materialize(rest.join(shown, "key"), "rest")
+    other = rest.select("band", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2"))
+    pairs = rest.join(other, "band").where(f"root < root2 and {_near_sizes('n', 'n2')} and {_alike('sketch', 'sketch2')} and band = array_min(array_intersect(bands, bands2))").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     links = links.unionByName(_similar(found, pairs))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = materialize(sets.select("key", "first").join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "sets")
