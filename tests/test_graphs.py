@@ -35,6 +35,14 @@ def test_neighborhood_against_plain_python(spark):
         assert got == {s: slow_neighborhood(pairs, s, depth, fanout, cap) for s in ("hub", "n3", "n59")}
 
 
+def test_neighborhood_asks_for_few_children_of_a_hub(spark):
+    links = spark.createDataFrame([("hub", f"n{i:04}", i + 1) for i in range(1000)], "source_id string, target_id string, place int")
+    seeds = spark.createDataFrame([(f"n{i:04}",) for i in range(1000)], "seed string")
+    front, seen = seeds.withColumn("node", F.lit("hub")), seeds.withColumn("node", F.col("seed"))
+    found = paths.first_children(links, front, seen, 8)
+    assert found.count() == 9000 and found.agg(F.max("child")).first()[0] == "n0008"
+
+
 def test_alert_subgraph(spark):
     pairs = [("a", "b"), ("b", "c"), ("x", "c"), ("c", "k1"), ("c", "k2"), ("y", "z")]
     nodes = spark.createDataFrame([(n, n, "C", None, None, {}) for n in "a b c x k1 k2 y z far".split()], NODES)
