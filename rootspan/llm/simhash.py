@@ -28,6 +28,7 @@ from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -43,6 +44,8 @@ SEGMENTS, WIDTH = 4, 16
 SET_WORDS, BANDS, BAND_ROWS = 5, 40, 5
 #: Numbers of a sketch, sixteen minima each, and how many of the minima may differ.
 SKETCH_WORDS, SKETCH_MISSES = 13, 74
+#: Sets of a family that are compared all with all, and of a block of it.
+FAMILY, BLOCK = 4096, 64
 GOLAY_POLYNOMIAL = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -230,8 +233,6 @@ def _bucket_links(bucket_limit: int, max_bits: int):
 
 def _block_links(max_bits: int):
     def run(pdf):
-        import pandas as pd
-
         a, b = forest(np.unique(pdf["fp"].to_numpy().view(np.uint64)), max_bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
@@ -395,13 +396,65 @@ def _similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(both.where("9 * size(array_intersect(of_a, of_b)) >= 4 * (size(of_a) + size(of_b))").select("a", "b"), "links")
 
 
+def _bridges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the two blocks of a group (``left`` tells the first; all rows are of it in a block's meeting with itself) that join different roots; fewer than there are roots.
+
+    Sketches tell which pairs can be similar enough, the sets themselves decide.
+    """
+    pdf = pdf.sort_values("left", ascending=False, kind="stable")
+    keys, roots, sets = pdf["key"].to_numpy(), pdf["root"].to_numpy(), pdf["shingles"].to_numpy()
+    sketches, sizes = np.array([*pdf["sketch"]], dtype=np.int64).view(np.uint64), np.array([len(x) for x in sets])
+    cut = int(pdf["left"].sum())
+    above = {r: r for r in roots.tolist()}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for i in range(cut):
+        begin = i + 1 if cut == len(keys) else cut
+        near = begin + np.flatnonzero((roots[begin:] != roots[i]) & (5 * np.minimum(sizes[begin:], sizes[i]) >= 4 * np.maximum(sizes[begin:], sizes[i])))
+        x = sketches[near] ^ sketches[i]
+        x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
+        near = near[np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= SKETCH_MISSES]
+        for j in near.tolist():
+            a, b = top(roots[i]), top(roots[j])
+            if a != b and 9 * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= 4 * (sizes[i] + sizes[j]):
+                above[b] = a
+                out.append((keys[i], keys[j]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _rest_links(placed: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between members (band, key, root) of a band that are in different components; each pair is compared inside a task, so no table has a row a pair.
+
+    Bands that share members are one family, and its sets meet in blocks, each pair of blocks in a group of its own: a set travels once for each block of
+    its family, 40 times at most. A family of more than ``FAMILY`` sets is compared band by band instead.
+    """
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("key").alias("head")).where("lo < hi").select("band", "head")
+    rest = materialize(placed.join(materialize(mixed, "mixed"), "band"), "rest")
+    family = connected_components(rest.select("head", "key"), "head", "key").select(F.col("node").alias("key"), F.col("component").alias("family"))
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"))
+    family = materialize(family.join(sizes, "family"), "family")
+    own = rest.select("key", "root").distinct().join(family.where(F.col("n") <= FAMILY), "key")
+    own = own.select("key", "root", F.lit(False).alias("by_band"), F.col("family").alias("unit"), F.least(F.ceil(F.col("n") / BLOCK), F.lit(40)).alias("blocks"))
+    wide = rest.join(family.where(F.col("n") > FAMILY).select("key"), "key", "left_semi")
+    wide = wide.join(wide.groupBy("band").agg(F.ceil(F.count("*") / FAMILY).alias("blocks")), "band").select("key", "root", F.lit(True).alias("by_band"), F.col("band").alias("unit"), "blocks")
+    dealt = materialize(own.unionByName(wide).withColumn("r", F.pmod(F.xxhash64("key"), "blocks")), "dealt")
+    whole = dealt.join(sketches, "key").join(found, "key").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    whole = whole.select("by_band", "unit", F.least("r", "s").alias("low"), F.greatest("r", "s").alias("high"), (F.col("r") <= F.col("s")).alias("left"), "key", "root", "sketch", "shingles")
+    return materialize(whole.groupBy("by_band", "unit", "low", "high").applyInPandas(_bridges, "a long, b long"), "links")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``: components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
     Candidates share a band of minima; a pair at 0.8 shares none of the 40 in 1 of 8 million cases, a
     closer one less often. Sketches of all minima, compared inside the join, tell which of them can be similar enough, and
     those are verified on the sets themselves. First the members of a band meet the band's smallest set only, each set the one it shares
-    most bands with before the others; what that leaves in several components meets pair by pair, a pair in one of its bands.
+    most bands with before the others; what that leaves in several components meets pair by pair inside tasks (``_rest_links``).
     Equal sets (equal 64-bit hashes of them) are one from the start, wordless texts among them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -422,15 +475,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     open_stars = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
     links = links.unionByName(_similar(found, open_stars))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    placed = members.join(groups, "key", "left").select("band", "key", "n", F.col("lead.key").alias("lead"), F.coalesce("component", "key").alias("root"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = materialize(placed.where("key <> lead").join(materialize(mixed, "mixed"), "band").select("band", "key", "n", "root"), "rest")
-    shown = rest.groupBy("key").agg(F.collect_list("band").alias("bands")).join(sketches, "key")  # at most as many bands as a set has
-    rest = materialize(rest.join(shown, "key"), "rest")
-    other = rest.select("band", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"), F.col("bands").alias("bands2"))
-    pairs = rest.join(other, "band").where(f"root < root2 and {_near_sizes('n', 'n2')} and {_alike('sketch', 'sketch2')} and band = array_min(array_intersect(bands, bands2))").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    links = links.unionByName(_similar(found, pairs))
+    placed = members.where("key <> lead.key").join(groups, "key", "left").select("band", "key", F.coalesce("component", "key").alias("root"))
+    links = links.unionByName(_rest_links(materialize(placed, "placed"), sketches, found))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     known = materialize(sets.select("key", "first").join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "sets")
     least = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "roots")

@@ -150,3 +150,45 @@ def test_near_dedup_is_jaccard_by_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {i: find(i) for i in sets}
     assert {r.doc_id for r in simhash.near_dedup(df).collect()} == {i for i in sets if find(i) == i}
+
+
+def written_rows(monkeypatch):
+    """Row counts of all tables that simhash writes from now on."""
+    seen, write = [], simhash.materialize
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        seen.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    return seen
+
+
+def family(n, shared=350, own=75):
+    """Texts that have most of their words in common, but not enough of them."""
+    return [" ".join([f"w{i}" for i in range(shared)] + [f"own{k}x{i}" for i in range(own)]) for k in range(n)]
+
+
+def test_a_family_that_is_not_alike_enough_makes_no_table_of_its_pairs(spark, monkeypatch):
+    texts = family(200)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7] + " more", texts[150] + " words"])], "doc_id long, text string")
+    seen = written_rows(monkeypatch)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == {i: i for i in range(200)} | {200: 7, 201: 150}
+    assert max(seen)[0] <= 202 * simhash.BANDS  # a band of all of them has 20,000 pairs
+
+
+def test_families_in_blocks_and_band_by_band_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [t.split() for t in family(60, 200, 40)]
+    for k in range(60):
+        copy = list(texts[k])
+        copy[int(rng.integers(0, 200))] = "changed"
+        texts.append(copy)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {i: i % 60 for i in range(120)}
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+    monkeypatch.setattr(simhash, "FAMILY", 20)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
