@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +22,7 @@ from rootspan.sources.versions import KeyedTable
 #: The key that stands for all nodes: when a signal and a change came last, anywhere.
 ANYWHERE = "\x00any"
 ROW = "node string, kind string, what string, id string, at timestamp"
+TOLD = "node string, kind string, what string, id string, us bigint"
 DIAGNOSES = "target_node string, confidence double, root_cause string, causal_path array<string>, timestamp timestamp, class string, as_of timestamp, batch_no long"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,54 +40,63 @@ def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class NodeEvidence(StatefulProcessor):
-    """State of a node: for each kind (signal, change) and type the latest time, with the smallest id at it."""
+    """State of a node: for each kind (signal, change) and type the latest time, with the smallest id at it.
+
+    All of it is one value, with the time of the node's timer, so that a node costs one look into the store and, if it has learned
+    something, one write; a timer is set when there is none or one that is too late, and else left until it fires.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getMapState("latest", "kind string, what string", "at long, id string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked, touched, changed = None, None, False
-        for part in rows:
-            part = part.sort_values(["at", "id"])
-            for kind, what, event, at in zip(part["kind"], part["what"], part["id"], part["at"].astype("datetime64[us]").astype("int64").tolist()):
-                if kind == "ask":
-                    asked = at if asked is None else max(asked, at)
-                    continue
-                if kind == "signal":
-                    touched = at if touched is None else max(touched, at)
-                own = (kind, what)
-                was = self.latest.getValue(own) if self.latest.containsKey(own) else None
-                if was is None or (-at, event) < (-was[0], was[1]):
-                    self.latest.updateValue(own, (at, event))
-                    changed = True
+        self.latest = handle.getValueState("latest", "kinds array<string>, whats array<string>, ids array<string>, ats array<bigint>, wake bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        asked, touched, changed = False, None, False
+        known, wake = self._known()
+        for row in rows:
+            if row.kind == "ask":
+                asked = True
+                continue
+            if row.kind == "signal":
+                touched = row.us if touched is None else max(touched, row.us)
+            was = known.get((row.kind, row.what))
+            if was is None or (-row.us, row.id) < (-was[0], was[1]):
+                known[row.kind, row.what] = (row.us, row.id)
+                changed = True
         if changed:
-            self._wake_at_first_end()
-        if asked is not None:
-            yield self._told(key[0], touched)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._keep(known, wake)
+        if asked:
+            for (kind, what), (us, event) in known.items():
+                yield Row(node=key[0], kind=kind, what=what, id=event, us=us)
+            if touched is not None:
+                yield Row(node=key[0], kind="touched", what="", id="", us=touched)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The watermark stands a window before the latest event: what is older can count no more."""
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        gone = [own for own, (at, _) in self.latest.iterator() if at < limit]
-        for own in gone:
-            self.latest.removeKey(own)
-        self._wake_at_first_end()
+        known, _ = self._known()
+        known = {own: value for own, value in known.items() if value[0] >= limit}
+        if known:
+            self._keep(known, None)
+        else:
+            self.latest.clear()
         return iter([])
 
-    def _wake_at_first_end(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        ends = [at // 1000 + 1 for _, (at, _) in self.latest.iterator()]
-        if ends:
-            self.handle.registerTimer(min(ends))
-
-    def _told(self, node: str, touched: int | None) -> pd.DataFrame:
-        known = [(node, own[0], own[1], value[1], value[0]) for own, value in self.latest.iterator()]
-        if touched is not None:
-            known.append((node, "touched", "", "", touched))
-        out = pd.DataFrame(known, columns=["node", "kind", "what", "id", "at"])
-        return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="us", utc=True))
+    def _known(self) -> tuple[dict, int | None]:
+        value = self.latest.get()
+        if value is None:
+            return {}, None
+        kinds, whats, ids, ats, wake = value
+        return dict(zip(zip(kinds, whats), zip(ats, ids))), wake
+
+    def _keep(self, known: dict, wake: int | None) -> None:
+        first = min(us for us, _ in known.values()) // 1000 + 1
+        if wake is None or first < wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            wake = first
+        self.latest.update(([k for k, _ in known], [w for _, w in known], [i for _, i in known.values()], [us for us, _ in known.values()], wake))
 
     def close(self) -> None:
         pass
@@ -103,7 +113,8 @@ def stream_evidence(signals: DataFrame, mutations: DataFrame, closure: DataFrame
     asked = signals.select(F.col("node_id").alias("target"), F.col("timestamp").alias("at")).join(closure.select("target", "node"), "target")
     asked = asked.select("node", F.lit("ask").alias("kind"), F.lit("").alias("what"), F.lit("").alias("id"), "at")
     rows = heard.unionByName(changed).unionByName(asked).mapInPandas(_combined, ROW).withWatermark("at", f"{window_s} seconds")
-    return rows.groupBy("node").transformWithStateInPandas(NodeEvidence(), ROW, "Update", "EventTime")
+    told = rows.withColumn("us", F.unix_micros("at")).groupBy("node").transformWithState(NodeEvidence(), TOLD, "Update", "EventTime")
+    return told.select("node", "kind", "what", "id", F.timestamp_micros("us").alias("at"))
 
 
 def diagnosed(evidence: DataFrame, classes: DataFrame, closure: DataFrame, cpts: DataFrame, priors: DataFrame, batch_no: int, window_s: float = DAY) -> DataFrame | None:

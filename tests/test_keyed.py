@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rootspan.operators import inference
@@ -118,3 +119,58 @@ def test_keyed_stream_equals_batches_and_its_state_stays_flat(spark):
         want |= {r.target_node: (round(r.confidence, 9), r.root_cause, r.causal_path, r.timestamp) for r in found.collect()}
         assert {r.target_node: (round(r.confidence, 9), r.root_cause, r.causal_path, r.timestamp) for r in table.read().collect()} == want
     assert max(sizes) <= 4 * 9 * 2  # four types at eight places and anywhere, with their timers, however many batches
+
+
+class Store:
+    """A state store of one node that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("timer")
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_node_costs_one_look_and_one_write_however_many_types_it_knows():
+    store, evidence = Store(), keyed.NodeEvidence()
+    evidence.init(store)
+    row = lambda kind, what, id, us: Row(node="n", kind=kind, what=what, id=id, at=None, us=us)
+    events = [row("signal", f"t{i}", "", 10_000_000 + i) for i in range(9)] + [row("change", "a", "m2", 5_000_000), row("change", "a", "m1", 5_000_000), row("change", "a", "m0", 4_000_000)]
+    assert list(evidence.handleInputRows(("n",), iter(events), store)) == []
+    assert store.calls == ["get", "timer", "update"] and store.timers == [5001]
+    store.calls.clear()
+    told = list(evidence.handleInputRows(("n",), iter([row("ask", "", "", 0), row("signal", "t1", "", 9_000_000)]), store))
+    assert store.calls == ["get"] and len(told) == 11
+    assert ("n", "change", "a", "m1", 5_000_000) in told and ("n", "touched", "", "", 9_000_000) in told and ("n", "signal", "t1", "", 10_000_001) in told
+    store.calls.clear()
+    list(evidence.handleInputRows(("n",), iter([row("change", "b", "m", 2_000_000)]), store))
+    assert store.calls == ["get", "timer", "timer", "update"] and store.timers == [2001]
+    store.now, store.timers = 6000, []
+    list(evidence.handleExpiredTimer(("n",), store, None))
+    assert len(store.value[0]) == 9 and store.timers == [10001]
+    store.now = 11_000
+    list(evidence.handleExpiredTimer(("n",), store, None))
+    assert store.value is None
