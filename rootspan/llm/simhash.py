@@ -331,6 +331,14 @@ def _alike(a: str, b: str) -> str:
     return f"({' + '.join(parts)}) <= {SKETCH_MISSES}"
 
 
+def set_print(shingles: np.ndarray, block: int = 1 << 15) -> int:
+    """64-bit SimHash of a set of shingle hashes; 0 for the empty set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(shingles), block):
+        ones += np.unpackbits(shingles[i : i + block].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+
+
 def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
@@ -346,15 +354,16 @@ def _signed(values: list[int]) -> pa.Array:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, "text"):
-        ids, sizes, keys, sketches = [], [], [], []
+        ids, prints, sizes, keys, sketches = [], [], [], [], []
         for text in column(batch, "text").to_pylist():
             found = shingle_set(text)
             least = minima(found)
             ids.append(_set_id(found))
+            prints.append(set_print(found))
             sizes.append(len(found))
             keys.append(band_keys(least))
             sketches.append(sketch(least))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), _signed(ids), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)], ["doc_id", "key", "n", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), _signed(ids), _signed(prints), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)], ["doc_id", "key", "fp", "n", "bands", "sketch"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,18 +457,28 @@ def _rest_links(placed: DataFrame, sketches: DataFrame, found: DataFrame) -> Dat
     return materialize(whole.groupBy("by_band", "unit", "low", "high").applyInPandas(_bridges, "a long, b long"), "links")
 
 
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets`` (key, fp) that the Golay keys find: the smallest sets of fingerprints that differ in three bits or fewer, and each set with the smallest of its fingerprint."""
+    heads = materialize(sets.groupBy("fp").agg(F.min("key").alias("head")), "prints")
+    near = fingerprint_links(heads.select("fp"))
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"of_{x}")) for x in ("a", "b"))
+    across = near.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return materialize(across.unionByName(sets.join(heads, "fp").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))), "near_prints")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``: components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Candidates share a band of minima; a pair at 0.8 shares none of the 40 in 1 of 8 million cases, a
+    The sets' SimHash fingerprints come first: pairs that the Golay keys find within three bits are verified and linked. Pairs at 0.8 differ in about ten bits, so
+    further candidates share a band of minima; a pair at 0.8 shares none of the 40 in 1 of 8 million cases, a
     closer one less often. Sketches of all minima, compared inside the join, tell which of them can be similar enough, and
-    those are verified on the sets themselves. First the members of a band meet the band's smallest set only, each set the one it shares
+    those are verified on the sets themselves. Of what the fingerprints have left apart, first the members of a band meet the band's smallest set only, each set the one it shares
     most bands with before the others; what that leaves in several components meets pair by pair inside tasks (``_rest_links``).
     Equal sets (equal 64-bit hashes of them) are one from the start, wordless texts among them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    hashed = materialize(mapped(texts, _bands, "doc_id long, key long, n long, bands array<long>, sketch array<long>"), "bands")
-    sets = materialize(hashed.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "sets")
+    hashed = materialize(mapped(texts, _bands, "doc_id long, key long, fp long, n long, bands array<long>, sketch array<long>"), "bands")
+    sets = materialize(hashed.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sets")
     sketches = sets.select("key", "sketch")
     banded = materialize(hashed.select("key", "n", F.explode("bands").alias("band")).distinct(), "banded")
     shared = banded.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.max("key").alias("last")).where("lead.key < last")
@@ -467,13 +486,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     stars = members.where(f"key <> lead.key and {_near_sizes('n', 'lead.n')}").groupBy(F.col("lead.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("m"))
     first, second = (sketches.select(F.col("key").alias(x), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
     stars = materialize(stars.join(first, "a").join(second, "b").where(_alike("s_a", "s_b")).select("a", "b", "m"), "stars")
-    found = _fetched(texts, sets.select("key", "first"), members.select("key"))
-    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("m"), -F.col("a"))).alias("a")).select("a", "b")
-    links = _similar(found, nearest)
+    prints = print_pairs(sets)
+    found = _fetched(texts, sets.select("key", "first"), members.select("key").unionByName(prints.select(F.explode(F.array("a", "b")).alias("key"))))
+    links = _similar(found, prints)
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     root = lambda x: groups.select(F.col("key").alias(x), F.col("component").alias(f"r_{x}"))
-    open_stars = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
-    links = links.unionByName(_similar(found, open_stars))
+    apart = lambda pairs: pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b"))
+    stars = materialize(apart(stars).select("a", "b", "m"), "stars")
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("m"), -F.col("a"))).alias("a")).select("a", "b")
+    links = links.unionByName(_similar(found, nearest))
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    links = links.unionByName(_similar(found, apart(stars).select("a", "b")))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     placed = members.where("key <> lead.key").join(groups, "key", "left").select("band", "key", F.coalesce("component", "key").alias("root"))
     links = links.unionByName(_rest_links(materialize(placed, "placed"), sketches, found))

@@ -192,3 +192,14 @@ def test_families_in_blocks_and_band_by_band_give_the_same(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
     monkeypatch.setattr(simhash, "FAMILY", 20)
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+
+
+def test_near_dedup_takes_its_first_pairs_from_the_fingerprints(spark):
+    base = [f"w{i}" for i in range(4000)]
+    changed = ["new", *base[1:]]
+    prints = [simhash.set_print(simhash.shingle_set(" ".join(w).encode())) for w in (base, changed)]
+    assert prints[0].bit_count() and (prints[0] ^ prints[1]).bit_count() <= 3 and simhash.set_print(simhash.shingle_set(b"")) == 0
+    signed = [int(np.uint64(p).astype(np.int64)) for p in (prints[0], prints[0] ^ 0b101, prints[0], prints[0] ^ 0xFFFF0000)]
+    sets = spark.createDataFrame([(7, signed[0]), (3, signed[1]), (9, signed[2]), (1, signed[3])], "key long, fp long")
+    got = {frozenset((r.a, r.b)) for r in simhash.print_pairs(sets).collect()}
+    assert got == {frozenset((7, 9)), frozenset((7, 3))}
