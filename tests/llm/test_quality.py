@@ -109,3 +109,33 @@ def test_keep_good_passes_other_columns(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.keep_good(docs, labels)
     assert got.dtypes == docs.dtypes and {tuple(r) for r in got.collect()} >= set(rows[:2]) and quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_characters_are_not_folded(spark):
+    """Digits, capitals and letters of other scripts are symbols of their own; the perplexity is that of dictionaries over code points."""
+    docs = spark.createDataFrame([(1, "A1 Β2 A1 Β2 é", "en"), (2, "A1 Β2", "en"), (3, "B3 Γ4", "en"), (4, "\U0001f600é", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.perplexity for r in quality.judge_quality(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).collect()}
+    size = np.bincount([int(quality.symbols_of(chr(c))[0]) for c in range(0x110000) if not 0xD800 <= c < 0xE000], minlength=quality.ALPHABET)
+    size[45:] += np.bincount([(c % 11) for c in range(0xD800, 0xE000)], minlength=11)
+    t = "\0\0\0A1 Β2 A1 Β2 é"
+    counts = [Counter(t[i - 3 : i + 1] for i in range(3, len(t)))]
+    for _ in range(3):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+
+    def p(g):
+        if not g:
+            return 0.0
+        level = counts[len(g) - 1]
+        n = Counter(level.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        cut = [min(k - 0.01, max(0.05, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.5 * k for k in (1, 2, 3)]
+        less = lambda c: min(c, cut[min(c, 3) - 1]) if c else 0
+        lower = p(g[1:]) if len(g) > 1 else 1 / quality.ALPHABET / size[int(quality.symbols_of(g)[0])]
+        near = {x: c for x, c in level.items() if x[:-1] == g[:-1]}
+        return (level[g] - less(level[g])) / sum(near.values()) + sum(map(less, near.values())) / sum(near.values()) * lower if near else lower
+
+    for r in docs.collect():
+        s = "\0\0\0" + r.text
+        bits = [-math.log2(max(p(s[i - 3 : i + 1]), 1e-12)) for i in range(3, len(s))]
+        assert math.isclose(got[r.doc_id], 2 ** (sum(bits) / len(bits)), rel_tol=1e-4)
+    assert got[3] > 10 * got[2]
