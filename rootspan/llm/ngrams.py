@@ -27,7 +27,7 @@ ORDER, BITS = 4, 21
 WHOLE, HALVES = 2, (0, 1)
 MODELS = (*HALVES, WHOLE)
 #: Characters that are coded together, and bytes of text of a block.
-STEP, BLOCK = 1 << 19, 16 << 20
+STEP, BLOCK = 1 << 19, 8 << 20
 
 #: By order from one: ``(model, context, symbol, p)``, the discounted share of seen n-grams, and ``(model, context, gamma)``, the weight of the lower order.
 Levels = list[tuple[DataFrame, DataFrame]]
