@@ -3,18 +3,19 @@
 A symbol is a code point plus one, 0 the start of a text; an n-gram is the pair of its context, up to three symbols of 21 bits, and
 its last symbol, so no two n-grams share a key. Neither counts nor model are gathered anywhere. Texts are
 dealt to blocks: a block's distinct n-grams, far fewer than its characters, meet the count tables in joins, and their
-probabilities meet the block's texts in a cogroup.
+probabilities meet the block's texts, which travel in small compressed frames, in a cogroup.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ ORDER, BITS = 4, 21
 #: The models of all trusted documents and of those outside either half.
 WHOLE, HALVES = 2, (0, 1)
 MODELS = (*HALVES, WHOLE)
-#: Characters that are coded together, and bytes of text of a block.
-STEP, BLOCK = 1 << 19, 8 << 20
+#: Characters that are coded together, bytes of text of a frame and of a block (a multiple of a frame), and rows of a batch.
+STEP, FRAME, BLOCK, ROWS = 1 << 19, 2 << 20, 32 << 20, 1 << 16
 
 #: By order from one: ``(model, context, symbol, p)``, the discounted share of seen n-grams, and ``(model, context, gamma)``, the weight of the lower order.
 Levels = list[tuple[DataFrame, DataFrame]]
@@ -69,20 +70,17 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def grams_of(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Each character's place among the distinct n-grams and each text's number of characters, in runs of texts; contexts and symbols of the distinct ones."""
-    runs, contexts, symbols = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _tallied(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and symbols of the texts' distinct n-grams, and how often each occurs."""
+    parts = [(np.zeros(0, np.int64),) * 3]
     for run in _slices(texts):
-        context, symbol, sizes = _coded(run)
-        at, context, symbol = _distinct(context, symbol)
-        runs.append((at.astype(np.int32), sizes))
-        contexts.append(context)
-        symbols.append(symbol)
-    at, context, symbol = _distinct(np.concatenate(contexts), np.concatenate(symbols))
-    begin = np.cumsum([len(c) for c in contexts])
-    for i, (own, sizes) in enumerate(runs):  # one run after the other gives way to its places
-        runs[i] = at[begin[i] : begin[i + 1]].astype(np.int32)[own], sizes
-    return runs, context, symbol
+        at, context, symbol = _distinct(*_coded(run)[:2])
+        parts.append((context, symbol, np.bincount(at)))
+    contexts, symbols, counts = (np.concatenate(x) for x in zip(*parts))
+    at, context, symbol = _distinct(contexts, symbols)
+    n = np.zeros(len(context), np.int64)
+    np.add.at(n, at, counts)
+    return context, symbol, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = column(batch, "half").to_numpy(zero_copy_only=False)
         texts = decoded(column(batch, "text"))
         for h in HALVES:
-            runs, context, symbol = grams_of([t for t, x in zip(texts, half) if x == h])
-            n = sum((np.bincount(p, minlength=len(context)) for p, _ in runs), np.zeros(len(context), np.int64))
+            context, symbol, n = _tallied([t for t, x in zip(texts, half) if x == h])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), h, np.int32)), pa.array(context), pa.array(symbol), pa.array(n)], ["half", "context", "symbol", "n"])
 
 
@@ -101,10 +98,10 @@ def of_models(found: DataFrame) -> DataFrame:
     return models.groupBy("model", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame) -> Levels:
-    """The model of columns ``text`` and ``half``."""
-    found = mapped(texts.select(F.col("half").cast("int").alias("half"), F.col("text").cast("binary").alias("text")), _count, "half int, context long, symbol long, n long")
-    return kneser_ney(of_models(found))
+def fit(texts: DataFrame, opened: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> Levels:
+    """The model of columns ``text`` (binary) and ``half``; ``opened`` makes them from the batches of ``texts``, in the tasks that count."""
+    count = _count if opened is None else lambda batches: _count(opened(batches))
+    return kneser_ney(of_models(mapped(texts, count, "half int, context long, symbol long, n long")))
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -164,71 +161,78 @@ def unseen(symbol: str) -> Column:
     return F.when(point < 128, F.get(small, point.cast("int"))).otherwise(F.get(others, (point % (ALPHABET - 45)).cast("int")))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[str], int]]:
-    """The rows in tables of about ``BLOCK`` bytes of text, with their texts and a name that hangs on these alone."""
-
-    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, list[str], int]:
-        rows = pa.Table.from_batches(parts)
-        texts = decoded(rows.column("text").combine_chunks())
-        name = hashlib.blake2b(np.array([len(t) for t in texts], np.int64).tobytes(), digest_size=8)
-        for t in texts:
-            name.update(t.encode())
-        return rows, texts, int.from_bytes(name.digest(), "little", signed=True)
-
-    parts: list[pa.RecordBatch] = []
-    before = now = 0
-    for batch in batches:  # whatever batches the rows come in, the blocks are the same
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task in runs of about ``FRAME`` bytes of text with the number of their block, which hangs on the task and the bytes before a row alone."""
+    task, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
         sizes = pc.fill_null(pc.binary_length(column(batch, "text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = before + np.cumsum(sizes) - sizes
         before += int(sizes.sum())
-        cuts = np.flatnonzero(np.diff(starts // BLOCK, prepend=now))
-        for begin, end in zip([0, *cuts], [*cuts, len(sizes)]):
-            if begin in cuts and parts:
-                yield whole(parts)
-                parts = []
-            if end > begin:
-                parts.append(batch.slice(int(begin), int(end - begin)))
-        if len(sizes):
-            now = starts[-1] // BLOCK
-    if parts:
-        yield whole(parts)
+        cuts = np.flatnonzero(np.diff(starts // FRAME, prepend=-1))
+        for begin, end in zip(cuts, [*cuts[1:], len(sizes)]):
+            yield task + int(starts[begin] // BLOCK), batch.slice(int(begin), int(end - begin))
 
 
 def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts, block in _blocks(batches):
-        _, context, symbol = grams_of(texts)
-        place = np.arange(len(context), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), pa.array(context), pa.array(symbol)], ["block", "place", "context", "symbol"])
+    for block, frames in groupby(_frames(batches), key=lambda x: x[0]):
+        context = symbol = np.zeros(0, np.int64)
+        for _, frame in frames:
+            more = _tallied(decoded(column(frame, "text")))
+            _, context, symbol = _distinct(np.concatenate([context, more[0]]), np.concatenate([symbol, more[1]]))
+        for k in range(0, len(context), ROWS):
+            part = context[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(symbol[k : k + ROWS])], ["block", "context", "symbol"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _, block in _blocks(batches):
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for block, frame in _frames(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(rows.combine_chunks())
+        with pa.ipc.new_stream(sink, frame.schema, options=options) as out:
+            out.write_batch(frame)
         yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
 
+class _Dictionary:
+    """A block's n-grams in order, to find those of its texts."""
+
+    def __init__(self, found: pa.Table):
+        context, symbol = (found.column(c).to_numpy() for c in ("context", "symbol"))
+        self.contexts, at = np.unique(context, return_inverse=True)
+        pairs = at << BITS | symbol
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        self.bits = [found.column(f"bits{m}").to_numpy()[order] for m in MODELS]
+
+    def places(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        for known in (self.contexts, self.pairs):
+            at = np.searchsorted(known, context)
+            if len(context) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != context).any()):
+                raise ValueError("the documents were not the same when they were read again; write them to a table first")
+            context = at << BITS | symbol
+        return at
+
+
 def _scored(name: str, keep: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        place = found.column("place").to_numpy()
-        for frame in packed.column("rows").combine_chunks():
-            rows = pa.ipc.open_stream(frame.as_buffer()).read_all()
-            runs, context, _ = grams_of(decoded(rows.column("text").combine_chunks()))
-            if len(np.unique(place)) != len(context):
-                raise ValueError("the documents were not the same when they were read again; write them to a table first")
-            bits = [[np.zeros(0)] for _ in MODELS]
-            for m, told in zip(MODELS, bits):
-                of = np.zeros(len(context))
-                of[place] = found.column(f"bits{m}").to_numpy()
-                for p, sizes in runs:
-                    ends, sums = np.cumsum(sizes), np.concatenate([[0.0], of[p]]).cumsum()
+        if not packed.num_rows:
+            raise ValueError("the documents were not the same when they were read again; write them to a table first")
+        out, known = [], _Dictionary(found)
+        for frame in packed.column("rows").to_pylist():
+            rows = pa.ipc.open_stream(frame).read_all()
+            lengths, bits = [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in MODELS]
+            for texts in _slices(decoded(rows.column("text").combine_chunks())):  # one run after the other, so that a block takes no more memory than its n-grams and rows
+                context, symbol, sizes = _coded(texts)
+                at, context, symbol = _distinct(context, symbol)
+                place, ends = known.places(context, symbol), np.cumsum(sizes)
+                for of, told in zip(known.bits, bits):
+                    sums = np.concatenate([[0.0], of[place].astype(float)[at]]).cumsum()
                     told.append(sums[ends] - sums[ends - sizes])
-            sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in runs)])
+                lengths.append(sizes)
             lang = pc.fill_null(rows.column("lang").cast(pa.string()), "").combine_chunks()
-            scored = pa.StructArray.from_arrays([lang, pa.array(sizes), *(pa.array(np.concatenate(x)) for x in bits)], ["lang", "chars", *(f"bits{m}" for m in MODELS)])
+            scored = pa.StructArray.from_arrays([lang, *(pa.array(np.concatenate(x)) for x in (lengths, *bits))], ["lang", "chars", *(f"bits{m}" for m in MODELS)])
             out.append(pa.table([*(rows.column(c) for c in keep), scored], names=[*keep, name]))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return run
@@ -239,10 +243,10 @@ def with_bits(docs: DataFrame, levels: Levels, name: str = "scored", drop: str |
 
     ``docs`` is read twice and has to give the same rows in the same order, as tables on file do; a difference is an error.
     """
-    seen = materialize(mapped(docs.select("text"), _dictionaries, "block long, place int, context long, symbol long"), "dictionaries")
+    seen = materialize(mapped(docs.select("text"), _dictionaries, "block long, context long, symbol long"), "dictionaries")
     p = materialize(interpolated(seen.select("context", "symbol").distinct(), unseen("symbol"), levels, 1 << BITS, list(MODELS)), "probabilities")
     bits = [(-F.log2(F.greatest(f"p{m}", F.lit(1e-12)))).cast("float").alias(f"bits{m}") for m in MODELS]
-    found = seen.join(p.select("context", "symbol", *bits), ["context", "symbol"]).select("block", "place", *[f"bits{m}" for m in MODELS])
+    found = seen.join(p.select("context", "symbol", *bits), ["context", "symbol"]).select("block", "context", "symbol", *[f"bits{m}" for m in MODELS])
     packed = mapped(docs, _packed, "block long, rows binary")
     keep = [f for f in docs.schema.fields if f.name != drop]
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from rootspan.llm import quality
+from rootspan.llm import ngrams, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -139,3 +139,14 @@ def test_characters_are_not_folded(spark):
         bits = [-math.log2(max(p(s[i - 3 : i + 1]), 1e-12)) for i in range(3, len(s))]
         assert math.isclose(got[r.doc_id], 2 ** (sum(bits) / len(bits)), rel_tol=1e-4)
     assert got[3] > 10 * got[2]
+
+
+def test_a_block_asks_for_an_ngram_once(spark):
+    """26 MB of text in one task: one list of n-grams for all of it, and frames that don't hold more than a few MB."""
+    docs = spark.range(0, 24, 1, 1).select("id", F.lit("en").alias("lang"), F.expr("repeat('the cat sat on a mat. ', 50000)").alias("text"))
+    asked = ngrams.mapped(docs.select("text"), ngrams._dictionaries, "block long, context long, symbol long").select("context", "symbol")
+    assert asked.count() == asked.distinct().count() > 0
+    assert ngrams.mapped(docs, ngrams._packed, "block long, rows binary").count() >= 8
+    levels = ngrams.fit(docs.limit(1).select(F.col("text").cast("binary").alias("text"), F.lit(0).alias("half")))
+    got = ngrams.with_bits(docs, levels, "scored", "text").select("id", "scored.chars", "scored.bits2").collect()
+    assert {r.id for r in got} == set(range(24)) and {r.chars for r in got} == {1_100_000} and len({round(r.bits2, 3) for r in got}) == 1
