@@ -12,8 +12,8 @@ another case has other templates. Enough plain windows on one diagonal are a lea
 values say, unless these contradict each other and most of the matched template windows are not verbatim.
 
 The corpus is read into windows once, for all window sizes. The benchmark's distinct window hashes (two longs a row) go to every task
-by broadcast if they are at most ``BROADCAST_ROWS``; beyond that Spark joins by its own choice. Only windows with a
-known hash go on to meet the items that have them.
+by broadcast if they are at most ``BROADCAST_ROWS``; beyond that two bit sieves of them do, of a fixed size each, and what these let through meets
+the items' windows by a join of Spark's choice. So only windows with a known hash, or few others, are shuffled. Items of equal texts are one until the end.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from rootspan.llm.common import fresh
 from rootspan.scratch import materialize
 
 WINDOW, MIN_WINDOWS, BROADCAST_ROWS = 8, 6, 1_000_000
+#: Bits of a hash that tell its place in a sieve: 64 million bits, in a million rows at most.
+SIEVE = 26
 UNITS = ["cm", "cents", "days", "dollars", "euros", "feet", "ft", "g", "grams", "h", "hours", "inches", "kg", "km", "l", "lb", "liters", "litres", "m", "meters", "metres", "mg", "miles", "min", "minutes", "ml", "mm", "months", "percent", "pounds", "s", "seconds", "weeks", "years"]
-NUMBER = r" [0-9][0-9.]*(?: [0-9][0-9.]*)*"
+#: Possessive: nothing follows that a shorter match could serve, and Java goes through such a run in a loop, where a greedy one takes a frame of the stack for each word.
+NUMBER = r" [0-9][0-9.]*+(?: [0-9][0-9.]*+)*+"
 UNIT = f"# ({'|'.join(UNITS)}) "
-NAME = r"([^ .])((?: \p{Lu}\p{L}*)+)"
+NAME = r"([^ .])((?: \p{Lu}\p{L}*+)++)"
 
 
 def marked(text: Column) -> Column:
@@ -91,6 +94,24 @@ def windows(df: DataFrame, sizes: list[int], keys: list[str], pos: str) -> DataF
     return hashed.select(*keys, F.explode(found).alias("w")).select(*keys, F.col("w.at").alias(pos), F.col("w.hash").alias("hash"))
 
 
+def sieved(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose ``hash`` is not in ``known``: two sieves by separate bits of it, each at most 2^(SIEVE - 6) rows of 64 bits, which bounds the broadcasts."""
+    for shift in (0, SIEVE):
+        place = F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << SIEVE) - 1))
+        word, bit = F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {shift}) & 63 as int))")
+        words = materialize(known.select(word, bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "sieve")
+        df = df.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    return df
+
+
+def one_of_equals(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(item_id, text)`` of one item of all whose texts are equal, and ``(item, item_id)``: which items each of them, as a struct, stands for."""
+    texts = benchmark.groupBy("item_id").agg(F.sort_array(F.collect_set(F.coalesce("text", F.lit("")))).alias("texts"))
+    texts = materialize(texts, "texts")
+    first = materialize(texts.groupBy("texts").agg(F.min(F.struct("item_id")).alias("item")), "items")
+    return first.select("item.item_id", F.explode("texts").alias("text")), materialize(texts.join(first, "texts").select("item", "item_id"), "equals")
+
+
 def slots(text: Column, words: Column) -> Column:
     """``(pos, kind, value)`` of each placeholder: the values in order of appearance, zipped with their positions."""
     first = marked(text)
@@ -120,7 +141,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     (or item_id) are judged together, nulls as one more id. Null texts are empty. Other columns are not
     read. Empty in, empty out.
     """
-    spark = docs.sparkSession
+    first, members = one_of_equals(benchmark)
+    if (found := _leaks(docs, first, window, min_windows, broadcast_rows)) is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, item_windows long, n_slots long, n_changed long")
+    return found.join(members, "item").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, min_windows: int, broadcast_rows: int) -> DataFrame | None:
+    """``find_leaks`` with a struct ``item`` in place of item_id; None where no item has a word."""
     items = both_words(benchmark, "item_id", "text").where(F.size("words") > 0)
     items = materialize(items.withColumn("n_window", F.least(F.size("words"), F.lit(window))), "items")
     sizes = sorted(r["n_window"] for r in items.select("n_window").distinct().collect())  # window numbers at most
@@ -128,12 +156,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     texts = docs.select("doc_id", "text")
     worded = both_words(texts, "doc_id")
     if not sizes:
-        return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, n_windows long, item_windows long, n_slots long, n_changed long")
+        return None
     own = [windows(items.where(F.col("n_window") == n), [n], ["item_id", "verbatim"], "item_pos") for n in sizes]
     own = materialize(reduce(DataFrame.unionByName, own).select(item_id, "verbatim", "item_pos", "hash").distinct(), "windows")
     known = materialize(own.select("hash", "verbatim").distinct(), "known")
-    few = known.count() <= broadcast_rows
-    here = windows(worded, sizes, ["doc_id", "verbatim"], "doc_pos").join(F.broadcast(known) if few else known, ["hash", "verbatim"])
+    here = windows(worded, sizes, ["doc_id", "verbatim"], "doc_pos")
+    here = here.join(F.broadcast(known), ["hash", "verbatim"]) if known.count() <= broadcast_rows else sieved(here, known)
     hits = here.join(own, ["hash", "verbatim"]).select(doc_id, "item", "verbatim", "doc_pos", "item_pos")
     found = hits.withColumn("diagonal", (F.col("doc_pos") - F.col("item_pos")).cast("long"))
     by = found.groupBy("doc", "item", "verbatim", "diagonal").agg(F.collect_set("item_pos").alias("at")).withColumn("n_windows", F.size("at").cast("long"))
@@ -155,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     out = judged.join(copied, ["doc", "item"], "full").where("consistent or n_copied is not null and (n_windows is null or 2 * n_copied >= n_windows)")
     zero, consistent = F.lit(0).cast("long"), F.coalesce("consistent", F.lit(False))
     counts = [F.when(consistent, F.col(own)).otherwise(F.col(copy)).alias(own) for own, copy in (("n_windows", "n_copied"), ("item_windows", "item_copied"))]
-    return out.select("doc.doc_id", "item.item_id", *counts, F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
+    return out.select("doc.doc_id", "item", *counts, F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,7 +192,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     All rows of a leaked doc_id go, repeats and null ids too. Columns of any other name pass through.
     """
     name = fresh("leaked", docs.columns)
-    leaked = materialize(find_leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    found = _leaks(docs.select("doc_id", "text"), one_of_equals(benchmark)[0], WINDOW, MIN_WINDOWS, BROADCAST_ROWS)
+    if found is None:
+        return docs
+    leaked = materialize(found.select(F.col("doc_id").alias(name)).distinct(), "leaked")
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 

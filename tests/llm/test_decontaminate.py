@@ -61,3 +61,28 @@ def test_copies_in_another_case_and_with_one_value_broken(spark):
 def test_document_in_another_case_is_found(spark):
     padded = "Some words stand before it, and many at that. " + ITEM + " And some follow."
     assert [g[:2] for g in leaks(spark, [(2, padded.upper().lower())], [(10, ITEM)])[0]] == [(2, 10)]
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    runs = ["He met " + run * 20_000 + ". Before it. " + ITEM + " After it." for run in ("Word ", "12 ", "12.5 kg ", ". ")]
+    got, d, b = leaks(spark, list(enumerate(runs)), [(10, ITEM)])
+    assert [g[:2] for g in got] == [(i, 10) for i in range(4)]
+    run = F.lit("".join(runs[:2]))
+    kinds = spark.range(1).select(F.regexp_extract_all(run, F.lit(f"({decontaminate.NUMBER})"), 1).alias("n"), F.regexp_extract_all(decontaminate.marked(run), F.lit(decontaminate.NAME), 2).alias("v")).first()
+    assert max(map(len, kinds.n)) == 3 * 20_000 and max(map(len, kinds.v)) == 5 * 20_000
+
+
+def test_sieve_lets_known_hashes_and_few_others_through(spark):
+    known = spark.range(20_000).selectExpr("xxhash64(id) as hash")
+    found = {r.id for r in decontaminate.sieved(spark.range(60_000).selectExpr("id", "xxhash64(id) as hash"), known).collect()}
+    assert found >= set(range(20_000)) and len(found) < 20_010
+
+
+def test_equal_items_meet_documents_once(spark):
+    one, other = "It stops for 3 hours, then Anna Berg counts.", "The last coach of the train stays empty at noon."
+    items = [(1, ITEM), (2, ITEM), (None, ITEM), (None, ITEM), (3, one), (3, other), (4, other), (4, one), (5, one), (6, None), (7, "")]
+    got, d, b = leaks(spark, [(1, ITEM), (2, f"So. {one} And. {other} It is."), (None, ITEM)], items)
+    first, members = decontaminate.one_of_equals(b)
+    assert first.where("text <> ''").count() == 4 and members.count() == 8
+    assert {g[:2] for g in got} >= {(i, j) for i in (1, None) for j in (1, 2, None)} | {(2, 3), (2, 4), (2, 5)}
+    assert decontaminate.without_leaks(d, b).count() == 0
